@@ -110,10 +110,14 @@ class Words:
         """For each word the number of its text."""
         return np.repeat(np.arange(len(self.splits) - 1), self.counts)
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word, in text order; never 0."""
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.unique.to_pylist()), np.uint64, len(self.unique))
-        return np.maximum(h, np.uint64(1))[self.codes]
+    def hashes_of_unique(self) -> np.ndarray:
+        """A 64-bit hash of each distinct word; never 0."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.unique.cast(pa.binary()).to_pylist()), np.uint64, len(self.unique))
+        return np.maximum(h, np.uint64(1))
+
+    def hashes(self) -> np.ndarray:
+        """The hash of each word, in text order."""
+        return self.hashes_of_unique()[self.codes]
 
 
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
