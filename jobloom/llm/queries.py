@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8
 from .fingerprint import op9
+from .line_dedup import op6
 from .lm_score import op2
 from .packing import op3
 from .pii import op4
+from .similar import op5
 from .toxicity import op10
 from .warc import OP7_SQL, op7
 
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2,
     "op3_pack_documents": op3,
     "op4_personal_data": op4,
+    "op5_jaccard_join": op5,
+    "op6_line_dedup": op6,
     "op7_warc_round_trip": op7,
     "op8_decontaminate": op8,
     "op9_fingerprint": op9,
