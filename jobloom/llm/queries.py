@@ -12,11 +12,13 @@ from .line_dedup import op6
 from .lm_score import op2
 from .packing import op3
 from .pii import op4
+from .repeats import op1
 from .similar import op5
 from .toxicity import op10
 from .warc import OP7_SQL, op7
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeated_bytes": op1,
     "op2_lm_score": op2,
     "op3_pack_documents": op3,
     "op4_personal_data": op4,
