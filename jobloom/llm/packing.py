@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .words import Words, text_slices, table
+from .words import Words, stored, table, text_slices
 
 SIZE, END_ID = 2048, 1
 PER_SHARD = 100_000
@@ -32,39 +33,66 @@ PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file; every distinct word is encoded once per slice, and kept while there is room."""
+    """Ids of texts by a tokenizer file. The ids of a word are kept, by the word's hash, in arrays that a Python worker
+    holds over all its tasks; only words not met before are encoded, many in one call with a mark between them."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    MARK, PER_CALL, BLOCK, KEEP = "\0", 500, 20_000, 3_000_000
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.keep = Tokenizer.from_file(path), {}, keep
+        self.tok = Tokenizer.from_file(path)
+        self.mark = self.tok.encode(self.MARK, add_special_tokens=False).ids[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, words: list[str], hashes: np.ndarray) -> None:
+        """Encode words (none of them known) and keep their ids."""
+        if any(self.MARK in w for w in words):
+            each = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+            size, flat = np.array([len(e) for e in each], np.int64), np.concatenate(each)
+        else:
+            joined = [f" {self.MARK} ".join([*words[k : k + self.PER_CALL], ""]) for k in range(0, len(words), self.PER_CALL)]
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)])
+            marks = np.flatnonzero(flat == self.mark)
+            size = np.diff(marks, prepend=-1) - 1
+            flat = flat[flat != self.mark]
+        order = np.argsort(hashes)
+        at = len(self.flat) + np.cumsum(size) - size
+        into = np.searchsorted(self.hash, hashes[order])
+        self.hash, self.at, self.size = np.insert(self.hash, into, hashes[order]), np.insert(self.at, into, at[order]), np.insert(self.size, into, size[order])
+        self.flat = np.concatenate([self.flat, flat])
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; how many ids each text has)."""
         words = Words(text, BLANK)
-        unique = words.unique.to_pylist()
-        if len(self.known) > self.keep:
-            self.known = {}
-        new = [w for w in unique if w not in self.known]
-        for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = e.ids
-        lists = [self.known[w] for w in unique]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-        at = np.cumsum(size) - size
-        n = size[words.codes]
+        hashes = words.hashes_of_unique()
+        if len(self.hash) > self.KEEP:
+            self.forget()
+        new = np.flatnonzero(~np.isin(hashes, self.hash, assume_unique=True)) if len(self.hash) else np.arange(len(hashes))
+        for lo in range(0, len(new), self.BLOCK):
+            part = new[lo : lo + self.BLOCK]
+            self.learn(words.unique.take(pa.array(part)).to_pylist(), hashes[part])
+        known = np.searchsorted(self.hash, hashes)
+        at, n = self.at[known][words.codes] if len(hashes) else np.zeros(0, np.int64), self.size[known][words.codes] if len(hashes) else np.zeros(0, np.int64)
         ends = np.cumsum(n)
-        ids = flat[np.repeat(at[words.codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)] if len(n) else np.zeros(0, np.uint32)
+        ids = self.flat[np.repeat(at - (ends - n), n) + np.arange(ends[-1])] if len(n) else np.zeros(0, np.uint32)
         total = np.concatenate([[0], ends])[words.splits]
-        out = np.insert(ids, total[1:], np.uint32(END_ID)) if len(total) > 1 else ids
-        return out, np.diff(total) + 1
+        return np.insert(ids, total[1:], np.uint32(END_ID)), np.diff(total) + 1
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """Each document's ids cut at multiples of `size`: doc_id, start, length, ids_crc32, doc_tokens (and a row number)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, copy = Encoder(path), 0
+        encode, copy = encoder(path), 0
         for batch, text in text_slices(batches):
             ids, counts = encode(text)
             raw, at = ids.astype("<u4").tobytes(), np.cumsum(counts) - counts
@@ -131,8 +159,6 @@ def best_fit(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndar
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, per_shard: int = PER_SHARD) -> DataFrame:
     """Pieces with sequence_id and offset. The number of shards follows the text (about one piece in 300 words)."""
-    from .words import stored
-
     cut = stored(pieces(docs, path, size), "pieces")
     shards = max(1, -(-cut.count() // per_shard))
     keyed = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "__copy"), F.lit(shards)))
