@@ -74,10 +74,12 @@ CLAIM_SQL = """WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 TH
 SELECT c.id, CASE WHEN t.id IS NULL THEN status WHEN c.id % 2 = 1 THEN 'in_progress' WHEN c.id % 3 > 0 THEN 'done' ELSE 'failed' END AS status FROM c LEFT JOIN t ON c.id = t.id"""
 
 
-# Streams: the events table, dealt over a few files, batch by batch.
+# Streams: the events table as a stream of files.
 
 
-def _event_stream(spark: SparkSession, sf_dir: str, each: int = 1) -> DataFrame:
+def _event_stream(spark: SparkSession, sf_dir: str, each: int | None = 1) -> DataFrame:
+    """`each` files a batch. None: all that is there in one batch, for jobs that depend on the order of events, which a
+    folder of files doesn't keep."""
     path = shared_dir(spark, "event-files")
     table(spark, sf_dir, "events").repartitionByRange(3, "ts").write.parquet(path)
     return streams.files(spark, path, EVENTS, each)
@@ -104,7 +106,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_topic_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, mark = shared_dir(spark, "topics"), shared_dir(spark, "mark")
-    e = topic_events(_event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
+    e = topic_events(_event_stream(spark, sf_dir, None).withColumn("ts", F.col("ts").cast("timestamp")))
     states = streams.topic_states(e)
     streams.run_available(states.writeStream.foreachBatch(streams.latest_to(path, "topic_id", "version")).option("checkpointLocation", mark).outputMode("update"))
     return streams.read_latest(spark, path, "topic_id", "version").select("topic_id", "status", F.col("acquired_at").cast("timestamp_ntz").alias("acquired_at"))
