@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as t
 from ..functions.urls import search_url
+from ..sources.folders import shared_dir
 
 
 def frontier(keywords: DataFrame, n: int = 10) -> DataFrame:
@@ -35,10 +36,14 @@ def apply_results(keywords: DataFrame, success: DataFrame, error: DataFrame) ->
 def staggered(items: DataFrame, base: str, order: str = "id", minutes: int = 15) -> DataFrame:
     """Start times `start_at`: base plus `minutes` for each item before it, in order; `schedule_id` from its number.
 
-    The list is numbered by range partitions and their counts, so no single task holds it.
+    The list is numbered by range partitions and their counts, so no single task holds it. The partitions are written
+    once, so that both sides of the join see the same ones.
     """
+    spark = items.sparkSession
     ranged = items.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    own = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
+    path = shared_dir(spark, "numbered")
+    ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order))).write.parquet(path)
+    own = spark.read.parquet(path)
     sizes = own.groupBy("__part").agg(F.max("__n").alias("__size"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")
     numbered = own.join(F.broadcast(before), "__part").withColumn("number", (F.col("__before") + F.col("__n") - 1).cast("long"))  # a row for each partition
