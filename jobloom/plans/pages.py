@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as t
 from ..functions.urls import BASE, resolve
-from ..operators import extract
+from ..operators import extract, search
 from .tables import clean_sql, table
 
 
@@ -123,5 +123,24 @@ COMPANY_SQL = """SELECT s_suppkey AS company_id, CASE WHEN s_suppkey % 4 = 1 THE
   s_suppkey || ' nhân viên' AS company_size, CASE WHEN s_suppkey % 3 > 0 THEN n_name END AS company_industry, 'Số ' || s_suppkey || ', ' || n_name AS company_address,
   CASE WHEN s_suppkey % 5 = 0 THEN 'About <' || s_suppkey || '>' ELSE 'More ' || s_suppkey END AS company_description FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 
-QUERIES = {"nav_links": nav_links, "page_title": page_title, "search_cards_roundtrip": search_cards_roundtrip, "job_detail_roundtrip": job_detail_roundtrip, "company_roundtrip": company_roundtrip}
-ORACLE = {"nav_links": NAV_SQL, "page_title": TITLE_SQL, "search_cards_roundtrip": SEARCH_SQL, "job_detail_roundtrip": DETAIL_SQL, "company_roundtrip": COMPANY_SQL}
+def search_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as result pages of five cards, crawled to link records: page count, empty pages, repeats."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumn("page_no", F.floor((F.row_number().over(w) - 1) / 5) + 1)
+    link = F.when(F.expr("(o_custkey + page_no) % 6 > 0"), F.concat(L('<h3 class="title"><a href="/viec-lam/a/'), (F.col("o_orderkey") % 40).cast("string"), L(".html?from="), F.col("o_orderkey").cast("string"), L('">t</a></h3>'))).otherwise(L(""))
+    card = F.concat(L('<div class="job-item-search-result">'), link, L("</div>"))
+    pages = o.groupBy("o_custkey", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", card.alias("c")))), lambda x: x["c"]), "").alias("cards"))
+    html = _page("cards", L('<span id="job-listing-paginate-text">1 / '), (F.col("o_custkey") % 4 + 1).cast("string"), L(" trang</span>"))
+    parsed = extract.search_pages(pages.select(F.col("o_custkey").alias("keyword_id"), "page_no", html.alias("html")))
+    found = search.search_links(parsed)
+    return found.select("keyword_id", "page_no", F.col("pos").cast("long").alias("pos"), "title", "job_url", "url_hash")
+
+
+LINKS_SQL = f"""WITH o AS (SELECT o_custkey AS keyword_id, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 5 + 1 AS page_no FROM orders),
+p AS (SELECT *, row_number() OVER (PARTITION BY keyword_id, page_no ORDER BY o_orderkey) - 1 AS pos, CASE WHEN (keyword_id + page_no) % 6 = 0 THEN 1 ELSE 0 END AS e FROM o),
+s AS (SELECT *, max(e) OVER (PARTITION BY keyword_id ORDER BY page_no) AS stop FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY keyword_id, o_orderkey % 40 ORDER BY page_no, pos) AS n FROM s WHERE stop = 0 AND page_no <= keyword_id % 4 + 1)
+SELECT keyword_id, page_no, pos, 't' AS title, '{BASE}/viec-lam/a/' || (o_orderkey % 40) || '.html?from=' || o_orderkey AS job_url, sha256('a/' || (o_orderkey % 40) || '.html') AS url_hash FROM k WHERE n = 1"""
+
+QUERIES = {"nav_links": nav_links, "page_title": page_title, "search_cards_roundtrip": search_cards_roundtrip, "search_links": search_links, "job_detail_roundtrip": job_detail_roundtrip, "company_roundtrip": company_roundtrip}
+ORACLE = {"nav_links": NAV_SQL, "page_title": TITLE_SQL, "search_cards_roundtrip": SEARCH_SQL, "search_links": LINKS_SQL, "job_detail_roundtrip": DETAIL_SQL, "company_roundtrip": COMPANY_SQL}
