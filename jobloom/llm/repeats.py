@@ -30,7 +30,7 @@ from .words import K1, K2, mix, raw_bytes, stored, text_slices
 
 LENGTH, GRAM = 50, 16
 NULL_ID = -(1 << 63)
-SLICE, BUCKET_BYTES, GROUP_BYTES, PARTS = 2 << 20, 32 << 20, 8 << 20, 4
+SLICE, BUCKET_BYTES, GROUP_BYTES, PARTS, PIECES = 2 << 20, 32 << 20, 8 << 20, 4, 8
 MANY = 1 << 16
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -167,7 +167,10 @@ def by_group(groups: int, kind: int, doc: np.ndarray, *columns: np.ndarray) -> l
 
 
 def settle(groups: int, parts: int):
-    """For one bucket: spans that are settled (kind 0) and contexts whose text is needed (kind 1)."""
+    """For one bucket: spans that are settled (kind 0) and contexts whose text is needed (kind 1).
+
+    Its anchors are dealt over `parts` index tasks, and in a task over PIECES indexes, small enough for a cache.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         anchor, whole, doc, start, count = joined(table["data"].to_pylist(), *CONTEXT)
@@ -183,7 +186,8 @@ def settle(groups: int, parts: int):
         done = doc > first
         ask = (doc == first) & (low < high)[a] & several[a]
         rows = by_group(groups, 0, doc[done], start[done], count[done].astype(np.uint32)) if done.any() else []
-        part = (int(table["bucket"][0].as_py()) * parts + ((anchor >> np.uint64(30)) % np.uint64(parts)).astype(np.int64)).astype(np.uint32)
+        many = parts * PIECES
+        part = (int(table["bucket"][0].as_py()) * many + ((anchor >> np.uint64(26)) % np.uint64(many)).astype(np.int64)).astype(np.uint32)
         rows += by_group(groups, 1, doc[ask], start[ask], count[ask], part[ask]) if ask.any() else []
         return pa.table({"group": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
@@ -217,12 +221,12 @@ def fetch(texts: pa.Table, asks: pa.Table) -> pa.Table:
         entry, a, size = entry[ok], a[ok], size[ok]
         order = np.argsort(part[entry], kind="stable")
         entry, a, size = entry[order], a[order], size[order]
-        cuts = np.flatnonzero(np.diff(part[entry].astype(np.int64), prepend=-1))
+        cuts = np.flatnonzero(np.diff(part[entry].astype(np.int64) // PIECES, prepend=-1))
         for o in np.split(np.arange(len(entry)), cuts[1:]):
             if len(o):
                 e, n = entry[o], size[o]
                 bytes_ = data[np.repeat(a[o] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                rows.append((int(part[e[0]]), packed(doc[e], start[e], count[e]), packed(bytes_)))
+                rows.append((int(part[e[0]]) // PIECES, packed(doc[e], start[e], count[e], (part[e] % PIECES).astype(np.uint8)), packed(bytes_)))
     return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary()), "bytes": pa.array([r[2] for r in rows], pa.binary())})
 
 
@@ -230,24 +234,40 @@ def marked(groups: int):
     """Index the contexts of one part, stream them, and return the spans that an earlier document has."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, start, count = joined(table["data"].to_pylist(), "<i8", "<u4", "u1")
+        doc, start, count, piece = joined(table["data"].to_pylist(), "<i8", "<u4", "u1", "u1")
         text = joined(table["bytes"].to_pylist(), "u1")[0]
         size = count.astype(np.int64) + LENGTH - 1
-        index = RunIndex(text, size, doc, LENGTH)
-        length, window = index.statistics(text, size, own=True)
-        of = np.repeat(np.arange(len(size)), size)
-        hit = length >= LENGTH
-        hit[hit] = index.least[window[hit]] < doc[of[hit]]
         base = np.cumsum(size) - size
-        begin = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (of[1:] == of[:-1])]))
-        stop = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (of[1:] == of[:-1]), [False]])) + 1
-        o = of[begin]
-        rows = by_group(groups, 0, doc[o], (start[o] + begin - base[o]).astype(np.uint32), (stop - begin).astype(np.uint32)) if len(o) else []
+        found = []
+        for p in range(PIECES):
+            own = np.flatnonzero(piece == p)
+            if len(own):
+                n = size[own]
+                part = text[np.repeat(base[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                which, a, z = earlier(part, n, doc[own])
+                o = own[which]
+                found.append((doc[o], (start[o] + a).astype(np.uint32), (z - a).astype(np.uint32)))
+        spans = [np.concatenate(x) for x in zip(*found)]
+        rows = by_group(groups, 0, *spans) if spans and len(spans[0]) else []
         return pa.table({"group": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
 
 
+def earlier(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, behind the last) of the runs of strings that an earlier document has, among some contexts."""
+    index = RunIndex(text, size, doc, LENGTH)
+    length, window = index.statistics(text, size, own=True)
+    of = np.repeat(np.arange(len(size)), size)
+    hit = length >= LENGTH
+    hit[hit] = index.least[window[hit]] < doc[of[hit]]
+    same = of[1:] == of[:-1]
+    begin = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & same]))
+    stop = np.flatnonzero(hit & ~np.concatenate([hit[1:] & same, [False]])) + 1
+    base = np.cumsum(size) - size
+    return of[begin], begin - base[of[begin]], stop - base[of[begin]]
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 

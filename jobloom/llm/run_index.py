@@ -12,33 +12,55 @@ from __future__ import annotations
 
 import numpy as np
 
-STEP = 7  # characters of 9 bits in one key
+INDEX_BITS = 21  # places of an index that is sorted as packed numbers
+
+
+def _ranked(keys: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(order by the keys, equal ones by place; rank of each place from 1; whether all differ). bits: of each key."""
+    n = len(keys[0])
+    if len(keys) * bits + INDEX_BITS <= 64 and n < 1 << INDEX_BITS:
+        packed = keys[0]
+        for k in keys[1:]:
+            packed = (packed << np.uint64(bits)) | k
+        packed = np.sort((packed << np.uint64(INDEX_BITS)) | np.arange(n, dtype=np.uint64))  # plain sorting of numbers is the fastest there is
+        order = (packed & np.uint64((1 << INDEX_BITS) - 1)).astype(np.int64)
+        packed >>= np.uint64(INDEX_BITS)
+        new = packed[1:] != packed[:-1]
+    else:
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(max(0, n - 1), bool)
+        for k in keys:
+            new |= k[order[1:]] != k[order[:-1]]
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.concatenate([[1], 1 + np.cumsum(new)])
+    return order, rank, bool(new.all())
 
 
 def suffix_order(text: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of all suffixes, each up to its end mark; number of the class of equal first `length` characters by place,
-    -1 where fewer are left). text: characters from 1, end marks 0; left: characters before the end mark."""
+    """(order of all suffixes, each up to its end mark, equal ones by place; number of the class of equal first `length`
+    characters by place, -1 where fewer are left). text: characters from 1, end marks 0; left: characters before the
+    end mark."""
     n = len(text)
-    key = np.zeros(n, np.uint64)
-    padded = np.concatenate([text.astype(np.uint64), np.zeros(STEP, np.uint64)])
-    for k in range(STEP):
-        key = (key << np.uint64(9)) | np.where(k < left, padded[k : k + n], np.uint64(0))
-    width, longest, window = STEP, int(left.max(initial=0)), None
+    present = np.bincount(text, minlength=258) > 0
+    present[0] = True
+    dense = (np.cumsum(present) - 1).astype(np.uint64)[text]
+    bits = max(1, int(present.sum() - 1).bit_length())
+    width = max(1, min(length, (64 - INDEX_BITS) // bits))
+    key, padded = np.zeros(n, np.uint64), np.concatenate([dense, np.zeros(width, np.uint64)])
+    for k in range(width):
+        key = (key << np.uint64(bits)) | np.where(k < left, padded[k : k + n], np.uint64(0))
+    order, rank, differ = _ranked([key], bits * width)
+    longest, window = int(left.max(initial=0)), None
     while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.concatenate([[False], ordered[1:] != ordered[:-1]])
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
-        if width <= length <= 2 * width:  # two overlapping stretches of `width` cover a window
-            at = np.flatnonzero(left >= length)
-            pair = (rank[at] << np.uint64(32)) | rank[at + length - width]
-            window = np.full(n, -1, np.int64)
-            window[at] = np.unique(pair, return_inverse=True)[1]
-        if width > longest or (window is not None and new[1:].all()):
+        if window is None and width <= length <= 2 * width:  # two overlapping stretches of `width` cover a window
+            window, at = np.full(n, -1, np.int64), np.flatnonzero(left >= length)
+            if len(at):
+                _, number, _ = _ranked([rank[at], rank[at + length - width]], INDEX_BITS)
+                window[at] = number.astype(np.int64) - 1
+        if width >= longest or (window is not None and differ):
             return order, window if window is not None else np.full(n, -1, np.int64)
         after = np.concatenate([rank[width:], np.zeros(min(width, n), np.uint64)])[:n]
-        key = ((rank + np.uint64(1)) << np.uint64(32)) | np.where(left > width, after + np.uint64(1), np.uint64(0))
+        order, rank, differ = _ranked([rank, np.where(left > width, after, np.uint64(0))], INDEX_BITS)
         width *= 2
 
 
@@ -59,7 +81,7 @@ class RunIndex:
         window = window[order]
         cut = np.ones(len(order), bool)
         cut[1:] = (before[1:] != before[:-1]) | (window[1:] != window[:-1])
-        self.run = np.flatnonzero(cut)
+        self.run = np.flatnonzero(cut).astype(np.int32 if len(order) < 1 << 31 else np.int64)
         self.last = np.append(self.run[1:], len(order)) - 1
         self.char, self.first_at, self.last_at = before[self.run].astype(np.int64), order[self.run], order[self.last]
         size = self.last - self.run + 1
