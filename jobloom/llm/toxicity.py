@@ -1,13 +1,14 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text (each counts once): words, pairs of neighbours, pairs with one word between, and the first four
-characters of a word (for spellings never seen in training). They are hashed into 2**BITS places. Training runs in one
-task over a bounded sample of labelled rows (`max_rows`, chosen by a hash of the id); L1 keeps few weights, which are
-sent to all tasks as one array of at most 2**BITS floats.
+characters of a word (for spellings never seen in training), all as 64-bit hashes. Training runs in one task over a
+bounded sample of labelled rows (`max_rows`, chosen by a hash of the id). A feature takes part if MIN_DOCS training
+texts have it, so that single texts can't be learned by heart; L1 leaves few weights, and only those are sent: at most
+one for each feature of the sample.
 
 Edge cases: null and empty texts score as the bias alone; a null id counts as the id ""; labels that are null are left
-out, several labels of one id count as their maximum; without labels every score is the prior 0 (not toxic). Texts that
-are repeated score alike. Other columns of the input stay out of the features.
+out, several labels of one id count as their maximum; without labels every score is 0 (not toxic). Texts that are
+repeated score alike. Other columns of the input stay out of the features.
 """
 
 from __future__ import annotations
@@ -21,33 +22,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .words import K1, SPACED, Words, crc_mod, inside, mix, table, text_slices
 
-BITS = 20
-MAX_ROWS = 12_000
+MAX_ROWS, MIN_DOCS = 12_000, 3
 TRIM = b".,;:!?\"'()[]{}<>|*#$&%-_/"
-EPOCHS, BLOCK, POSITIVE = 3, 32, 3.0
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 2.5, 1.0
+EPOCHS, BLOCK, POSITIVE = 6, 32, 4.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.5
+SIEVE_BITS = 22
+BIAS = np.uint64(0)  # its place among the hashes
 
 
 def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, place of the feature) for each occurrence of a feature."""
+    """(number of the text, hash of the feature) for each occurrence of a feature."""
     words = Words(text, SPACED)
     unique = [w.strip(TRIM) for w in words.unique.cast(pa.binary()).to_pylist()]
     whole = np.fromiter(map(xxhash.xxh3_64_intdigest, unique), np.uint64, len(unique))[words.codes]
     head = np.fromiter((xxhash.xxh3_64_intdigest(w.decode("utf-8", "ignore")[:4].encode(), 7) for w in unique), np.uint64, len(unique))[words.codes]
     rows, n = words.rows(), len(words)
-    places, owners = [whole, head], [rows, rows]
+    found, owners = [whole, head], [rows, rows]
     for gap in (1, 2):
         ok = inside(words.splits, gap + 1, n)
         pair = mix(whole[: max(0, n - gap)] * K1 + whole[gap:] + np.uint64(gap))
-        places.append(pair[ok])
+        found.append(pair[ok])
         owners.append(rows[: len(ok)][ok])
-    return np.concatenate(owners), (np.concatenate(places) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.concatenate(owners), np.concatenate(found)
 
 
-def once(rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each (text, place) once, by text."""
-    key = np.unique((rows.astype(np.int64) << BITS) | places)
-    return key >> BITS, key & ((1 << BITS) - 1)
+def once(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (text, feature) once, by text."""
+    order = np.lexsort((hashes, rows))
+    rows, hashes = rows[order], hashes[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    return rows[new], hashes[new]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -55,10 +60,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Ftrl:
-    """FTRL-proximal: z and n for each coordinate; the weight follows from them. The last place is the bias."""
+    """FTRL-proximal: z and n for each coordinate; the weight follows from them. The first one is the bias."""
 
-    def __init__(self) -> None:
-        self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    def __init__(self, size: int):
+        self.z, self.n = np.zeros(size), np.zeros(size)
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -66,7 +71,7 @@ class Ftrl:
         return np.where(np.abs(z) > L1, w, 0)
 
     def learn(self, rows: np.ndarray, places: np.ndarray, y: np.ndarray) -> None:
-        """One step on a block of texts; rows: 0..len(y)-1, each with its bias place."""
+        """One step on a block of texts; rows: 0..len(y)-1, each with the place of the bias."""
         at, back = np.unique(places, return_inverse=True)
         w = self.weights(at)
         p = sigmoid(np.bincount(rows, w[back], len(y)))
@@ -76,20 +81,46 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train(texts: pa.Array, y: np.ndarray) -> Ftrl:
-    model, parts = Ftrl(), []
-    for start in range(0, len(y), BLOCK):
-        rows, places = once(*features(texts.slice(start, BLOCK)))
-        k = min(BLOCK, len(y) - start)
-        parts.append((np.concatenate([rows, np.arange(k)]).astype(np.int32), np.concatenate([places, np.full(k, 1 << BITS)]).astype(np.int32), y[start : start + k]))
+def train(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; weights) of the features with a weight; the bias always comes first."""
+    blocks = [once(*features(texts.slice(start, BLOCK))) for start in range(0, len(y), BLOCK)]
+    every = np.sort(np.concatenate([h for _, h in blocks])) if blocks else np.zeros(0, np.uint64)
+    often = every[MIN_DOCS - 1 :][every[MIN_DOCS - 1 :] == every[: len(every) - MIN_DOCS + 1]] if len(every) >= MIN_DOCS else every[:0]
+    known = np.concatenate([[BIAS], np.unique(often[often > BIAS])])
+    parts = []
+    for start, (rows, h) in zip(range(0, len(y), BLOCK), blocks):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        keep, k = known[at] == h, min(BLOCK, len(y) - start)
+        parts.append((np.concatenate([rows[keep], np.arange(k)]).astype(np.int32), np.concatenate([at[keep], np.zeros(k, np.int64)]).astype(np.int32), y[start : start + k]))
+    model = Ftrl(len(known))
     for epoch in range(EPOCHS):
         for k in np.random.default_rng(epoch).permutation(len(parts)):
             model.learn(*parts[k])
-    return model
+    w = model.weights()
+    keep = (w != 0) | (known == BIAS)
+    return known[keep], w[keep]
+
+
+class Scorer:
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray):
+        self.hashes, self.weights = hashes, weights
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[hashes[1:] >> np.uint64(64 - SIEVE_BITS)] = True
+
+    def __call__(self, text: pa.Array) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(text))
+        rows, h = features(text)
+        likely = self.sieve[h >> np.uint64(64 - SIEVE_BITS)]
+        rows, h = rows[likely], h[likely]
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = (self.hashes[at] == h) & (at > 0)
+        rows, at = once(rows[hit], at[hit])
+        return sigmoid(np.bincount(rows, self.weights[at], len(text)) + self.weights[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(places, weights) of the non-zero weights, learned from at most max_rows labelled rows of `docs`."""
+    """(hashes, weights) of the non-zero weights, learned from at most max_rows labelled rows of `docs`."""
     chosen = labels.where("toxic is not null and doc_id is not null").where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # At most max_rows (id, label) pairs: a bounded side.
@@ -100,37 +131,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
         group = group.take(order)
         text = group["text"].combine_chunks().fill_null("")
         text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-        model = train(text, group["__y"].to_numpy())
-        w = model.weights()
-        at = np.flatnonzero(w)
-        return pa.table({"places": pa.array([at.astype(np.int64)], pa.list_(pa.int64())), "weights": pa.array([w[at]], pa.list_(pa.float64()))})
+        h, w = train(text, group["__y"].to_numpy())
+        return pa.table({"hashes": pa.array([h.view(np.int64)], pa.list_(pa.int64())), "weights": pa.array([w], pa.list_(pa.float64()))})
 
-    found = rows.groupBy("__one").applyInArrow(one, "places array<bigint>, weights array<double>").collect()
+    found = rows.groupBy("__one").applyInArrow(one, "hashes array<bigint>, weights array<double>").collect()
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0)
-    return np.array(found[0][0], np.int64), np.array(found[0][1], float)
+        return np.zeros(0, np.uint64), np.zeros(0)
+    return np.array(found[0][0], np.int64).view(np.uint64), np.array(found[0][1], float)
 
 
-def score(docs: DataFrame, places: np.ndarray, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and `score` (0 to 1). A model without a bias of its own scores 0 for all."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((places, weights.astype(np.float64)))
-    kept = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    out = docs.select(*keep).schema.add("score", "double")
+def score(docs: DataFrame, hashes: np.ndarray, weights: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs and `score` (0 to 1). Without a model all score 0."""
+    sent = docs.sparkSession.sparkContext.broadcast((hashes, weights))
+    names = [c for c in keep if c != "score"]
+    out = docs.select(*names).schema.add("score", "double")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w = sent.value
-        full = np.zeros((1 << BITS) + 1)
-        full[at] = w
+        scorer = Scorer(*sent.value)
         for batch, text in text_slices(batches):
-            rows, found = features(text)
-            hit = full[found] != 0
-            rows, found = once(rows[hit], found[hit])
-            s = sigmoid(np.bincount(rows, full[found], batch.num_rows) + full[-1]) if len(at) else np.zeros(batch.num_rows)
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s)], names=[*keep, "score"])
-
-    return kept.mapInArrow(run, out)
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(scorer(text))], names=[*names, "score"])
+
+    return docs.select(*names, *([] if "text" in names else ["text"])).mapInArrow(run, out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
