@@ -6,9 +6,9 @@ similarity share a shingle in their prefixes; pairs come from those shingles, pa
 filters, and are verified once with their whole sets. The suffix filter compares parities of the counts of shingles in
 BINS buckets: each differing bucket is at least one shingle that only one set has.
 
-Pairs come in two rounds, so that a group of copies doesn't emit all its pairs: first each class with the smallest class
-of the shingle's group; then, for classes that are not yet in one component, all pairs across components. Together they
-hold every link that could join two components.
+Pairs come in two rounds, so that a group of copies doesn't emit all its pairs: first each class with the next smaller one
+of the shingle's group; then the pairs of a group that aren't yet in one component, tried inside a task and emitted only
+if they pass all filters. Together they hold every link that could join two components.
 
 Edge cases: null and empty texts have no shingles and no links (n_shingles 0, their own component); a text with fewer
 words than a shingle is one shingle; rows that share a doc_id count as one document; a null doc_id is never linked and
@@ -21,13 +21,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .components import components
 from .words import SPACED, Words, inside, mix, run_hash, stored, text_slices
 
 WORDS, PERCENT = 3, 90
-COUNT_BITS, BINS = 20, 1024
+COUNT_BITS, BINS = 22, 512
 BROADCAST_IDS = 500_000  # 8 bytes each
 
 
@@ -65,7 +65,10 @@ def set_keys(g: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> list[bytes]:
 
 
 def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """For each counter how often its shingles occur, on a scale of logarithms: a fixed number of counters."""
+    """For each counter how often its shingles occur, on a scale of logarithms: a fixed number of bytes.
+
+    A task counts up to 255 for each counter; only the order of shingles depends on it.
+    """
     width = 1 << 14
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,16 +77,16 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
             words = Words(text, SPACED)
             g = run_hash(words.hashes(), n)
             total += np.bincount(cell(g[inside(words.splits, n, len(words))]), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) // width)), pa.array([r.astype("<u4").tobytes() for r in total.reshape(-1, width)], pa.binary())], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) // width)), pa.array([r.astype(np.uint8).tobytes() for r in np.minimum(total, 255).reshape(-1, width)], pa.binary())], names=["part", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in group["counts"].to_pylist())
-        return pa.table({"part": group["part"].slice(0, 1), "counts": pa.array([np.round(np.log2(1 + total) * 512).astype("<u2").tobytes()], pa.binary())})
+        total = sum(np.frombuffer(c, np.uint8).astype(np.int64) for c in group["counts"].to_pylist())
+        return pa.table({"part": group["part"].slice(0, 1), "counts": pa.array([np.minimum(np.round(np.log2(1 + total) * 10), 255).astype(np.uint8).tobytes()], pa.binary())})
 
     found = docs.select("text").mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect()
-    rank = np.zeros(1 << COUNT_BITS, np.uint16)
+    rank = np.zeros(1 << COUNT_BITS, np.uint8)
     for part, counts in found:
-        rank[part * width : (part + 1) * width] = np.frombuffer(counts, "<u2")
+        rank[part * width : (part + 1) * width] = np.frombuffer(counts, np.uint8)
     return rank
 
 
@@ -101,7 +104,7 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
             odd = np.bincount(rows * BINS + (mix(g) % np.uint64(BINS)).astype(np.int64), minlength=len(text) * BINS) & 1
             parity = np.packbits(odd.astype(np.uint8).reshape(len(text), BINS), axis=1).view("<i8")
             length = np.where(sizes > 0, sizes - (percent * sizes + 99) // 100 + 1, 0)
-            order = np.argsort((rows.astype(np.uint64) << np.uint64(16)) | rank[cell(g)], kind="stable")  # ties: by hash
+            order = np.argsort((rows.astype(np.uint64) << np.uint64(8)) | rank[cell(g)], kind="stable")  # ties: by hash
             place = np.arange(len(g)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             kept = order[place < length[rows]]
             split = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
@@ -115,6 +118,17 @@ def need(x: str, y: str, percent: int):
     return F.expr(f"ceil({percent} * ({x} + {y}) / {100 + percent})")
 
 
+def neighbours(listed: DataFrame, percent: int) -> DataFrame:
+    """Rows (gram, rep, size, pos) of classes that have another class of a fitting size in the shingle's group, each with
+    the one before it in order of size (b, b_size, b_pos; null if that is too small). One shuffle, and a row for a row."""
+    w = Window.partitionBy("gram").orderBy("size", "rep")
+    before, after = F.lag(F.struct("rep", "size", "pos")).over(w), F.lead("size").over(w)
+    fits = lambda small, large: F.coalesce(100 * small >= percent * large, F.lit(False))
+    rows = listed.withColumn("x", before).withColumn("after", after).withColumn("near", fits(F.col("x.size"), F.col("size"))).where(F.col("near") | fits(F.col("size"), F.col("after")))
+    own = lambda c: F.when(F.col("near"), F.col(f"x.{c}"))
+    return rows.select("gram", "rep", "size", "pos", own("rep").alias("b"), own("size").alias("b_size"), own("pos").alias("b_pos"))
+
+
 def passing(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) that pass the length and positional filters; pairs: a, a_size, a_pos and the same for b."""
     left = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
@@ -130,7 +144,9 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perc
     likely = stored(likely.distinct(), "pairs")
     ids = stored(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct().join(classes.select("rep", "key"), "rep"), "needed")
     # The ids are broadcast only up to a fixed number; beyond it Spark joins by shuffle.
-    needed = F.broadcast(ids.select(F.col("rep").alias("doc_id"))) if ids.count() <= BROADCAST_IDS else ids.select(F.col("rep").alias("doc_id"))
+    wanted = ids.count()
+    small = F.broadcast if wanted <= BROADCAST_IDS else lambda x: x
+    needed = small(ids.select(F.col("rep").alias("doc_id")))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in text_slices(batches):
@@ -139,7 +155,9 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perc
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_keys(g, rows, sizes), pa.binary()), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(g.view(np.int64)))], names=["rep", "key", "grams"])
 
     found = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(sets, "rep long, key binary, grams array<long>")
-    found = stored(found.join(ids, ["rep", "key"], "left_semi").dropDuplicates(["rep"]).select("rep", "grams"), "sets")
+    found = stored(found.join(small(ids), ["rep", "key"], "left_semi").select("rep", "grams"), "sets")
+    if found.count() > wanted:  # rows that repeat
+        found = found.dropDuplicates(["rep"])
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,30 +173,78 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perc
     return stored(whole.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
+def cross_pairs(part: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.ndarray, parity: np.ndarray, percent: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one shingle's group that lie in different components and pass all filters; in blocks of bounded size."""
+    out = [np.zeros((2, 0), np.int64)]
+    for i0 in range(0, len(rep), block):
+        for j0 in range(i0, len(rep), block):
+            i, j = np.arange(i0, min(i0 + block, len(rep)))[:, None], np.arange(j0, min(j0 + block, len(rep)))[None, :]
+            low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            needed = -(-percent * (size[i] + size[j]) // (100 + percent))
+            ok = (i < j) & (part[i] != part[j]) & (100 * low >= percent * high)
+            ok &= np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= needed
+            a, b = np.nonzero(ok)
+            a, b = a + i0, b + j0
+            apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+            keep = apart <= size[a] + size[b] - 2 * -(-percent * (size[a] + size[b]) // (100 + percent))
+            out.append(np.stack([rep[a[keep]], rep[b[keep]]]))
+    x = np.concatenate(out, axis=1)
+    return np.minimum(x[0], x[1]), np.maximum(x[0], x[1])
+
+
+def across(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of classes that share a prefix shingle, lie in different components and pass the filters.
+
+    Groups with one component are left out first. The others come sorted, so a task holds one group at a time; pairs are
+    tried within it and only those that pass all filters are emitted.
+    """
+    several = placed.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gram")
+    rows = placed.join(several, "gram", "left_semi").join(classes.select("rep", "parity"), "rep")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(done: pa.Table) -> pa.RecordBatch:
+            gram, part, rep, size, pos = (done[c].to_numpy() for c in ("gram", "part", "rep", "size", "pos"))
+            parity = done["parity"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(gram), -1)
+            cuts = np.append(np.flatnonzero(np.diff(gram, prepend=gram[:1] + 1)), len(gram))
+            found = [cross_pairs(*(x[a:z] for x in (part, rep, size, pos)), parity[a:z], percent) for a, z in zip(cuts[:-1], cuts[1:])]
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            a, b = np.unique(np.stack([a, b]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column("gram")[batch.num_rows - 1].as_py()
+            split = int(np.searchsorted(batch.column("gram").to_numpy(), last, "left"))
+            if split or held and held[-1].column("gram")[0].as_py() != last:
+                done = pa.Table.from_batches([*held, batch.slice(0, split)])
+                held = []
+                if done.num_rows:
+                    yield pairs(done)
+            held.append(batch.slice(split))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    ordered = rows.select("gram", "part", "rep", "size", F.col("pos").cast("long").alias("pos"), "parity").repartition("gram").sortWithinPartitions("gram")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
     every = stored(prefixes(docs, n, percent), "prefixes")
     rows = every.where("doc_id is not null and size > 0")
     reps = rows.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    classes = stored(rows.withColumnRenamed("doc_id", "rep").join(reps, ["rep", "key"]).dropDuplicates(["key"]), "classes")
-    listed = classes.select("rep", "size", F.posexplode("prefix").alias("pos", "gram"))
-    # Shingles that only one class has in its prefix make no pair. center: the smallest class of a group.
-    groups = listed.groupBy("gram").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "center")
-    shared = stored(listed.join(groups, "gram"), "shared")
-
-    at = shared.where("rep = center").select("gram", F.col("rep").alias("b"), F.col("size").alias("b_size"), F.col("pos").alias("b_pos"))
-    stars = shared.where("rep <> center").join(at, "gram").select(F.col("rep").alias("a"), F.col("size").alias("a_size"), F.col("pos").alias("a_pos"), "b", "b_size", "b_pos")
-    links = verified(docs, classes, passing(stars, percent), n, percent)
+    classes = stored(rows.withColumnRenamed("doc_id", "rep").join(reps, ["rep", "key"]).dropDuplicates(["rep", "key"]), "classes")  # a key has one rep
+    shared = stored(neighbours(classes.select("rep", "size", F.posexplode("prefix").alias("pos", "gram")), percent), "shared")
+    chains = shared.where("b is not null").select(F.col("rep").alias("a"), F.col("size").alias("a_size"), F.col("pos").alias("a_pos"), "b", "b_size", "b_pos")
+    links = verified(docs, classes, passing(chains, percent), n, percent)
 
     parts = components(links)
-    placed = shared.join(parts, F.col("rep") == F.col("node"), "left").select("gram", "rep", "size", "pos", "center", F.coalesce("component", "rep").alias("part"))
-    placed = stored(placed, "placed")
-    sides = placed.groupBy("gram", "part").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    x, y = sides.select("gram", F.col("part").alias("p"), F.col("low").alias("p_low"), F.col("high").alias("p_high")), sides.select("gram", F.col("part").alias("q"), F.col("low").alias("q_low"), F.col("high").alias("q_high"))
-    across = x.join(y, "gram").where((F.col("p") < F.col("q")) & (100 * F.col("p_high") >= percent * F.col("q_low")) & (100 * F.col("q_high") >= percent * F.col("p_low"))).select("gram", "p", "q")
-    side = lambda c, part: placed.select("gram", F.col("part").alias(part), F.col("rep").alias(c), F.col("size").alias(f"{c}_size"), F.col("pos").alias(f"{c}_pos"), F.col("center").alias(f"{c}_center"))
-    more = across.join(side("a", "p"), ["gram", "p"]).join(side("b", "q"), ["gram", "q"]).where("a <> a_center and b <> b_center")
-    links = links.unionByName(verified(docs, classes, passing(more, percent), n, percent))
+    placed = shared.join(parts, F.col("rep") == F.col("node"), "left").select("gram", "rep", "size", "pos", F.coalesce("component", "rep").alias("part"))
+    more = across(stored(placed, "placed"), classes, percent)
+    links = links.unionByName(verified(docs, classes, more, n, percent))
 
     parts = components(links)
     named = classes.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
