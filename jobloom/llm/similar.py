@@ -4,11 +4,12 @@ The shingles of a document are ordered rare first, by counts over all documents
 counters only change the order, never the result). Documents with equal sets form one class. Two classes that reach the
 similarity share a shingle in their prefixes; pairs come from those shingles, pass the length, positional and suffix
 filters, and are verified once with their whole sets. The suffix filter compares parities of the counts of shingles in
-BINS buckets: each differing bucket is at least one shingle that only one set has.
+buckets (a power of two, as many as shingles or more): each differing bucket is at least one shingle that only one set
+has. Sets whose numbers of buckets differ are compared by the smaller number: halves of the larger fold by XOR.
 
-Pairs come in two rounds, so that a group of copies doesn't emit all its pairs: first each class with the next smaller one
-of the shingle's group; then the pairs of a group that aren't yet in one component, tried inside a task and emitted only
-if they pass all filters. Together they hold every link that could join two components.
+Pairs come in two rounds, so that a group of copies doesn't emit all its pairs: first each class with one likely partner
+among the next smaller ones of its shingles' groups; then the pairs of a group that aren't yet in one component, tried
+inside a task and emitted only if they pass all filters. Together they hold every link that could join two components.
 
 Edge cases: null and empty texts have no shingles and no links (n_shingles 0, their own component); a text with fewer
 words than a shingle is one shingle; rows that share a doc_id count as one document; a null doc_id is never linked and
@@ -27,7 +28,7 @@ from .components import components
 from .words import SPACED, Words, inside, mix, run_hash, stored, text_slices
 
 WORDS, PERCENT = 3, 90
-COUNT_BITS, BINS = 22, 512
+COUNT_BITS, LEAST_BINS = 22, 256
 BROADCAST_IDS = 500_000  # 8 bytes each
 
 
@@ -90,6 +91,21 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
     return rank
 
 
+def parities(g: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64 parities in a number, for all sets; where the numbers of each set begin and end)."""
+    bins = np.maximum(LEAST_BINS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(bins)])
+    at = ends[rows] + (mix(g) & (bins[rows] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=ends[-1]) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8"), (ends // 64).astype(np.int32)
+
+
+def folded(parity, other):
+    """parity by as many buckets as other has, if it has twice as many (an expression)."""
+    n = F.size(other)
+    return F.when(F.size(parity) <= n, F.col(parity)).otherwise(F.transform(F.slice(parity, F.lit(1), n), lambda x, i: x.bitwiseXOR(F.get(parity, i + n))))
+
+
 def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, size, key (of the set), prefix (rare first), parity for each document."""
     sent = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, n))
@@ -101,14 +117,13 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
             g, rows = shingles(text, n)
             sizes = np.bincount(rows, minlength=len(text))
             keys = set_keys(g, rows, sizes)
-            odd = np.bincount(rows * BINS + (mix(g) % np.uint64(BINS)).astype(np.int64), minlength=len(text) * BINS) & 1
-            parity = np.packbits(odd.astype(np.uint8).reshape(len(text), BINS), axis=1).view("<i8")
+            parity, ends = parities(g, rows, sizes)
             length = np.where(sizes > 0, sizes - (percent * sizes + 99) // 100 + 1, 0)
             order = np.argsort((rows.astype(np.uint64) << np.uint64(8)) | rank[cell(g)], kind="stable")  # ties: by hash
             place = np.arange(len(g)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             kept = order[place < length[rows]]
             split = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(split, pa.array(g[kept].view(np.int64))), pa.array(list(parity), pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(split, pa.array(g[kept].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(parity))], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, key binary, prefix array<long>, parity array<long>")
 
@@ -136,12 +151,13 @@ def passing(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(ok).select("a", "b").distinct()
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity, after the suffix filter."""
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int, one_each: bool = False) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity, after the suffix filter. one_each: only one likely pair of
+    each a is verified (the others are left to a later round)."""
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("size").alias(f"{c}_size"), F.col("parity").alias(f"{c}_parity"))
-    apart = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with(folded("a_parity", "b_parity"), folded("b_parity", "a_parity"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= F.col("a_size") + F.col("b_size") - 2 * need("a_size", "b_size", percent)).select("a", "b")
-    likely = stored(likely.distinct(), "pairs")
+    likely = stored(likely.groupBy("a").agg(F.min("b").alias("b")) if one_each else likely.distinct(), "pairs")
     ids = stored(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct().join(classes.select("rep", "key"), "rep"), "needed")
     # The ids are broadcast only up to a fixed number; beyond it Spark joins by shuffle.
     wanted = ids.count()
@@ -173,7 +189,14 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perc
     return stored(whole.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
-def cross_pairs(part: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.ndarray, parity: np.ndarray, percent: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Buckets in which two sets differ, after folding to the smaller number of buckets."""
+    n = min(len(x), len(y))
+    x, y = (p.reshape(-1, n) for p in (x, y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x, axis=0) ^ np.bitwise_xor.reduce(y, axis=0)).sum())
+
+
+def cross_pairs(part: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.ndarray, parity: list[np.ndarray], percent: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one shingle's group that lie in different components and pass all filters; in blocks of bounded size."""
     out = [np.zeros((2, 0), np.int64)]
     for i0 in range(0, len(rep), block):
@@ -185,7 +208,7 @@ def cross_pairs(part: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.nda
             ok &= np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= needed
             a, b = np.nonzero(ok)
             a, b = a + i0, b + j0
-            apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+            apart = np.fromiter((differing(parity[x], parity[y]) for x, y in zip(a, b)), np.int64, len(a))
             keep = apart <= size[a] + size[b] - 2 * -(-percent * (size[a] + size[b]) // (100 + percent))
             out.append(np.stack([rep[a[keep]], rep[b[keep]]]))
     x = np.concatenate(out, axis=1)
@@ -206,7 +229,10 @@ def across(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
         def pairs(done: pa.Table) -> pa.RecordBatch:
             gram, part, rep, size, pos = (done[c].to_numpy() for c in ("gram", "part", "rep", "size", "pos"))
-            parity = done["parity"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(gram), -1)
+            whole = done["parity"].combine_chunks()
+            whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+            ends = whole.offsets.to_numpy()
+            parity = np.split(whole.values.to_numpy().view(np.uint64), ends[1:-1]) if not whole.offset and ends[0] == 0 else [x.values.to_numpy().view(np.uint64) for x in whole]
             cuts = np.append(np.flatnonzero(np.diff(gram, prepend=gram[:1] + 1)), len(gram))
             found = [cross_pairs(*(x[a:z] for x in (part, rep, size, pos)), parity[a:z], percent) for a, z in zip(cuts[:-1], cuts[1:])]
             a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
@@ -239,7 +265,7 @@ def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     classes = stored(rows.withColumnRenamed("doc_id", "rep").join(reps, ["rep", "key"]).dropDuplicates(["rep", "key"]), "classes")  # a key has one rep
     shared = stored(neighbours(classes.select("rep", "size", F.posexplode("prefix").alias("pos", "gram")), percent), "shared")
     chains = shared.where("b is not null").select(F.col("rep").alias("a"), F.col("size").alias("a_size"), F.col("pos").alias("a_pos"), "b", "b_size", "b_pos")
-    links = verified(docs, classes, passing(chains, percent), n, percent)
+    links = verified(docs, classes, passing(chains, percent), n, percent, one_each=True)
 
     parts = components(links)
     placed = shared.join(parts, F.col("rep") == F.col("node"), "left").select("gram", "rep", "size", "pos", F.coalesce("component", "rep").alias("part"))
