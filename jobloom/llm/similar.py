@@ -135,13 +135,16 @@ def need(x: str, y: str, percent: int):
 
 def neighbours(listed: DataFrame, percent: int) -> DataFrame:
     """Rows (gram, rep, size, pos) of classes that have another class of a fitting size in the shingle's group, each with
-    the one before it in order of size (b, b_size, b_pos; null if that is too small). One shuffle, and a row for a row."""
+    a partner (b, b_size, b_pos): the smallest class of about its size, so that copies get the same partner in all their
+    groups, or else the one before it in order of size. One shuffle, and a row for a row."""
     w = Window.partitionBy("gram").orderBy("size", "rep")
-    before, after = F.lag(F.struct("rep", "size", "pos")).over(w), F.lead("size").over(w)
+    mine = F.struct("rep", "size", "pos")
     fits = lambda small, large: F.coalesce(100 * small >= percent * large, F.lit(False))
-    rows = listed.withColumn("x", before).withColumn("after", after).withColumn("near", fits(F.col("x.size"), F.col("size"))).where(F.col("near") | fits(F.col("size"), F.col("after")))
-    own = lambda c: F.when(F.col("near"), F.col(f"x.{c}"))
-    return rows.select("gram", "rep", "size", "pos", own("rep").alias("b"), own("size").alias("b_size"), own("pos").alias("b_pos"))
+    rows = listed.withColumn("x", F.lag(mine).over(w)).withColumn("after", F.lead("size").over(w)).withColumn("near", fits(F.col("x.size"), F.col("size")))
+    rows = rows.where(F.col("near") | fits(F.col("size"), F.col("after"))).withColumn("scale", F.floor(F.log("size") / F.log(F.lit(100 / percent))))
+    rows = rows.withColumn("y", F.min(mine).over(Window.partitionBy("gram", "scale")))
+    partner = F.when(F.col("y.rep") != F.col("rep"), F.col("y")).when(F.col("near"), F.col("x"))
+    return rows.withColumn("z", partner).select("gram", "rep", "size", "pos", F.col("z.rep").alias("b"), F.col("z.size").alias("b_size"), F.col("z.pos").alias("b_pos"))
 
 
 def passing(pairs: DataFrame, percent: int) -> DataFrame:
