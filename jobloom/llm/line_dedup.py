@@ -1,10 +1,10 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a rare line are paired, aligned by patience diff over their line hashes, and the common blocks are
-deleted from the later document (larger doc_id; equal ids: by the hash of the text). A line links a document with the
-nearest earlier document that has it (within BLOCK ids; beyond that with the first one), so that a line adds at most one
-pair for each document, however frequent it is. Lines in at most RARE documents link; a document whose shared lines are
-all more frequent links by its rarest, so that large groups of copies are found too. Pairs carry hashes, not texts.
+Documents that share a line are paired, aligned by patience diff over their line hashes, and the common blocks are
+deleted from the later document (larger doc_id; equal ids: by the hash of the text). Every line links a document with the
+nearest earlier document that has it, so that a line adds at most one pair for each document, however frequent it is: first
+among the documents of a block of 2**BLOCK_BITS ids, then, for the first of a block, over the ends of the blocks before.
+So no task holds all documents of a frequent line. Pairs carry hashes, not texts.
 
 Edge cases: null texts have no lines and stay null; empty texts stay; lines under MIN_LINE characters don't link, and
 blocks under MIN_BLOCK characters are not deleted; rows equal in doc_id and text are one document and are treated alike;
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .words import stored
 
-RARE, BLOCK, MIN_LINE, MIN_BLOCK = 1000, 1 << 16, 10, 30
+BLOCK_BITS, MIN_LINE, MIN_BLOCK = 12, 10, 30
 
 
 def rising(places: list[int]) -> list[int]:
@@ -83,19 +83,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__h", F.xxhash64("text"))
 
 
-def deletions(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def deletions(docs: DataFrame) -> DataFrame:
     """__id, __h and `gone` (numbers of the lines to delete) of the documents that lose lines."""
     lines = F.split("text", "\n")
     own = stored(keyed(docs.where("text is not null")).select("__id", "__h", F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(lines, lambda x: F.length(x)).alias("sizes")).dropDuplicates(["__id", "__h"]), "lines")
-    each = own.select("__id", "__h", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).where(F.col("x.sizes") >= MIN_LINE).select("__id", "__h", F.col("x.hashes").alias("line"))
-    first = F.min(F.struct("__id", "__h"))
-    counts = each.groupBy("line").agg(F.count(F.lit(1)).alias("df"), first.alias("first")).where("df > 1")
-    shared = each.join(counts, "line").distinct()
-    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("df", "line")))
-    links = ranked.where((F.col("df") <= rare) | (F.col("rank") == 1)).withColumn("block", F.floor(F.col("__id") / BLOCK))
-    before = F.lag(F.struct("__id", "__h")).over(Window.partitionBy("line", "block").orderBy("__id", "__h"))
-    paired = links.withColumn("early", F.coalesce(before, "first")).where((F.col("early.__id") != F.col("__id")) | (F.col("early.__h") != F.col("__h")))
-    pairs = paired.select("__id", "__h", F.col("early.__id").alias("e_id"), F.col("early.__h").alias("e_h")).distinct()
+    long = F.filter(F.arrays_zip("hashes", "sizes"), lambda x: x.sizes >= MIN_LINE)
+    each = own.select("__id", "__h", F.shiftright("__id", BLOCK_BITS).alias("block"), F.explode(F.array_distinct(F.transform(long, lambda x: x.hashes))).alias("line"))
+    key, in_block, in_line = F.struct("__id", "__h"), Window.partitionBy("line", "block").orderBy("__id", "__h"), Window.partitionBy("line").orderBy("__id", "__h")
+    near = each.select("line", "__id", "__h", F.lag(key).over(in_block).alias("early"), F.lead(key).over(in_block).alias("late"))
+    # What stands before the first of a block, among the ends of all blocks, is the last of the nearest earlier block.
+    ends = near.where("early is null or late is null").withColumn("before", F.lag(key).over(in_line)).where("early is null and before is not null")
+    linked = near.where("early is not null").select("__id", "__h", "early").unionAll(ends.select("__id", "__h", F.col("before").alias("early")))
+    pairs = linked.select("__id", "__h", F.col("early.__id").alias("e_id"), F.col("early.__h").alias("e_h")).distinct()
     early = own.select(F.col("__id").alias("e_id"), F.col("__h").alias("e_h"), F.col("hashes").alias("e_hashes"))
     whole = pairs.join(own, ["__id", "__h"]).join(early, ["e_id", "e_h"]).select("__id", "__h", "hashes", "sizes", "e_hashes")
 
@@ -111,17 +110,17 @@ def deletions(docs: DataFrame, rare: int = RARE) -> DataFrame:
     return found.groupBy("__id", "__h").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
 
 
-def without_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def without_lines(docs: DataFrame) -> DataFrame:
     """docs with `text` less its deleted lines, and __gone (how many; 0 for most)."""
-    joined = keyed(docs).join(deletions(docs, rare), ["__id", "__h"], "left")
+    joined = keyed(docs).join(deletions(docs), ["__id", "__h"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text")
     return joined.select(*[text if c == "text" else c for c in docs.columns], F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__gone"))
 
 
-def line_dedup(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def line_dedup(docs: DataFrame) -> DataFrame:
     """Documents with repeated blocks deleted; a document that loses all its lines goes. n_chars follows the text."""
-    kept = without_lines(docs, rare).where("__gone = 0 or text <> ''")
+    kept = without_lines(docs).where("__gone = 0 or text <> ''")
     return kept.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 

@@ -52,3 +52,14 @@ def test_stage_keeps_columns_and_drops_emptied(spark):
     assert len(texts[3]) == 2  # equal rows are one document
     assert line_dedup(docs.limit(0)).count() == 0
     assert hashlib.sha256(texts[12][0].encode()).hexdigest() != hashlib.sha256("".encode()).hexdigest()
+
+
+def test_frequent_lines_link_like_rare_ones(spark):
+    p, q = ("\n".join(f"{name} line {k} of a frequent passage" for k in range(3)) for name in ("first", "second"))
+    texts = [f"{(p, q)[k % 2]}\nthe very own line {k} of the text" for k in range(2200)]
+    texts += ["a line that only two documents have", f"{p}\na line that only two documents have", f"{p}\nsomething in between\n{q}", f"head\n{p}"]
+    rows = [(k * 97, t) for k, t in enumerate(texts)]  # over many blocks of ids
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in without_lines(docs).collect()}
+    assert got == {i: kept for (i, _), kept in brute(rows).items()}
+    assert got[2201 * 97] == "" and got[2202 * 97] == "something in between" and got[2203 * 97] == "head"
