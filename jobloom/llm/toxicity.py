@@ -2,7 +2,8 @@
 
 Features of a text (each counts once): words, pairs of neighbours, pairs with one word between, and the first four
 characters of a word (for spellings never seen in training), all as 64-bit hashes. Training runs in one task over a
-bounded sample of labelled rows (`max_rows`, chosen by a hash of the id). A feature takes part if MIN_DOCS training
+bounded sample of labelled rows (`max_rows`, chosen by a hash of the id; one row for each id, that with the least hash of
+its text). The texts of the sample are used whole, so its bytes are bounded by max_rows of the longest texts. A feature takes part if MIN_DOCS training
 texts have it, so that single texts can't be learned by heart; L1 leaves few weights, and only those are sent: at most
 one for each feature of the sample.
 
@@ -120,11 +121,12 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, weights) of the non-zero weights, learned from at most max_rows labelled rows of `docs`."""
+    """(hashes, weights) of the non-zero weights, learned from at most max_rows labelled rows of `docs`, one for each id."""
     chosen = labels.where("toxic is not null and doc_id is not null").where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # At most max_rows (id, label) pairs: a bounded side.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "__y", F.lit(0).alias("__one"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    rows = rows.select("doc_id", F.col("least.text").alias("text"), "__y", F.lit(0).alias("__one"))
 
     def one(group: pa.Table) -> pa.Table:
         order = np.argsort(np.fromiter((xxhash.xxh3_64_intdigest(str(i)) for i in group["doc_id"].to_pylist()), np.uint64, group.num_rows), kind="stable")

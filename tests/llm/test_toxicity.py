@@ -48,3 +48,14 @@ def test_held_out_rows_teach_nothing(spark):
     held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 0]
     docs = spark.createDataFrame([(k, f"word{k} vile") for k in held], "doc_id long, text string")
     assert len(fit(docs, labels(spark, [(k, 1, 0) for k in held]))[0]) == 0
+
+
+def test_repeated_ids_teach_once(spark):
+    taught = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 != 0]
+    rows = [(k, f"word{k % 7} text {'vile' if k % 3 == 0 else 'kind'}") for k in taught]
+    lab, once_each = labels(spark, [(k, int(k % 3 == 0), 0) for k in taught]), spark.createDataFrame(rows, "doc_id long, text string")
+    again = spark.createDataFrame(rows + [rows[1]] * 500, "doc_id long, text string")
+    want, got = fit(once_each, lab), fit(again, lab)
+    assert len(want[0]) > 1 and all(np.array_equal(a, b) for a, b in zip(want, got))
+    others = once_each.unionAll(spark.createDataFrame([(rows[1][0], f"odd mark {k}") for k in range(500)], "doc_id long, text string"))
+    assert not {*features(pa.array(["odd mark"]))[1].tolist()} & {*fit(others, lab)[0].tolist()}
