@@ -3,7 +3,7 @@
 The patterns give the base spans. The field is trained on the driver from a small labelled table (`labelled`, made by a
 rule from written forms of each kind and of things that only look like them), and its weights (a fixed 2**BITS by tag
 array) go to the tasks. It reads the words within REACH of a word with a digit, an @ or a spelled-out at or dot; all
-other words are outside by definition of the model. Runs of words are decoded together by Viterbi in numpy batches.
+other words are outside by definition of the model. Runs of words, each whole, are decoded together by Viterbi in numpy batches.
 A decoded span is kept if it holds what its kind needs and meets no base span.
 
 Edge cases: null and empty texts have no spans; very long words cost time in proportion to their length; repeated rows
@@ -26,7 +26,8 @@ from .words import raw_bytes, text_slices
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 BITS, REACH, LONG_WORD = 12, 5, 64
-SPELLED = (b" dot ", b"(at)", b"[at]", b"(dot)", b"[dot]")
+STEPS, PLACES = 512, 256 * 512
+SPELLED = (b"dot", b"(at)", b"[at]")  # texts without these, digits and @ have no trigger
 
 # Fixed values of the base patterns.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -173,14 +174,19 @@ class Field:
     def decode(self, rows: list[np.ndarray]) -> list[np.ndarray]:
         """The likeliest tags of each row (Viterbi over all rows at once)."""
         places, mask = batch_of(rows)
-        e, k, longest = self.emissions(places), len(TAGS), mask.shape[1]
-        best, back = e[:, 0] + self.moves[k], np.zeros((len(rows), longest, k), np.int64)
-        for t in range(1, longest):
+        k, longest = len(TAGS), mask.shape[1]
+        best, back = np.zeros((len(rows), k)), np.zeros((len(rows), longest, k), np.int8)
+        for t in range(longest):
+            if t % STEPS == 0:  # emissions of a long run are worked out in parts; the state is carried over
+                e = self.emissions(places[:, t : t + STEPS])
+            if t == 0:
+                best = e[:, 0] + self.moves[k]
+                continue
             scores = best[:, :, None] + self.moves[:k]
             came = scores.argmax(axis=1)
             on = mask[:, t, None]
             back[:, t] = np.where(on, came, np.arange(k))
-            best = np.where(on, scores.max(axis=1) + e[:, t], best)
+            best = np.where(on, scores.max(axis=1) + e[:, t % STEPS], best)
         tags = np.zeros((len(rows), longest), np.int64)
         tags[:, -1] = best.argmax(axis=1)
         for t in range(longest - 1, 0, -1):
@@ -253,13 +259,16 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], field:
         found = list(WORD.finditer(text))
         words = [m[0] for m in found]
         for a, z in near(words):
-            for lo in range(a, z, 512):  # a longer run is decoded in parts
-                where.append((t, found[lo : min(lo + 512, z)]))
-                rows.append(features(words[lo : min(lo + 512, z)]))
+            where.append((t, found[a:z]))
+            rows.append(features(words[a:z]))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     order = sorted(range(len(rows)), key=lambda k: len(rows[k]))
-    for lo in range(0, len(order), 256):
-        part = order[lo : lo + 256]
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1  # padded places are bounded; a longer run stands alone
+        while hi < min(lo + 256, len(order)) and (hi + 1 - lo) * len(rows[order[hi]]) <= PLACES:
+            hi += 1
+        part, lo = order[lo:hi], hi
         for k, tags in zip(part, field.decode([rows[k] for k in part])):
             t, found = where[k]
             start = 0

@@ -52,3 +52,16 @@ def test_query(spark):
     row = next(r for r in got if r.doc_id == 13)
     assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 1, 1)
     assert personal_data(docs.limit(0)).count() == 0
+
+
+def test_long_runs_have_no_seams():
+    field, features = trained(), Features()
+    for shift in range(4):
+        text = "so " * shift + "call (555) 123-4567 now " * 400
+        want = [("phone", 3 * shift + 24 * k + 5, 3 * shift + 24 * k + 19) for k in range(400)]
+        assert added_spans([text], [base_spans(text)], field, features)[0] == want
+
+
+def test_any_white_space_around_dot(spark):
+    texts = ["write joe.doe at gmail dot com", "write joe.doe at gmail\ndot\ncom", "write joe.doe at gmail\tdot com", "no form in this anecdote"]
+    assert [r.n_email for r in personal_data(frame(spark, texts, False)).orderBy("doc_id").collect()] == [1, 1, 1, 0]
