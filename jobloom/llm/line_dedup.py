@@ -1,14 +1,19 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are paired, aligned by patience diff over their line hashes, and the common blocks are
-deleted from the later document (larger doc_id; equal ids: by the hash of the text). Every line links a document with the
-nearest earlier document that has it, so that a line adds at most one pair for each document, however frequent it is: first
-among the documents of a block of 2**BLOCK_BITS ids, then, for the first of a block, over the ends of the blocks before.
-So no task holds all documents of a frequent line. Pairs carry hashes, not texts.
-
-Edge cases: null texts have no lines and stay null; empty texts stay; lines under MIN_LINE characters don't link, and
-blocks under MIN_BLOCK characters are not deleted; rows equal in doc_id and text are one document and are treated alike;
-a null doc_id comes before all others; an empty table gives no rows. All other columns pass through.
+A block is a run of consecutive lines with MIN_BLOCK characters or more. Documents that share a block are paired, aligned
+by patience diff over their line hashes, and the common blocks are deleted from the later document (larger doc_id; equal
+ids: by the hash of the text). So a line goes if it lies in a block that some earlier document holds as well.
+
+Pairing is complete: `windows` gives the least blocks from each line on and up to each line, and every common block is
+covered by such windows that lie inside it. Each window links a document with the nearest earlier document that has it,
+so a window adds at most one pair for each document, however frequent it is; a window that patience diff leaves (moved
+text, repeated lines) is aligned from where it stands outward. The nearest earlier document is looked for first among the
+documents of a block of ids (about BLOCK_DOCS of them), then, for the first of a block, over the ends of the blocks
+before; so no task holds all documents of a frequent line. Pairs carry hashes, not texts.
+
+Edge cases: null texts have no lines and stay null; empty texts stay; rows equal in doc_id and text are one document and
+are treated alike; a null doc_id comes before all others; an empty table gives no rows. All other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .words import stored
+from .words import mix, span_hashes, stored
 
-BLOCK_BITS, MIN_LINE, MIN_BLOCK = 12, 10, 30
+BLOCK_DOCS, MIN_BLOCK = 1024, 30
+NULL_ID = -(1 << 63)
 
 
 def rising(places: list[int]) -> list[int]:
@@ -78,52 +85,134 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return [tuple(x) for x in out]
 
 
+def windows(lines: np.ndarray, sizes: np.ndarray, splits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, behind the last line, hash) of the least blocks that begin or end at a line, each once.
+
+    lines, sizes: hashes and characters of the lines of some texts; splits: where the lines of each text begin and end.
+    """
+    n, per = len(lines), np.diff(splits)
+    total, at = np.concatenate([[0], np.cumsum(sizes)]), np.arange(n)
+    stop = np.searchsorted(total, total[:-1] + MIN_BLOCK, "left")
+    start = np.searchsorted(total, total[1:] - MIN_BLOCK, "right") - 1
+    on, upto = stop <= np.repeat(splits[1:], per), (start >= np.repeat(splits[:-1], per)) & (total[1:] >= MIN_BLOCK)
+    both = np.unique(np.concatenate([at[on] * (n + 1) + stop[on], start[upto] * (n + 1) + at[upto] + 1]))
+    a, z = both // (n + 1), both % (n + 1)
+    return a, z, span_hashes(mix(lines.view(np.uint64)), a, z)
+
+
+def common_lines(a: np.ndarray, a_windows: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """Which lines of a lie in a block that b has: patience diff, then the windows that it left."""
+    gone, total = np.zeros(len(a), bool), np.concatenate([[0], np.cumsum(sizes)])
+    for i, _, n in align(a.tolist(), b.tolist()):
+        if total[i + n] - total[i] >= MIN_BLOCK:
+            gone[i : i + n] = True
+    if gone.all():
+        return gone
+    first, stop, h = a_windows
+    covered = np.concatenate([[0], np.cumsum(gone)])
+    left = np.flatnonzero(covered[stop] - covered[first] < stop - first)
+    if not len(left):
+        return gone
+    b_first, _, b_h = windows(b, b_sizes, np.array([0, len(b)]))
+    order = np.argsort(b_h, kind="stable")
+    at = np.minimum(np.searchsorted(b_h[order], h[left]), len(b_h) - 1) if len(b_h) else np.zeros(0, np.int64)
+    for k, j in zip(left[: len(at)], order[at] if len(b_h) else at):
+        i, z, j0 = int(first[k]), int(stop[k]), int(b_first[j])
+        if h[k] == b_h[j] and np.array_equal(a[i:z], b[j0 : j0 + z - i]):
+            gone[i:z] = True
+    return gone
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with the key of a document: __id, __h."""
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__h", F.xxhash64("text"))
+    """Key (id, h) and text of every document, and the whole row as `doc`: names of other columns can't clash."""
+    return docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("h"))
 
 
-def deletions(docs: DataFrame) -> DataFrame:
-    """__id, __h and `gone` (numbers of the lines to delete) of the documents that lose lines."""
-    lines = F.split("text", "\n")
-    own = stored(keyed(docs.where("text is not null")).select("__id", "__h", F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(lines, lambda x: F.length(x)).alias("sizes")).dropDuplicates(["__id", "__h"]), "lines")
-    long = F.filter(F.arrays_zip("hashes", "sizes"), lambda x: x.sizes >= MIN_LINE)
-    each = own.select("__id", "__h", F.shiftright("__id", BLOCK_BITS).alias("block"), F.explode(F.array_distinct(F.transform(long, lambda x: x.hashes))).alias("line"))
-    key, in_block, in_line = F.struct("__id", "__h"), Window.partitionBy("line", "block").orderBy("__id", "__h"), Window.partitionBy("line").orderBy("__id", "__h")
-    near = each.select("line", "__id", "__h", F.lag(key).over(in_block).alias("early"), F.lead(key).over(in_block).alias("late"))
+def linked(own: DataFrame) -> DataFrame:
+    """Distinct (id, h, e_id, e_h): each document with the nearest earlier one for every window that both have."""
+
+    def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lines, sizes = batch.column("hashes"), batch.column("sizes")
+            splits = lines.offsets.to_numpy().astype(np.int64)
+            flat = lambda x: x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()]
+            first, _, h = windows(flat(lines), flat(sizes), splits - splits[0])
+            row = np.searchsorted(splits - splits[0], first, "right") - 1
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+            take = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column("id").take(take), batch.column("h").take(take)], names=["window", "id", "h"])
+
+    n, low, high = own.where(F.col("id") != NULL_ID).agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
+    bits = max(0, ((high - low) * BLOCK_DOCS // n).bit_length() - 1) if n else 0  # ids of about BLOCK_DOCS documents
+    each = own.select("id", "h", "hashes", "sizes").mapInArrow(explode, "window long, id long, h long").withColumn("block", F.shiftright("id", bits))
+    key, in_block, in_all = F.struct("id", "h"), Window.partitionBy("window", "block").orderBy("id", "h"), Window.partitionBy("window").orderBy("id", "h")
+    near = each.select("window", "id", "h", F.lag(key).over(in_block).alias("early"), F.lead(key).over(in_block).alias("late"))
     # What stands before the first of a block, among the ends of all blocks, is the last of the nearest earlier block.
-    ends = near.where("early is null or late is null").withColumn("before", F.lag(key).over(in_line)).where("early is null and before is not null")
-    linked = near.where("early is not null").select("__id", "__h", "early").unionAll(ends.select("__id", "__h", F.col("before").alias("early")))
-    pairs = linked.select("__id", "__h", F.col("early.__id").alias("e_id"), F.col("early.__h").alias("e_h")).distinct()
-    early = own.select(F.col("__id").alias("e_id"), F.col("__h").alias("e_h"), F.col("hashes").alias("e_hashes"))
-    whole = pairs.join(own, ["__id", "__h"]).join(early, ["e_id", "e_h"]).select("__id", "__h", "hashes", "sizes", "e_hashes")
+    ends = near.where("early is null or late is null").withColumn("before", F.lag(key).over(in_all)).where("early is null and before is not null")
+    found = near.where("early is not null").select("id", "h", "early").unionAll(ends.select("id", "h", F.col("before").alias("early")))
+    return found.select("id", "h", F.col("early.id").alias("e_id"), F.col("early.h").alias("e_h")).distinct()
+
+
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """id, h, `keep` (a flag for each line) and `n_removed` of the documents that lose lines."""
+    lines = F.split("text", "\n")
+    listed = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("h"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(lines, lambda x: F.length(x)).alias("sizes"))
+    own = stored(listed.dropDuplicates(["id", "h"]), "lines")
+    early = own.select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), "hashes", "sizes")
+    pairs = linked(own).join(early, ["e_id", "e_h"]).select("id", "h", F.lit(1).alias("kind"), "hashes", "sizes")
+    # The rows of a document come together, its own lines first and then those of each earlier document.
+    rows = own.select("id", "h", F.lit(0).alias("kind"), "hashes", "sizes").unionByName(pairs).repartition("id", "h").sortWithinPartitions("id", "h", "kind")
 
     def diff(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part, out = batch.slice(start, 1000), []
-                for a, sizes, b in zip(part.column("hashes").to_pylist(), part.column("sizes").to_pylist(), part.column("e_hashes").to_pylist()):
-                    out.append([k for i, _, n in align(a, b) if sum(sizes[i : i + n]) >= MIN_BLOCK for k in range(i, i + n)])
-                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__h"), pa.array(out, pa.list_(pa.int32()))], names=["__id", "__h", "gone"])
+        key = mine = seen = gone = None
+        names, out = ["id", "h", "keep", "n_removed"], []
 
-    found = whole.mapInArrow(diff, "__id long, __h long, gone array<int>").where("size(gone) > 0")
-    return found.groupBy("__id", "__h").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+        def close() -> None:
+            if gone is not None and gone.any():
+                out.append((*key, (~gone).tolist(), int(gone.sum())))
+
+        for batch in batches:
+            own_id, own_h, kind = (batch.column(c).to_pylist() for c in ("id", "h", "kind"))
+            for k in range(batch.num_rows):
+                row = lambda c: batch.column(c)[k].values.to_numpy()
+                if kind[k] == 0:
+                    close()
+                    key, mine, seen, gone = (own_id[k], own_h[k]), (row("hashes"), row("sizes")), None, None
+                    continue
+                if seen is None:
+                    seen, gone = windows(*mine, np.array([0, len(mine[0])])), np.zeros(len(mine[0]), bool)
+                if not gone.all():
+                    gone |= common_lines(mine[0], seen, mine[1], row("hashes"), row("sizes"))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.bool_()), pa.int64()))], names=names)
+                out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.bool_()), pa.int64()))], names=names)
+
+    return rows.mapInArrow(diff, "id long, h long, keep array<boolean>, n_removed long")
 
 
 def without_lines(docs: DataFrame) -> DataFrame:
-    """docs with `text` less its deleted lines, and __gone (how many; 0 for most)."""
-    joined = keyed(docs).join(deletions(docs), ["__id", "__h"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text")
-    return joined.select(*[text if c == "text" else c for c in docs.columns], F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__gone"))
+    """`doc` (the columns of docs; text less its deleted lines) and `n_removed` (how many; 0 for most)."""
+    joined = keyed(docs).join(kept_lines(docs), ["id", "h"], "left")
+    kept = F.array_join(F.filter(F.split("doc.text", "\n"), lambda x, i: F.get("keep", i)), "\n")
+    text = F.when(F.col("keep").isNull(), F.col("doc.text")).otherwise(kept)
+    return joined.select(F.struct(*[(text if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns]).alias("doc"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """Documents with repeated blocks deleted; a document that loses all its lines goes. n_chars follows the text."""
-    kept = without_lines(docs).where("__gone = 0 or text <> ''")
-    return kept.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
+    kept = without_lines(docs).where("n_removed = 0 or doc.text <> ''")
+    return kept.select(*[(F.length("doc.text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return kept.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_kept_chars"), F.col("__gone").alias("n_lines_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    text = F.coalesce("doc.text", F.lit(""))
+    return kept.select("doc.doc_id", F.length(text).cast("long").alias("n_kept_chars"), F.col("n_removed").alias("n_lines_removed"), F.sha2(text, 256).alias("kept_sha256"))

@@ -19,14 +19,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .run_index import RunIndex
-from .words import K1, K2, mix, raw_bytes, stored, text_slices
+from .words import K1, K2, mix, raw_bytes, span_hashes, stored, text_slices
 
 LENGTH, GRAM = 50, 16
 NULL_ID = -(1 << 63)
@@ -69,18 +68,6 @@ def slide_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-@lru_cache(maxsize=1)
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    out = []
-    for base in (int(K1), pow(int(K1), -1, 1 << 64)):
-        x = np.ones(1 << bits, np.uint64)
-        for k in range(bits):
-            x[1 << k : 2 << k] = x[: 1 << k] * np.uint64(pow(base, 1 << k, 1 << 64))
-        out.append(x)
-    return out[0], out[1]
-
-
 def contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, strings in it, hash of the anchor (40 bits), hash of the context (48 bits)) of all contexts of the texts."""
     n, window = len(data), LENGTH - GRAM + 1
@@ -104,9 +91,7 @@ def contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     count = np.diff(start, append=len(owner))
     keep = owner[start] >= 0
     start, count = start[keep], count[keep]
-    up, down = powers(int(n).bit_length())
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n])])
-    whole = mix((sums[start + count + LENGTH - 1] - sums[start]) * down[start] + count.astype(np.uint64))
+    whole = span_hashes(data.astype(np.uint64) + np.uint64(1), start, start + count + LENGTH - 1)
     return start, count, h[owner[start]] >> np.uint64(24), whole >> np.uint64(16)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .words import shared_dir
 
-MAGIC, SALTS, SPLIT_BYTES, CHUNK, LEAST = b"\x1f\x8b\x08", 32, 8 << 20, 1 << 18, 1 << 12
+MAGIC, SALTS, SPLIT_BYTES, CHUNK, LEAST, TASKS = b"\x1f\x8b\x08", 32, 8 << 20, 1 << 18, 1 << 12, 64
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -151,9 +151,15 @@ SCHEMA_PA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_t
 
 
 def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
-    """All records of the archives under path, whatever the size of a file."""
+    """All records of the archives under path, whatever the size of a file.
+
+    The list of ranges is dealt by number (so that it isn't taken for a small table and read by one task): a task for
+    each range up to TASKS a core, then several ranges a task.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
-    ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {split_bytes}L)")).alias("start")).repartition("path", "start")
+    count = files.agg(F.coalesce(F.sum(F.expr(f"(length + {split_bytes - 1}L) div {split_bytes}L")), F.lit(0))).first()[0]
+    tasks = max(1, min(count, TASKS * spark.sparkContext.defaultParallelism))
+    ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {split_bytes}L)")).alias("start")).repartition(tasks)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

@@ -6,6 +6,7 @@ Everything here works on one Arrow batch inside a task; Spark deals out the batc
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -122,12 +123,32 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def run_hash(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n consecutive word hashes (len(h)-n+1 of them); order matters."""
-    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    size = max(0, len(h) - n + 1)
+    out = np.zeros(size, np.uint64)
     for k in range(n):
-        out = out * K1 + mix(h[k : len(h) - n + 1 + k] + np.uint64(k + 1))
+        out = out * K1 + mix(h[k : k + size] + np.uint64(k + 1))
     return mix(out)
 
 
+@lru_cache(maxsize=1)
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    out = []
+    for base in (int(K1), pow(int(K1), -1, 1 << 64)):
+        x = np.ones(1 << bits, np.uint64)
+        for k in range(bits):
+            x[1 << k : 2 << k] = x[: 1 << k] * np.uint64(pow(base, 1 << k, 1 << 64))
+        out.append(x)
+    return out[0], out[1]
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of each span values[start:stop], from prefix sums; equal spans have equal hashes."""
+    up, down = powers(len(values).bit_length())
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
+    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
 def inside(splits: np.ndarray, n: int, total: int) -> np.ndarray:
     """Which starts of runs of n words stay within one text."""
     starts = np.arange(max(0, total - n + 1))

@@ -53,3 +53,11 @@ def test_empty_and_damaged(spark, tmp_path):
 
 def test_query(spark, sf_dir):
     assert op7(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    path = shared_dir(spark, "warc")
+    write_archives(spark.range(0, 400, 1, 4).selectExpr("id page_id", "concat('u', id) url", "repeat(md5(string(id)), 20) html"), path)
+    got = read_archives(spark, path, 8000)
+    sizes = [len(p) for p in got.select("page_id").rdd.glom().collect()]
+    assert sum(sizes) == 400 and sum(n > 0 for n in sizes) > 5 and got.select("page_id").distinct().count() == 400

@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
-from jobloom.llm.words import ALNUM, SPACED, Words, inside, run_hash, text_slices
+from jobloom.llm.words import ALNUM, SPACED, Words, inside, run_hash, span_hashes, text_slices
 
 
 def test_words():
@@ -23,3 +23,15 @@ def test_runs_stay_inside():
     h = run_hash(w.hashes(), 3)
     assert h[0] == h[3] and inside(w.splits, 3, len(w)).tolist() == [True, False, False, True, True]
     assert len(np.unique(h)) == len(h) - 1
+
+
+def test_runs_of_short_texts():
+    for n in range(1, 9):
+        for size in range(9):
+            assert len(run_hash(np.arange(1, size + 1).astype(np.uint64), n)) == max(0, size - n + 1)
+
+
+def test_span_hashes():
+    x = np.array([5, 7, 9, 5, 7, 9, 5], np.uint64)
+    h = span_hashes(x, np.array([0, 3, 1, 0]), np.array([3, 6, 4, 0]))
+    assert h[0] == h[1] and len(np.unique(h)) == 3
