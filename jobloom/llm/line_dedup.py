@@ -165,8 +165,10 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     own = stored(listed.dropDuplicates(["id", "h"]), "lines")
     early = own.select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), "hashes", "sizes")
     pairs = linked(own).join(early, ["e_id", "e_h"]).select("id", "h", F.lit(1).alias("kind"), "hashes", "sizes")
-    # The rows of a document come together, its own lines first and then those of each earlier document.
-    rows = own.select("id", "h", F.lit(0).alias("kind"), "hashes", "sizes").unionByName(pairs).repartition("id", "h").sortWithinPartitions("id", "h", "kind")
+    # The rows of a document come together, its own lines first and then those of each earlier document. The number of
+    # partitions is given: the work is in Python, so few bytes aren't little work.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = own.select("id", "h", F.lit(0).alias("kind"), "hashes", "sizes").unionByName(pairs).repartition(parts, "id", "h").sortWithinPartitions("id", "h", "kind")
 
     def diff(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = mine = seen = gone = None
