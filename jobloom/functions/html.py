@@ -7,6 +7,7 @@ A page is parsed once, in Arrow batches; what the selectors find comes back as n
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -20,20 +21,17 @@ ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset",
 ENDS_ITSELF = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}}
 
 
+NONE: frozenset[str] = frozenset()
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "parts", "classes")
+    """place: its number in document order; last: the number of the last node below it."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
-        self.classes = set((attrs.get("class") or "").split())
+    __slots__ = ("tag", "attrs", "parent", "parts", "classes", "place", "last")
 
-    def nodes(self) -> Iterator[Node]:
-        """All nodes below, in document order."""
-        stack = [p for p in reversed(self.parts) if isinstance(p, Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [p for p in reversed(node.parts) if isinstance(p, Node)]
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, place: int):
+        self.tag, self.attrs, self.parent, self.parts, self.place, self.last = tag, attrs, parent, [], place, place
+        self.classes = frozenset(attrs["class"].split()) if "class" in attrs else NONE
 
     def text(self) -> str:
         """All inner strings, stripped, with a space between; scripts, styles and comments don't count."""
@@ -57,14 +55,16 @@ class Node:
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.root = self.at = Node("", {}, None, 0)
+        self.nodes = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS_P:
             self._close("p", {"div", "td", "li", "section", "article", "body", "blockquote"})
         if tag in ENDS_ITSELF:
             self._close(tag, ENDS_ITSELF[tag])
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at, len(self.nodes))
+        self.nodes.append(node)
         self.at.parts.append(node)
         if tag not in VOID:
             self.at = node
@@ -90,61 +90,97 @@ class _Builder(HTMLParser):
             node = node.parent
 
 
-def parse(html: str) -> Node:
+def parse(html: str) -> list[Node]:
+    """All nodes in document order, the root first."""
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    return builder.root
+    for node in reversed(builder.nodes[1:]):
+        node.parent.last = max(node.parent.last, node.last)
+    return builder.nodes
 
 
 _SIMPLE = re.compile(r"""([a-zA-Z][\w-]*)|\.([\w-]+)|\#([\w-]+)|\[([\w-]+)(?:(\*?)=['"]?([^'"\]]*)['"]?)?\]""")
 
 
-def _compound(text: str) -> Callable[[Node], bool]:
-    tests = []
+def _compound(text: str) -> tuple[Callable[[Node], bool], str]:
+    """(test of a node, what any such node has: its .class, #id or tag, or else *)."""
+    tests, has = [], "*"
     for tag, cls, id_, attr, part, value in _SIMPLE.findall(text):
         if tag:
             tests.append(lambda n, x=tag.lower(): n.tag == x)
+            has = tag.lower() if has == "*" else has
         elif cls:
             tests.append(lambda n, x=cls: x in n.classes)
+            has = "." + cls
         elif id_:
             tests.append(lambda n, x=id_: n.attrs.get("id") == x)
+            has = "#" + id_
         elif part:
             tests.append(lambda n, a=attr, v=value: v in n.attrs.get(a, ""))
         elif value:
             tests.append(lambda n, a=attr, v=value: n.attrs.get(a) == v)
         else:
             tests.append(lambda n, a=attr: a in n.attrs)
-    return lambda n: all(t(n) for t in tests)
-
-
-class Selector:
-    """Tag, .class, #id, [attr], [attr='v'], [attr*='v'], compounds, descendants and comma lists."""
+    return (tests[0] if len(tests) == 1 else lambda n: all(t(n) for t in tests)), has
+
+
+class Selectors:
+    """Named selectors: tag, .class, #id, [attr], [attr='v'], [attr*='v'], compounds, descendants and comma lists.
+
+    They are filed by what a node must have for a match, so that a page is walked once for all of them.
+    """
+
+    def __init__(self, css: dict[str, str]):
+        self.names, self.filed = list(css), {}
+        for name, several in css.items():
+            for one in several.split(","):
+                chain = [_compound(c) for c in re.sub(r"\s*(\[[^\]]*\])", r"\1", one).split()]
+                self.filed.setdefault(chain[-1][1], []).append((name, [test for test, _ in chain]))
+
+    def __call__(self, html: str) -> Page:
+        nodes, hits = parse(html), {name: [] for name in self.names}
+        for node in nodes[1:]:
+            keys = ["*", node.tag, *("." + c for c in node.classes)]
+            if "id" in node.attrs:
+                keys.append("#" + node.attrs["id"])
+            for key in keys:
+                for name, chain in self.filed.get(key, ()):
+                    own = hits[name]
+                    if not (own and own[-1] is node) and _chain(chain, node):
+                        own.append(node)
+        return Page(nodes[0], hits)
+
+
+def _chain(chain: list, node: Node) -> bool:
+    if not chain[-1](node):
+        return False
+    for test in reversed(chain[:-1]):
+        if not (node := node.above(test)):
+            return False
+    return True
 
-    def __init__(self, css: str):
-        self.chains = [[_compound(c) for c in re.sub(r"\s*(\[[^\]]*\])", r"\1", one).split()] for one in css.split(",")]
 
-    def matches(self, node: Node) -> bool:
-        return any(self._chain(chain, node) for chain in self.chains)
+class Page:
+    """What the selectors match in a page, in document order; the nodes below a node are a stretch of that order."""
 
-    @staticmethod
-    def _chain(chain: list, node: Node) -> bool:
-        if not chain[-1](node):
-            return False
-        for test in reversed(chain[:-1]):
-            if not (node := node.above(test)):
-                return False
-        return True
+    def __init__(self, root: Node, hits: dict[str, list[Node]]):
+        self.root, self.hits = root, hits
 
-    def all(self, root: Node) -> list[Node]:
-        return [n for n in root.nodes() if self.matches(n)]
+    def all(self, name: str, below: Node | None = None) -> list[Node]:
+        own = self.hits[name]
+        if below is None:
+            return own
+        at = bisect_right(own, below.place, key=lambda n: n.place)
+        return own[at : bisect_right(own, below.last, at, key=lambda n: n.place)]
 
-    def first(self, root: Node) -> Node | None:
-        return next((n for n in root.nodes() if self.matches(n)), None)
+    def first(self, name: str, below: Node | None = None) -> Node | None:
+        return next(iter(self.all(name, below)), None)
 
 
-def with_parsed(pages: DataFrame, read: Callable[[Node], dict], schema: str, html: str = "html") -> DataFrame:
-    """pages without its html, and `parsed`: what read() makes of each page (null for a null or broken page)."""
+def with_parsed(pages: DataFrame, selectors: Selectors, read: Callable[[Page], dict], schema: str, html: str = "html") -> DataFrame:
+    """pages without its html, and `parsed`: what read() makes of each page; null for a null page and for one that fails
+    in any way, so that one page can't end the job."""
     kind = T.StructType.fromDDL(schema)
     names = [c for c in pages.columns if c not in (html, "parsed")]
     out = T.StructType([pages.schema[c] for c in names] + [T.StructField("parsed", kind)])
@@ -152,8 +188,8 @@ def with_parsed(pages: DataFrame, read: Callable[[Node], dict], schema: str, htm
 
     def one(page: str | None) -> dict | None:
         try:
-            return None if page is None else read(parse(page))
-        except (AssertionError, ValueError, RecursionError):
+            return None if page is None else read(selectors(page))
+        except Exception:  # noqa: BLE001
             return None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

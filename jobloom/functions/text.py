@@ -50,13 +50,14 @@ def max_page(text: ColumnOrName) -> Column:
 
 def deadline(texts: ColumnOrName) -> Column:
     """From an array of texts: the first that says "Hạn nộp", its date d/m/yyyy or else the whole text; null if none."""
+    # The words and the form of the date.
     t = F.try_element_at(F.filter(column(texts), lambda x: x.contains("Hạn nộp")), F.lit(1))
     return F.coalesce(F.nullif(F.regexp_extract(t, r"(\d{1,2}/\d{1,2}/\d{4})", 1), F.lit("")), t)
 
 
 def without_brand(name: ColumnOrName) -> Column:
     """A name less the site's own suffix; the result may be empty."""
-    return F.regexp_replace(column(name), r"(?iu)\s*\|\s*TopCV.*$", "")
+    return F.regexp_replace(column(name), r"(?iu)\s*\|\s*TopCV.*$", "")  # fixed value: the suffix
 
 
 def without_label(text: ColumnOrName, label: ColumnOrName) -> Column:
@@ -75,6 +76,7 @@ def value_part(text: ColumnOrName) -> Column:
     return F.when(column(text).rlike(_PARTS), F.trim(F.regexp_extract(column(text), _PARTS, 2)))
 
 
+# Fixed value: label, colon (ASCII or full width) and value.
 _PARTS = r"^([^:：]+)[:：]\s*(.+)$"
 
 # Words in a label that name a field, in the order of the tests.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from ._args import ColumnOrName, column
 
+# Fixed value: the site whose links are resolved.
 BASE = "https://www.topcv.vn"
 PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#;]*)"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as t
-from ..functions.html import Node, Selector, with_parsed
+from ..functions.html import Node, Page, Selectors, with_parsed
 from ..functions.urls import BASE, resolve
 
 # The selectors of each kind of page.
@@ -25,12 +25,14 @@ JOB = {
 ITEM_CLASS = "job-description__item"
 NAMES = ["h1.company-name", "h1.title", "div.company-header h1", "div.company-info h1", "meta[property='og:title']", "meta[property='og:site_name']", "title"]
 BOXES = ["div.company-overview", "div.company-detail", "div.company-profile", "section#company", "section.company-info", "div.box-intro-company", "div.company-info-container"]
+BOLD = "strong, b"
 ROWS = "li, .row, .item, .info-item, .company-info-item, .dl, .d-flex"
 ABOUT = ["div.company-description", "div#company-description", "div.box-intro-company", "div.company-introduction", "div.description", "section.company-description", "div#readmore-company", "div#readmore-content"]
 # Titles of sections.
 SALARY, LOCATION, EXPERIENCE = "Mức lương", "Địa điểm", "Kinh nghiệm"
 TASKS, NEEDS, BENEFITS, PLACES, TIMES = "Mô tả công việc", "Yêu cầu ứng viên", "Quyền lợi", "Địa điểm làm việc", "Thời gian làm việc"
 
+# The columns of each kind of record.
 LINK_COLUMNS = ["title", "job_url", "company", "company_url", "salary_list", "address_list", "exp_list"]
 DETAIL_COLUMNS = ["detail_title", "detail_salary", "detail_location", "detail_experience", "deadline", "tags", "desc_mota", "desc_yeucau", "desc_quyenloi", "working_addresses", "working_times", "company_url_from_job"]
 COMPANY_COLUMNS = ["company_name_full", "company_website", "company_size", "company_industry", "company_address", "company_description"]
@@ -41,17 +43,16 @@ def nodes(pages: DataFrame, card: str, fields: dict[str, tuple[str, str | None]]
 
     fields: name -> (selector within the card, attribute or None for its text).
     """
-    cards, within, more = Selector(card), {k: (Selector(s), a) for k, (s, a) in fields.items()}, {k: Selector(s) for k, s in (extra or {}).items()}
+    chosen = Selectors({"card": card} | {f"in {k}": css for k, (css, _) in fields.items()} | (extra or {}))
 
-    def value(root: Node, selector: Selector, attr: str | None) -> str | None:
-        node = selector.first(root)
+    def value(node: Node | None, attr: str | None) -> str | None:
         return None if node is None else node.text() if attr is None else node.attrs.get(attr)
 
-    def read(root: Node) -> dict:
-        return {"cards": [{k: value(c, s, a) for k, (s, a) in within.items()} for c in cards.all(root)]} | {k: value(root, s, None) for k, s in more.items()}
+    def read(page: Page) -> dict:
+        return {"cards": [{k: value(page.first(f"in {k}", c), attr) for k, (_, attr) in fields.items()} for c in page.all("card")]} | {k: value(page.first(k), None) for k in extra or {}}
 
-    schema = f"cards array<struct<{', '.join(f'{k}: string' for k in fields)}>>" + "".join(f", {k} string" for k in more)
-    out = with_parsed(pages, read, schema, html)
+    schema = f"cards array<struct<{', '.join(f'{k}: string' for k in fields)}>>" + "".join(f", {k} string" for k in extra or {})
+    out = with_parsed(pages, chosen, read, schema, html)
     return out.select(*[c for c in out.columns if c != "parsed"], "parsed.*")
 
 
@@ -70,26 +71,25 @@ def cards(parsed: DataFrame) -> DataFrame:
     return parsed.select(*rest, F.posexplode("cards").alias("pos", "card")).select(*rest, "pos", "card.*")
 
 
-def _job(root: Node) -> dict:
-    s = _JOB
+def _job(page: Page) -> dict:
     text = lambda n: None if n is None else n.text()
     sections = []
-    for sec in s["section"].all(root):
-        value = s["section_value"].first(sec)
-        sections.append({"title": text(s["section_title"].first(sec)), "has_value": value is not None, "value": text(value), "text": sec.text()})
-    blocks = [{"title": text(s["block_title"].first(b)), "text": text(c)} for b in s["block"].all(root) if (c := s["block_content"].first(b)) is not None]
+    for sec in page.all("section"):
+        value = page.first("section_value", sec)
+        sections.append({"title": text(page.first("section_title", sec)), "has_value": value is not None, "value": text(value), "text": sec.text()})
+    blocks = [{"title": text(page.first("block_title", b)), "text": c.text()} for b in page.all("block") if (c := page.first("block_content", b)) is not None]
     headings = []
-    for h in s["heading"].all(root):
+    for h in page.all("heading"):
         item = h.above(lambda n: ITEM_CLASS in n.classes)
-        headings.append({"title": h.text(), "texts": [] if item is None else [n.text() for n in s["places"].all(item)]})
-    link = s["company"].first(root) or s["company_else"].first(root)
+        headings.append({"title": h.text(), "texts": [] if item is None else [n.text() for n in page.all("places", item)]})
+    link = page.first("company") or page.first("company_else")
     return {
-        "title": text(s["title"].first(root)), "sections": sections, "deadlines": [n.text() for n in s["deadline"].all(root)], "tags": [n.text() for n in s["tag"].all(root)],
+        "title": text(page.first("title")), "sections": sections, "deadlines": [n.text() for n in page.all("deadline")], "tags": [n.text() for n in page.all("tag")],
         "blocks": blocks, "headings": headings, "company_href": None if link is None else link.attrs.get("href"),
     }
 
 
-_JOB = {k: Selector(v) for k, v in JOB.items()}
+_JOB = Selectors(JOB)
 _JOB_SCHEMA = "title string, sections array<struct<title: string, has_value: boolean, value: string, text: string>>, deadlines array<string>, tags array<string>, blocks array<struct<title: string, text: string>>, headings array<struct<title: string, texts: array<string>>>, company_href string"
 
 
@@ -110,7 +110,7 @@ def _under(headings: Column, phrase: str) -> Column:
 
 def job_details(pages: DataFrame, base: str = BASE) -> DataFrame:
     """Job pages (job_url, html, ...) to their twelve fields, html dropped; a page that fails gives nulls."""
-    found = with_parsed(pages, _job, _JOB_SCHEMA)
+    found = with_parsed(pages, _JOB, _job, _JOB_SCHEMA)
     p = lambda c: F.col(f"parsed.{c}")
     blocks = F.transform(p("blocks"), lambda b: F.struct(F.coalesce(t.clean(b["title"]), F.lit("")).alias("title"), t.clean(b["text"]).alias("text")))
     fields = {
@@ -122,23 +122,23 @@ def job_details(pages: DataFrame, base: str = BASE) -> DataFrame:
     return found.select(*[c for c in found.columns if c != "parsed"], *[v.alias(k) for k, v in fields.items()])
 
 
-def _company(root: Node) -> dict:
-    names = [(n.attrs.get("content") if n.tag == "meta" else n.text()) if (n := s.first(root)) is not None else None for s in _NAMES]
-    box = next((n for s in _BOXES if (n := s.first(root)) is not None), root)
+def _company(page: Page) -> dict:
+    names = [(n.attrs.get("content") if n.tag == "meta" else n.text()) if (n := page.first(css)) is not None else None for css in NAMES]
+    box = next((n for css in BOXES if (n := page.first(css)) is not None), None)
     rows = []
-    for row in _ROWS.all(box):
-        bold = _BOLD.first(row)
+    for row in page.all(ROWS, box):
+        bold = page.first(BOLD, row)
         rows.append({"bold": None if bold is None else bold.text(), "has_bold": bold is not None, "text": row.text()})
-    return {"names": names, "rows": rows, "about": [n.text() if (n := s.first(root)) is not None else None for s in _ABOUT]}
+    return {"names": names, "rows": rows, "about": [n.text() if (n := page.first(css)) is not None else None for css in ABOUT]}
 
 
-_NAMES, _BOXES, _ROWS, _ABOUT, _BOLD = [Selector(s) for s in NAMES], [Selector(s) for s in BOXES], Selector(ROWS), [Selector(s) for s in ABOUT], Selector("strong, b")
+_COMPANY = Selectors({css: css for css in [*NAMES, *BOXES, ROWS, *ABOUT, BOLD]})
 _COMPANY_SCHEMA = "names array<string>, rows array<struct<bold: string, has_bold: boolean, text: string>>, about array<string>"
 
 
 def companies(pages: DataFrame) -> DataFrame:
     """Company pages (company_url_eff, html, ...) to their six fields, html dropped; a page that fails gives nulls."""
-    found = with_parsed(pages, _company, _COMPANY_SCHEMA)
+    found = with_parsed(pages, _COMPANY, _company, _COMPANY_SCHEMA)
     names = [F.nullif(F.col("parsed.names")[k], F.lit("")) if css.startswith("meta") else t.clean(F.col("parsed.names")[k]) for k, css in enumerate(NAMES)]
 
     def pair(r: Column) -> Column:

@@ -33,6 +33,12 @@ def apply_results(keywords: DataFrame, success: DataFrame, error: DataFrame) ->
     return joined.select(*[new[c].alias(c) if c in new else c for c in keywords.columns])
 
 
+def start_at(items: DataFrame, base: str, minutes: int) -> DataFrame:
+    """items with `start_at`: base plus `minutes` for each `number` before it; days and minutes apart, so that large numbers fit."""
+    total = f"({minutes}L * number)"
+    return items.withColumn("start_at", F.expr(f"TIMESTAMP_NTZ '{base}' + make_dt_interval(cast({total} div 1440 as int), 0, cast({total} % 1440 as int), 0)"))
+
+
 def staggered(items: DataFrame, base: str, order: str = "id", minutes: int = 15) -> DataFrame:
     """Start times `start_at`: base plus `minutes` for each item before it, in order; `schedule_id` from its number.
 
@@ -47,5 +53,4 @@ def staggered(items: DataFrame, base: str, order: str = "id", minutes: int = 15)
     sizes = own.groupBy("__part").agg(F.max("__n").alias("__size"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")
     numbered = own.join(F.broadcast(before), "__part").withColumn("number", (F.col("__before") + F.col("__n") - 1).cast("long"))  # a row for each partition
-    start = F.expr(f"timestampadd(MINUTE, cast({minutes} * number as int), TIMESTAMP_NTZ '{base}')")
-    return numbered.withColumn("start_at", start).withColumn("schedule_id", t.schedule_id("number", "keyword")).drop("__part", "__n", "__before")
+    return start_at(numbered, base, minutes).withColumn("schedule_id", t.schedule_id("number", "keyword")).drop("__part", "__n", "__before")

@@ -30,7 +30,7 @@ def enqueue(queue: DataFrame, links: DataFrame, now: str, source: str, *order: s
 
 
 def due(queue: DataFrame, now: str) -> DataFrame:
-    """Links to fetch: pending or failed, and their next try not in the future."""
+    """Links to fetch: pending or failed, and their next try not in the future. Links given up have a state of their own."""
     return queue.where(f"status in ('pending', 'failed') and (next_try_at is null or next_try_at <= TIMESTAMP_NTZ '{now}')")
 
 
@@ -43,7 +43,8 @@ def retries(log: DataFrame, key: str = "url", *order: str, step: int = 6, most:
     """The state of each URL after its last failed try: attempts, last_error, next_try_at, status.
 
     log: failed tries with ts, error and retry_after. The wait is retry_after if it is a whole number, else `step`
-    seconds for each try so far; after `most` tries the link is given up (status failed, no next try).
+    seconds for each try so far. Up to `most` tries the link is failed and due at its next try; after them it is given up
+    (status given_up, no next try) and never due again.
     """
     numbered = attempts(log, key, *order)
     last = numbered.groupBy(key).agg(F.max_by(F.struct("ts", "error", "retry_after", "attempt"), "attempt").alias("l")).select(key, "l.*")
@@ -51,7 +52,7 @@ def retries(log: DataFrame, key: str = "url", *order: str, step: int = 6, most:
     up = F.col("attempt") >= most
     return last.withColumn("wait_s", wait).select(
         key, F.col("attempt").alias("attempts"), F.col("error").alias("last_error"), F.when(~up, F.expr("timestampadd(SECOND, wait_s, ts)")).alias("next_try_at"),
-        F.when(up, F.lit("failed")).otherwise(F.lit("pending")).alias("status"))
+        F.when(up, F.lit("given_up")).otherwise(F.lit("failed")).alias("status"))
 
 
 def claim(topics: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

@@ -14,15 +14,21 @@ WIDE_COLUMNS = [
 ]
 
 
+def _one_each(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The least record of each key, on the partitioning that the join needs anyway."""
+    return records.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*columns)).alias("r")).select(key, "r.*")
+
+
 def job_wide(found: DataFrame, details: DataFrame, companies: DataFrame) -> DataFrame:
     """Cards with the detail of their job and the record of its company (the job page's link, else the card's).
 
-    details: one row for each job_url; companies: one row for each company_url_eff. A job without either keeps its row.
+    A card keeps one row: of several details of one job_url (or records of one company) the least counts, and a card
+    without either keeps its row with nulls.
     Rows without a company address don't take part in the second join, so they can't pile up in one task.
     """
-    with_detail = found.join(details.select("job_url", *DETAIL_COLUMNS), "job_url", "left")
+    with_detail = found.join(_one_each(details, "job_url", DETAIL_COLUMNS), "job_url", "left")
     keyed = with_detail.withColumn("company_url_eff", F.coalesce(F.nullif("company_url_from_job", F.lit("")), F.nullif("company_url", F.lit(""))))
-    named = keyed.where("company_url_eff is not null").join(companies.select("company_url_eff", *COMPANY_COLUMNS), "company_url_eff", "left")
+    named = keyed.where("company_url_eff is not null").join(_one_each(companies, "company_url_eff", COMPANY_COLUMNS), "company_url_eff", "left")
     bare = keyed.where("company_url_eff is null").select("*", *[F.lit(None).cast("string").alias(c) for c in COMPANY_COLUMNS])
     return named.unionByName(bare).select(*WIDE_COLUMNS)
 

@@ -44,6 +44,12 @@ def _when(test: str, *parts) -> Column:
     return F.when(F.expr(test), F.concat(*parts)).otherwise(F.lit(""))
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Keys dealt over all cores before pages are rendered from them: a small table is one split, and each row means work.
+    (Landed pages need no such step, they split by bytes.)"""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _page(*body) -> Column:
     return F.concat(F.lit("<!DOCTYPE html><html><head><script>var t='</p>';</script><style>p{margin:0}</style></head><body><!-- <h1>no</h1> -->"), *body, F.lit("</body></html>"))
 
@@ -53,7 +59,7 @@ L = F.lit
 
 def search_cards_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's orders as the cards of one search page; parts are left out by key."""
-    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey").cast("string"))
+    o = _spread(table(spark, sf_dir, "orders"), "o_custkey").withColumn("k", F.col("o_orderkey").cast("string"))
     card = F.concat(
         L('<div class="box job-item-search-result"><p>unclosed'),
         _when("o_orderkey % 7 > 0", L('<h3 class="title"><a href="/viec-lam/'), F.col("k"), L('.html?ta=1">\n  Order&nbsp; '), F.col("k"), L(" &amp; more</a></h3>")),
@@ -77,7 +83,7 @@ FROM o WHERE o_orderkey % 7 > 0"""
 
 def job_detail_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part as a job page: missing and empty value nodes, repeated headings, nested lists, several deadlines."""
-    p = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey").cast("string"))
+    p = _spread(table(spark, sf_dir, "part"), "p_partkey").withColumn("k", F.col("p_partkey").cast("string"))
     section = lambda title, value, test="true": _when(test, L(f'<div class="job-detail__info--section"><div class="job-detail__info--section-content-title">{title}</div>'), value, L("</div>"))
     value = lambda v: F.concat(L('<div class="job-detail__info--section-content-value">'), v, L("</div>"))
     block = lambda title, inner: F.concat(L(f'<div class="job-description__item"><h3>{title}</h3><div class="job-description__item--content">'), inner, L("</div></div>"))

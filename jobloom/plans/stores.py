@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.urls import url_hash
 from ..operators import queue
@@ -77,12 +80,24 @@ SELECT c.id, CASE WHEN t.id IS NULL THEN status WHEN c.id % 2 = 1 THEN 'in_progr
 # Streams: the events table as a stream of files.
 
 
-def _event_stream(spark: SparkSession, sf_dir: str, each: int | None = 1) -> DataFrame:
-    """`each` files a batch. None: all that is there in one batch, for jobs that depend on the order of events, which a
-    folder of files doesn't keep."""
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a batch."""
     path = shared_dir(spark, "event-files")
     table(spark, sf_dir, "events").repartitionByRange(3, "ts").write.parquet(path)
-    return streams.files(spark, path, EVENTS, each)
+    return streams.files(spark, path, EVENTS, 1)
+
+
+def _in_order(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Run a stream of the events in three batches, one for each stretch of time: it goes on from its checkpoint each
+    time that the next stretch has landed."""
+    path, events = shared_dir(spark, "event-files"), table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    if low is None:
+        return
+    cuts = [low + (high - low) * k / 3 for k in (1, 2)]
+    for part in (F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]):
+        events.where(part).write.mode("append").parquet(path)
+        streams.run_available(start(streams.files(spark, path, EVENTS)))
 
 
 def stream_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,16 +121,19 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_topic_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, mark = shared_dir(spark, "topics"), shared_dir(spark, "mark")
-    e = topic_events(_event_stream(spark, sf_dir, None).withColumn("ts", F.col("ts").cast("timestamp")))
-    states = streams.topic_states(e)
-    streams.run_available(states.writeStream.foreachBatch(streams.latest_to(path, "topic_id", "version")).option("checkpointLocation", mark).outputMode("update"))
-    return streams.read_latest(spark, path, "topic_id", "version").select("topic_id", "status", F.col("acquired_at").cast("timestamp_ntz").alias("acquired_at"))
+
+    def start(events: DataFrame) -> DataStreamWriter:
+        states = streams.topic_states(topic_events(events.withColumn("ts", F.col("ts").cast("timestamp"))))
+        return states.writeStream.foreachBatch(streams.latest_to(path, "topic_id", "version")).option("checkpointLocation", mark).outputMode("update")
+
+    _in_order(spark, sf_dir, start)
+    return streams.read_latest(spark, path).select("topic_id", "status", F.col("acquired_at").cast("timestamp_ntz").alias("acquired_at"))
 
 
 def stream_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, mark = shared_dir(spark, "current"), shared_dir(spark, "mark")
-    e = _records(_event_stream(spark, sf_dir))
-    streams.run_available(e.writeStream.foreachBatch(streams.upsert_current(root, "url_hash", "seen_at", "event_id")).option("checkpointLocation", mark))
+    fold = streams.upsert_current(root, "url_hash", "seen_at", "event_id")
+    _in_order(spark, sf_dir, lambda e: _records(e).writeStream.foreachBatch(fold).option("checkpointLocation", mark))
     return streams.read_current(spark, root)
 
 

@@ -213,24 +213,24 @@ SELECT * FROM p WHERE page_id % 3 = 2 AND url_hash NOT IN (SELECT url_hash FROM
 
 
 def _fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error events of a user as failed tries of a URL; every seventh names its own wait."""
+    """Error events of a user as failed tries of four URLs; every seventh names its own wait."""
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
     wait = F.when(F.col("event_id") % 7 == 0, (F.col("event_id") % 90).cast("string")).when(F.col("event_id") % 7 == 1, F.lit("soon"))
-    return e.select(F.col("user_id").alias("url"), "ts", "event_id", F.concat(F.lit("error "), F.col("event_id").cast("string")).alias("error"), wait.alias("retry_after"))
+    return e.select((F.col("user_id") * 4 + F.col("event_id") % 4).alias("url"), "ts", "event_id", F.concat(F.lit("error "), F.col("event_id").cast("string")).alias("error"), wait.alias("retry_after"))
 
 
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = queue.retries(_fetch_log(spark, sf_dir), "url", "ts", "event_id", most=50)
+    out = queue.retries(_fetch_log(spark, sf_dir), "url", "ts", "event_id")
     return out.select("url", F.col("attempts").cast("long").alias("attempts"), "last_error", "next_try_at", "status")
 
 
-_RETRY = """r AS (SELECT user_id AS url, ts, event_id, row_number() OVER w AS attempts, lead(event_id) OVER w AS later FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+_RETRY = """r AS (SELECT user_id * 4 + event_id % 4 AS url, ts, event_id, row_number() OVER w AS attempts, lead(event_id) OVER w AS later FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id, event_id % 4 ORDER BY ts, event_id)),
 q AS (SELECT url, attempts, 'error ' || event_id AS last_error,
-  CASE WHEN attempts < 50 THEN ts + to_seconds(CASE WHEN event_id % 7 = 0 THEN event_id % 90 ELSE 6 * attempts END) END AS next_try_at, CASE WHEN attempts >= 50 THEN 'failed' ELSE 'pending' END AS status FROM r WHERE later IS NULL)"""
+  CASE WHEN attempts < 5 THEN ts + to_seconds(CASE WHEN event_id % 7 = 0 THEN event_id % 90 ELSE 6 * attempts END) END AS next_try_at, CASE WHEN attempts >= 5 THEN 'given_up' ELSE 'failed' END AS status FROM r WHERE later IS NULL)"""
 
 
 def due_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = queue.retries(_fetch_log(spark, sf_dir), "url", "ts", "event_id", most=50)
+    rows = queue.retries(_fetch_log(spark, sf_dir), "url", "ts", "event_id")
     return queue.due(rows, NOW).select("url", F.col("attempts").cast("long").alias("attempts"), "status", "next_try_at")
 
 
@@ -296,7 +296,7 @@ ORACLE = {
     "frontier": f"WITH {KEYWORDS_SQL} SELECT id, keyword, category FROM kw ORDER BY last_crawl ASC NULLS FIRST, id LIMIT 100",
     "status_update": STATUS_SQL, "stagger_schedule": STAGGER_SQL, "first_seen_links": FIRST_SEEN_SQL, "page_stop": PAGE_STOP_SQL, "max_page_stop": MAX_PAGE_SQL, "job_wide": WIDE_SQL, "jobs_projection": JOBS_SQL,
     "enqueue_new_links": ENQUEUE_SQL, "new_vs_history": NEW_SQL, "retry_schedule": f"WITH {_RETRY} SELECT * FROM q",
-    "due_links": f"WITH {_RETRY} SELECT url, attempts, status, next_try_at FROM q WHERE status IN ('pending', 'failed') AND (next_try_at IS NULL OR next_try_at <= TIMESTAMP '{NOW}')",
+    "due_links": f"WITH {_RETRY} SELECT url, attempts, status, next_try_at FROM q WHERE attempts < 5 AND next_try_at <= TIMESTAMP '{NOW}'",
     "topic_state": TOPIC_SQL, "current_jobs": VERSION_SQL.format("= 1"), "history_jobs": VERSION_SQL.format("> 1"),
     "section_lookup": "SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS user_text, arg_max(text, turn) FILTER (role = 'assistant') AS assistant_text, arg_max(text, turn) FILTER (role = 'tool') AS tool_text FROM conversations GROUP BY 1",
     "tag_join": "SELECT conv_id, string_agg(role, '; ' ORDER BY turn, role) FILTER (turn > 0) AS tags FROM conversations GROUP BY 1",

@@ -9,9 +9,16 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir; where that is unset (tests), a local folder is set."""
+    """A new folder name under spark.checkpoint.dir.
+
+    Where that is unset, a local master (one machine, as in tests) gets a temporary folder; a cluster must name one, since
+    its machines don't share their disks. Whoever owns the folder removes what jobs have left in it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -10,10 +10,9 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.versions import current
 from ..sources.tables import RECORD_SCHEMA
 
 
@@ -69,38 +68,67 @@ def topic_states(events: DataFrame) -> DataFrame:
     return events.groupBy("topic_id").applyInPandasWithState(_topic, TOPIC_STATE, "status string, acquired_at string, version long", "update", GroupStateTimeout.NoTimeout)
 
 
-def latest_to(path: str, key: str, version: str):
-    """A batch function that appends changed states; read_latest() gives the newest of each key."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a repeated batch replaces itself
+BUCKETS = 64
 
-    return write
 
+def _versions(spark: SparkSession, root: str) -> dict[int, list[tuple[str, str]]]:
+    """The folders (name of the version, path) of each bucket, oldest first: at most a few for each of the buckets."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store, out = top.getFileSystem(spark._jsc.hadoopConfiguration()), {}
+    names = sorted(f.getPath().getName() for f in store.listStatus(top)) if store.exists(top) else []
+    for name in names:
+        version = f"{root}/{name}"
+        for f in store.listStatus(spark._jvm.org.apache.hadoop.fs.Path(version)):
+            if f.isDirectory() and f.getPath().getName().startswith("bucket="):
+                out.setdefault(int(f.getPath().getName().removeprefix("bucket=")), []).append((name, f"{version}/{f.getPath().getName()}"))
+    return out
 
-def read_latest(spark: SparkSession, path: str, key: str, version: str) -> DataFrame:
-    rows = spark.read.parquet(path).drop("batch")
-    return current(rows, key, version)
 
+def upsert_current(root: str, key: str, *order: str, history: bool = True, buckets: int = BUCKETS):
+    """A batch function that folds each batch into the current table, and the rows that were superseded into history.
 
-def upsert_current(root: str, key: str, *order: str):
-    """A batch function that folds each batch into the current table: version n from version n-1 and the batch, and the
-    rows that were superseded into history. A repeated batch writes the same folders again."""
+    The table lies in buckets by key; a batch reads and writes only the buckets that it touches, in a version folder of
+    its own. A version starts from the newest one on storage, whatever the batch's number, so a lost checkpoint loses
+    nothing. A repeated batch (same query, same number) starts from what was there before it and writes the same folder
+    again. Superseded folders go, but for the one that such a repeat would need.
+    """
 
     def fold(batch: DataFrame, number: int) -> Any:
         spark = batch.sparkSession
-        every = batch if number == 0 else spark.read.parquet(f"{root}/current/v={number - 1}").select(*batch.columns).unionByName(batch)
-        new = current(every, key, *order)
-        new.write.mode("overwrite").parquet(f"{root}/current/v={number}")
-        now = spark.read.parquet(f"{root}/current/v={number}").select(key, *order)
-        every.join(now, [key, *order], "left_anti").write.mode("overwrite").parquet(f"{root}/history/batch={number}")
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+        bucket, mark = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"), f"_{query}_{number}"
+        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        found = _versions(spark, f"{root}/current")
+        before = {b: [v for v in found.get(b, []) if not v[0].endswith(mark)] for b in touched}
+        own = {v[0] for vs in found.values() for v in vs if v[0].endswith(mark)}
+        newest = max((int(v[0][2:14]) for vs in found.values() for v in vs if v[0] not in own), default=-1)
+        name = min(own, default=f"v={newest + 1:012d}{mark}")
+        paths = [v[-1][1] for v in before.values() if v]
+        every = spark.read.schema(batch.schema).parquet(*paths).unionByName(batch) if paths else batch
+        w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+        ranked = every.withColumn("bucket", bucket).withColumn("newer", F.row_number().over(w) - 1)
+        ranked.where("newer = 0").drop("newer").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/current/{name}")
+        if history:
+            ranked.where("newer > 0").drop("newer", "bucket").write.mode("overwrite").parquet(f"{root}/history/batch={name[2:]}")
+        for versions in before.values():
+            for _, path in versions[:-1]:
+                old = spark._jvm.org.apache.hadoop.fs.Path(path)
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return fold
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version of the current table."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/current")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    newest = max(int(f.getPath().getName().removeprefix("v=")) for f in found)
-    return spark.read.parquet(f"{root}/current/v={newest}")
+    """The newest version of every bucket of the current table."""
+    return spark.read.parquet(*[versions[-1][1] for versions in _versions(spark, f"{root}/current").values()])
+
+
+def latest_to(path: str, key: str, version: str):
+    """A batch function that keeps the newest of the changed states of each key; read_latest() reads them."""
+    return upsert_current(path, key, version, history=False)
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    return read_current(spark, path)

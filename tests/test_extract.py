@@ -1,4 +1,4 @@
-from jobloom.functions.html import Selector, parse
+from jobloom.functions.html import Page, Selectors, with_parsed
 from jobloom.operators import extract
 
 
@@ -7,10 +7,10 @@ def page(spark, html, **more):
 
 
 def test_selectors():
-    root = parse("<div id=a class='x y'><p class=t>one<p>two<br>three</div><section><a href='/cong-ty/1'>L &amp; M</a></section><script><p>no</p></script>")
-    text = lambda css: [n.text() for n in Selector(css).all(root)]
+    html = ("<div id=a class='x y'><p class=t>one<p>two<br>three</div><section><a href='/cong-ty/1'>L &amp; M</a></section><script><p>no</p></script>")
+    text = lambda css: [n.text() for n in Selectors({"x": css})(html).all("x")]
     assert text("div#a.x p") == ["one", "two three"] and text("a[href*='/cong-ty/']") == ["L & M"] and text("a[href='/cong-ty/1'], p.t") == ["one", "L & M"]
-    assert text("section p") == [] and root.text() == "one two three L & M"
+    assert text("section p") == [] and Selectors({})(html).root.text() == "one two three L & M"
 
 
 def test_search_page(spark):
@@ -21,6 +21,22 @@ def test_search_page(spark):
     assert (rows[0].title, rows[0].job_url, rows[0].company, rows[0].company_url, rows[0].salary_list, rows[0].exp_list) == ("A b", "https://www.topcv.vn/v/1?x", "C", "https://www.topcv.vn/c/2", None, "1")
 
 
+def test_stretches_of_the_walk():
+    page = Selectors({"box": "div.b", "p": "p", "both": "p, .b p"})("<div class=b><p>1<div class=b><p>2</div></div><p>3")
+    outer, inner = page.all("box")
+    text = lambda nodes: [n.text() for n in nodes]
+    assert text(page.all("p")) == ["1", "2", "3"] == text(page.all("both")) and text(page.all("p", outer)) == ["1", "2"] and text(page.all("p", inner)) == ["2"]
+    assert page.first("box", inner) is None and page.first("p", outer).text() == "1"
+
+
+def test_a_page_that_fails_gives_nulls(spark):
+    def read(page: Page) -> dict:
+        return {"n": 1 // (len(page.all("p")) - 1)}
+
+    rows = spark.createDataFrame([(1, "<p>a</p>"), (2, "<p>a</p><p>b</p>"), (3, None)], "k int, html string")
+    assert [(r.k, r.parsed and r.parsed.n) for r in with_parsed(rows, Selectors({"p": "p"}), read, "n int").orderBy("k").collect()] == [(1, None), (2, 1), (3, None)]
+
+
 def test_null_page_gives_nulls(spark):
     row = extract.job_details(spark.createDataFrame([("u", None)], "job_url string, html string")).first()
     assert row.job_url == "u" and set(row.asDict().values()) == {"u", None} and len(row) == 13

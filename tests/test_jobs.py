@@ -38,6 +38,10 @@ def test_staggered(spark):
     assert [r.number for r in out] == list(range(50)) and out[4].start_at == dt.datetime(2024, 1, 1, 1) and out[4].schedule_id == "crawl_keyword_4_k_4"
 
 
+def test_far_schedule_numbers(spark):
+    assert keywords.start_at(spark.range(200_000_000, 200_000_001).withColumnRenamed("id", "number"), "2024-01-01 00:00:00", 15).first().start_at == dt.datetime(2024, 1, 1) + dt.timedelta(minutes=15 * 200_000_000)
+
+
 def test_queue(spark):
     d = dt.datetime
     q = spark.createDataFrame([(f"https://example.com/job/{k}", str(k), s, n, e, t) for k, s, n, e, t in [
@@ -55,7 +59,9 @@ def test_retries(spark):
     log = [("a", d, "e1", None), ("a", d + dt.timedelta(1), "e2", "30"), ("b", d, "x", "soon")] + [("c", d + dt.timedelta(k), "y", None) for k in range(5)]
     out = {r.url: r for r in queue.retries(spark.createDataFrame(log, "url string, ts timestamp_ntz, error string, retry_after string")).collect()}
     assert (out["a"].attempts, out["a"].next_try_at) == (2, d + dt.timedelta(days=1, seconds=30)) and out["b"].next_try_at == d + dt.timedelta(seconds=6)
-    assert (out["c"].status, out["c"].next_try_at, out["c"].attempts) == ("failed", None, 5)
+    assert (out["c"].status, out["c"].next_try_at, out["c"].attempts) == ("given_up", None, 5) and out["b"].status == "failed"
+    late = queue.retries(spark.createDataFrame(log, "url string, ts timestamp_ntz, error string, retry_after string"))
+    assert rows(queue.due(late, "2035-01-01 00:00:00"), "url") == [("a",), ("b",)]  # what is given up is never due
 
 
 def test_topics(spark):
@@ -96,6 +102,16 @@ def test_keyword_lists(spark, tmp_path):
     assert io.read_keyword_lists(spark, str(tmp_path), distinct=True).count() == 2
 
 
+def test_repeated_details_keep_one_row_a_card(spark):
+    from jobloom.operators.extract import COMPANY_COLUMNS, DETAIL_COLUMNS, LINK_COLUMNS
+
+    s = lambda cols: ", ".join(f"{c} string" for c in cols)
+    cards = spark.createDataFrame([("t", "j1", None, "c1", None, None, None)], s(LINK_COLUMNS))
+    details = spark.createDataFrame([("j1", f"d{k}", *["d"] * 10, "") for k in (2, 1)] + [(None, *["n"] * 12)], s(["job_url", *DETAIL_COLUMNS]))
+    firms = spark.createDataFrame([("c1", *[f"f{k}"] * 6) for k in (4, 3)], s(["company_url_eff", *COMPANY_COLUMNS]))
+    assert rows(wide.job_wide(cards, details, firms), "job_url", "detail_title", "company_size") == [("j1", "d1", "f3")]
+
+
 def test_relational_append(spark):
     """Derby, which comes with Spark, stands for the relational store."""
     from jobloom.operators.wide import WIDE_COLUMNS

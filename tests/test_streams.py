@@ -23,7 +23,7 @@ def test_topic_states_over_batches(spark):
     for rows in (first, second):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
         run()
-    got = streams.read_latest(spark, out, "topic_id", "version").select("topic_id", "status", "acquired_at")
+    got = streams.read_latest(spark, out).select("topic_id", "status", "acquired_at")
     want = queue.topic_states(spark.createDataFrame(first + second, SCHEMA))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()), key=lambda r: r[0])
 
@@ -40,6 +40,26 @@ def test_current_and_history_over_batches(spark):
     assert sorted(tuple(r)[:3] for r in spark.read.parquet(f"{root}/history").select("url_hash", "seen_at", "v").collect()) == [("a", 1, "x"), ("a", 2, "late")]
 
 
+def test_current_survives_a_lost_checkpoint_and_a_repeated_batch(spark):
+    schema, root = "url_hash string, seen_at int, v string", shared_dir(spark, "cur")
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    fold, now = streams.upsert_current(root, "url_hash", "seen_at"), lambda: sorted(map(tuple, streams.read_current(spark, root).collect()))
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", "one")
+    fold(rows(("a", 1, "x"), ("b", 1, "y")), 0)
+    fold(rows(("a", 2, "z")), 1)
+    fold(rows(("a", 2, "z")), 1)  # a repeat
+    assert now() == [("a", 2, "z"), ("b", 1, "y")]
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", "two")  # a new checkpoint counts from 0 again
+    fold(rows(("c", 1, "w"), ("a", 1, "late")), 0)
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
+    assert now() == [("a", 2, "z"), ("b", 1, "y"), ("c", 1, "w")]
+    assert sorted(tuple(r)[:3] for r in spark.read.parquet(f"{root}/history").select("url_hash", "seen_at", "v").collect()) == [("a", 1, "late"), ("a", 1, "x")]
+    for k in range(5):
+        fold(rows(("a", 10 + k, str(k))), 7 + k)
+    found = streams._versions(spark, f"{root}/current")
+    assert max(map(len, found.values())) <= 2 and now()[0] == ("a", 14, "4")
+
+
 def test_bad_json_is_dropped(spark):
     rows = spark.createDataFrame([('{"a": 1}',), ("no",), (None,)], "value string")
     assert [r.a for r in streams.records(rows, "a int").where("a is not null").collect()] == [1]
