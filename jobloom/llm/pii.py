@@ -25,7 +25,7 @@ from .words import raw_bytes, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-BITS, REACH, LONG_WORD = 12, 5, 64
+BITS, REACH, LONG_WORD = 12, 5, 64  # words longer than the last aren't kept in the cache
 STEPS, PLACES = 512, 256 * 512
 SPELLED = (b"dot", b"(at)", b"[at]")  # texts without these, digits and @ have no trigger
 
@@ -71,8 +71,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def shape(word: str) -> str:
-    """a for small letters, A for others, 9 for digits; letters in a row count once, digits up to six."""
-    s = re.sub(r"[^\W\d_]", lambda m: "a" if m[0].islower() else "A", word[:LONG_WORD])
+    """a for small letters, A for others, 9 for digits; small letters in a row count once, others twice, digits up to seven."""
+    s = re.sub(r"[^\W\d_]", lambda m: "a" if m[0].islower() else "A", word)
     return re.sub(r"9{7,}", "9999999", re.sub(r"A{2,}", "AA", re.sub(r"a+", "a", re.sub(r"\d", "9", s))))
 
 
@@ -82,7 +82,7 @@ CUES = {"at", "dot", "(at)", "[at]", "(dot)", "[dot]", "mail", "email", "phone",
 def word_features(word: str) -> list[str]:
     core = word.strip(".,;:!?\"'<>|")
     s, low = shape(core), core.lower().rstrip(":")
-    n = sum(c.isdigit() for c in core[:LONG_WORD])
+    n = sum(c.isdigit() for c in core)
     return ["s" + s, "c" + re.sub(r"9+", "9", s), "n" + str(min(n, 20)), "w" + (low if low in CUES else ""), "@" + str("@" in core), "p" + str(len(core.split(".")) if n else 0)]
 
 
@@ -103,7 +103,9 @@ class Features:
             if len(self.known) > 200_000:
                 self.known = {}
             names = word_features(w)
-            f = self.known[w] = [tuple(place(side + x) for x in names) for side in "=<>"]
+            f = [tuple(place(side + x) for x in names) for side in "=<>"]
+            if len(w) <= LONG_WORD:
+                self.known[w] = f
         return f
 
     def __call__(self, words: list[str]) -> np.ndarray:

@@ -2,14 +2,14 @@
 
 Features of a text (each counts once): words, pairs of neighbours, pairs with one word between, and the first four
 characters of a word (for spellings never seen in training), all as 64-bit hashes. Training runs in one task over a
-bounded sample of labelled rows (`max_rows`, chosen by a hash of the id; one row for each id, that with the least hash of
-its text). The texts of the sample are used whole, so its bytes are bounded by max_rows of the longest texts. A feature takes part if MIN_DOCS training
-texts have it, so that single texts can't be learned by heart; L1 leaves few weights, and only those are sent: at most
+bounded sample of labelled rows: at most `max_rows`, and at most `max_bytes` of text, chosen by a hash of the id; one row
+for each id, that with the least hash of its text. A feature takes part if MIN_DOCS training texts have it, so that
+single texts can't be learned by heart; L1 leaves few weights (the bias is free of it), and only those are sent: at most
 one for each feature of the sample.
 
 Edge cases: null and empty texts score as the bias alone; a null id counts as the id ""; labels that are null are left
 out, several labels of one id count as their maximum; without labels every score is 0 (not toxic). Texts that are
-repeated score alike. Other columns of the input stay out of the features.
+repeated score alike. Other columns of the input stay out of the features and keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .words import K1, SPACED, Words, crc_mod, inside, mix, table, text_slices
+from .words import K1, SPACED, Words, crc_mod, inside, mix, stored, text_slices
 
-MAX_ROWS, MIN_DOCS = 12_000, 3
+MAX_ROWS, MAX_BYTES, MIN_DOCS = 12_000, 64 << 20, 3
 TRIM = b".,;:!?\"'()[]{}<>|*#$&%-_/"
 EPOCHS, BLOCK, POSITIVE = 6, 32, 4.0
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.5
@@ -64,12 +64,13 @@ class Ftrl:
     """FTRL-proximal: z and n for each coordinate; the weight follows from them. The first one is the bias."""
 
     def __init__(self, size: int):
-        self.z, self.n = np.zeros(size), np.zeros(size)
+        self.z, self.n, self.l1 = np.zeros(size), np.zeros(size), np.full(size, L1)
+        self.l1[:1] = 0
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
-        w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
-        return np.where(np.abs(z) > L1, w, 0)
+        z, n, l1 = self.z[at], self.n[at], self.l1[at]
+        w = -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+        return np.where(np.abs(z) > l1, w, 0)
 
     def learn(self, rows: np.ndarray, places: np.ndarray, y: np.ndarray) -> None:
         """One step on a block of texts; rows: 0..len(y)-1, each with the place of the bias."""
@@ -120,13 +121,17 @@ class Scorer:
         return sigmoid(np.bincount(rows, self.weights[at], len(text)) + self.weights[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, weights) of the non-zero weights, learned from at most max_rows labelled rows of `docs`, one for each id."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, weights) of the non-zero weights, learned from labelled rows of `docs`, one for each id: at most max_rows
+    of them, and as many as fit into max_bytes."""
     chosen = labels.where("toxic is not null and doc_id is not null").where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # At most max_rows (id, label) pairs: a bounded side.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
-    rows = rows.select("doc_id", F.col("least.text").alias("text"), "__y", F.lit(0).alias("__one"))
+    rows = stored(rows.select("doc_id", F.col("least.text").alias("text"), "__y", F.lit(0).alias("__one")), "taught")
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over max_rows lengths at most
+    fitting = rows.select("doc_id", upto.alias("upto")).where(F.col("upto") <= max_bytes).select("doc_id")
+    rows = rows.join(F.broadcast(fitting), "doc_id")
 
     def one(group: pa.Table) -> pa.Table:
         order = np.argsort(np.fromiter((xxhash.xxh3_64_intdigest(str(i)) for i in group["doc_id"].to_pylist()), np.uint64, group.num_rows), kind="stable")
@@ -143,26 +148,34 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
 
 
 def score(docs: DataFrame, hashes: np.ndarray, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and `score` (0 to 1). Without a model all score 0."""
+    """`doc` (the columns `keep` of docs, in a struct, so that no name can clash) and `score` (0 to 1). Without a model all score 0."""
     sent = docs.sparkSession.sparkContext.broadcast((hashes, weights))
-    names = [c for c in keep if c != "score"]
-    out = docs.select(*names).schema.add("score", "double")
+    whole = docs.select(F.struct(*keep).alias("doc"), *([] if "text" in keep else ["text"]))
+    out = T.StructType([whole.schema["doc"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
-        for batch, text in text_slices(batches):
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(scorer(text))], names=[*names, "score"])
+        for batch in batches:
+            doc = batch.column("doc")
+            text = doc.field("text") if "text" in keep else batch.column("text")
+            parts = [scorer(t) for _, t in text_slices([pa.RecordBatch.from_arrays([text], names=["text"])])]
+            yield pa.RecordBatch.from_arrays([doc, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc", "score"])
 
-    return docs.select(*names, *([] if "text" in names else ["text"])).mapInArrow(run, out)
+    return whole.mapInArrow(run, out)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Fit on the labels, then score every text: the columns `keep` (all by default) and `score`."""
+def scored(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Fit on the labels, then score every text: `doc` (a struct of the columns `keep`, all by default) and `score`."""
     return score(docs, *fit(docs, labels, max_rows), keep or docs.columns)
 
 
+def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+    """As scored(), but flat: the columns `keep` less one named score, and `score`."""
+    names = [c for c in keep or docs.columns if c != "score"]
+    return scored(docs, labels, keep, max_rows).select(*[F.col("doc").getField(c).alias(c) for c in names], "score")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = toxicity(docs, labels, ["doc_id"])
-    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    out = toxicity(docs, labels, ["doc_id"])
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

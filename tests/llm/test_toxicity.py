@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from data import frame
 
-from jobloom.llm.toxicity import Scorer, features, fit, once, op10, toxicity, train
+from jobloom.llm.toxicity import ALPHA, BETA, L1, L2, POSITIVE, Ftrl, Scorer, features, fit, once, op10, scored, toxicity, train
 
 
 def labels(spark, rows):
@@ -50,6 +50,49 @@ def test_held_out_rows_teach_nothing(spark):
     assert len(fit(docs, labels(spark, [(k, 1, 0) for k in held]))[0]) == 0
 
 
+def test_few_clean_labels_make_nothing_toxic(spark):
+    docs = frame(spark)
+    for n in (1, 2, 3):
+        taught = [k for k in range(1, 20) if zlib.crc32(str(k).encode()) % 5][:n]
+        assert all(r.score < 0.5 for r in toxicity(docs, labels(spark, [(k, 0, 0) for k in taught]), ["doc_id"]).collect())
+
+
+def test_own_columns_keep_their_values(spark):
+    docs = frame(spark)
+    got = scored(docs, labels(spark, [(k, int(k == 5), 0) for k in range(20)]))
+    assert sorted(map(repr, (r.doc for r in got.collect()))) == sorted(map(repr, docs.collect()))
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    taught = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5][:40]
+    docs = spark.createDataFrame([(k, f"{'vile' if k % 2 else 'kind'} text") for k in taught], "doc_id long, text string")
+    lab = labels(spark, [(k, k % 2, 0) for k in taught])
+    assert len(fit(docs, lab)[0]) > 1 and len(fit(docs, lab, max_bytes=8)[0]) == 0
+
+
+def test_ftrl_against_the_plain_rule():
+    """One coordinate and one block at a time, in plain numbers."""
+    rng, size = np.random.default_rng(4), 12
+    model, z, n = Ftrl(size), [0.0] * size, [0.0] * size
+
+    def weight(i):
+        l1 = 0.0 if i == 0 else L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((BETA + n[i] ** 0.5) / ALPHA + L2)
+
+    for _ in range(60):
+        sets = [sorted({0, *rng.choice(size, 4).tolist()}) for _ in range(5)]
+        y = rng.integers(0, 2, 5).astype(float)
+        model.learn(np.repeat(np.arange(5), [len(s) for s in sets]), np.array([i for s in sets for i in s]), y)
+        w = [weight(i) for i in range(size)]
+        p = [1 / (1 + np.exp(-sum(w[i] for i in s))) for s in sets]
+        for i in range(size):
+            if any(i in s for s in sets):
+                g = sum((p[k] - y[k]) * (POSITIVE if y[k] else 1) for k, s in enumerate(sets) if i in s)
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / ALPHA * w[i]
+                n[i] += g * g
+    assert np.allclose(model.weights(), [weight(i) for i in range(size)]) and np.count_nonzero(model.weights()[1:]) > 0
+
+
 def test_repeated_ids_teach_once(spark):
     taught = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 != 0]
     rows = [(k, f"word{k % 7} text {'vile' if k % 3 == 0 else 'kind'}") for k in taught]
