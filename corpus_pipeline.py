@@ -10,13 +10,14 @@ from jobloom.llm.decontaminate import decontaminate
 from jobloom.llm.line_dedup import line_dedup
 from jobloom.llm.packing import pack
 from jobloom.llm.similar import similar
-from jobloom.llm.toxicity import toxicity
+from jobloom.llm.toxicity import scored
 from jobloom.llm.words import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model learns from the labels of this stage's own documents."""
-    return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("score < 0.5").select(*docs.columns)
+    kept = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("score < 0.5")
+    return kept.select(*[kept["doc"].getField(c).alias(c) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
