@@ -1,14 +1,15 @@
-"""Benchmark decontamination: suffix arrays over the training texts, searched for every suffix of the test items.
+"""Benchmark decontamination: suffix arrays over the training texts, searched for the suffixes of the test items.
 
-A task turns each slice of documents into one shard: the suffixes of its words, sorted by their first `n` words. Only
-suffixes whose first words also begin some test window are sorted; no other suffix can match. Every test suffix is
-looked up by binary search, which gives all its places; neighbouring places on one diagonal join into the longest
-verbatim match. The test items are sent in blocks of `block_bytes`, one pass over the documents per block, so what is
-broadcast has a fixed bound.
+A task turns each slice of documents into one shard: all suffixes of its words, sorted by their first words. Every suffix
+of a test item that holds a window of n words (or is the whole of a shorter item) is looked up by binary search, and the
+places that the array gives are compared up to n words. Neighbouring places on one diagonal join into the longest
+verbatim match. The test items are sent in blocks of `block_bytes`, one pass over the documents per block, and a block is
+let go before the next one is sent, so what is broadcast has a fixed bound (an item is not split).
 
 Edge cases: null or empty texts and items have no words and match nothing; an item of fewer than n words is one window;
-repeated items all count; repeated documents are judged alike; an empty benchmark leaves every document; null ids are
-carried (documents) or left out (items). Other columns pass through untouched.
+repeated items all count; repeated documents are judged alike; an empty benchmark leaves every document; null document
+ids are carried; an item whose id is null marks words and removes documents like any other, but is not listed. Other
+columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,74 +20,80 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .words import ALNUM, Words, inside, run_hash, text_slices
+from .words import ALNUM, Words, stored, text_slices
 
-N, GRAM, FILTER_BITS = 10, 3, 22
-BLOCK_BYTES = 8 << 20
-FOUND = T.StructType([T.StructField(c, t) for c, t in (
-    ("__n_words", T.LongType()), ("__starts", T.ArrayType(T.LongType())), ("__ends", T.ArrayType(T.LongType())), ("__items", T.ArrayType(T.LongType())), ("__longest", T.LongType()), ("__longest_at", T.LongType()))])
-FOUND_PA = pa.schema([("__n_words", pa.int64()), ("__starts", pa.list_(pa.int64())), ("__ends", pa.list_(pa.int64())), ("__items", pa.list_(pa.int64())), ("__longest", pa.int64()), ("__longest_at", pa.int64())])
+N, DEPTH, BITS = 10, 3, 21  # the array is sorted by the leading BITS bits of each of the first DEPTH words
+BLOCK_BYTES, PAIRS = 8 << 20, 1 << 20
+LISTS = ("starts", "ends", "items")
+FOUND = T.StructType([T.StructField(c, T.ArrayType(T.LongType()) if c in LISTS else T.LongType()) for c in ("n_words", *LISTS, "longest", "longest_at")])
+FOUND_PA = pa.schema([(c, pa.list_(pa.int64()) if c in LISTS else pa.int64()) for c in FOUND.names])
 
 
-def keys(h: np.ndarray, at: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
-    """The first n words from each place as sortable bytes; zeros stand past the end of the text."""
-    pad = np.concatenate([h, np.zeros(n, np.uint64)])
-    where = at[:, None] + np.arange(n)
-    return np.ascontiguousarray(np.where(where < stop[:, None], pad[where], np.uint64(0)).astype(">u8")).view(f"S{8 * n}").ravel()
+def ranks(h: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A number for each place that sorts like the first DEPTH words from it; nothing (0) stands past the end of the text."""
+    pad, out = np.concatenate([h, np.zeros(DEPTH, np.uint64)]), np.zeros(len(at), np.uint64)
+    for k in range(DEPTH):
+        out = (out << np.uint64(BITS)) | np.where(at + k < stop, np.maximum(pad[at + k] >> np.uint64(64 - BITS), np.uint64(1)), np.uint64(0))
+    return out
+
+
+class Shard:
+    """The suffix array of the words of some texts."""
+
+    def __init__(self, words: Words):
+        self.h, self.stop = words.hashes(), np.repeat(words.splits[1:], words.counts)
+        key = ranks(self.h, np.arange(len(words)), self.stop)
+        self.places = np.argsort(key, kind="stable")
+        self.keys = key[self.places]
 
 
 class Tests:
-    """Distinct windows of some test items, ready for the search."""
+    """The windows that begin the suffixes of some test items, equal ones once."""
 
-    def __init__(self, items: list[int], texts: list[str | None], n: int):
+    def __init__(self, ids: list[int | None], texts: list[str | None], n: int):
         words = Words(pa.array([t or "" for t in texts], pa.string()), ALNUM)
-        h, counts, self.n = words.hashes(), words.counts, n
+        h, counts = words.hashes(), words.counts
         starts = np.maximum(counts - n + 1, np.minimum(counts, 1))
         row = np.repeat(np.arange(len(counts)), starts)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
-        at = words.splits[:-1][row] + offset
-        size = np.minimum(counts[row], n)
-        low = keys(h, at, at + size, n)
-        self.low, first, back = np.unique(low, return_index=True, return_inverse=True)
+        at, size = words.splits[:-1][row] + offset, np.minimum(counts[row], n)
+        pad, step = np.concatenate([h, np.zeros(n, np.uint64)]), np.arange(n)
+        whole = np.where(step < size[:, None], pad[at[:, None] + step], np.uint64(0))
+        self.words, first, back = np.unique(whole, axis=0, return_index=True, return_inverse=True)
         self.size = size[first]
-        order = np.argsort(back, kind="stable")
-        self.window_splits = np.concatenate([[0], np.cumsum(np.bincount(back, minlength=len(first)))])
-        self.window_item = np.asarray(items, np.int64)[row][order]
-        self.window_offset = offset[order]
-        high = np.frombuffer(self.low.tobytes(), ">u8").reshape(-1, n).copy() if len(self.low) else np.zeros((0, n), ">u8")
-        high[np.arange(n) >= self.size[:, None]] = np.iinfo(np.uint64).max
-        self.high = np.ascontiguousarray(high).view(f"S{8 * n}").ravel()
-        self.filters = {}
-        for g in sorted({min(int(x), GRAM) for x in np.unique(self.size)} - {0}):
-            mark = np.zeros(1 << FILTER_BITS, bool)
-            mine = at[first[np.minimum(self.size, GRAM) == g]]
-            mark[run_hash(h, g)[mine] >> np.uint64(64 - FILTER_BITS)] = True
-            self.filters[g] = mark
-
-    def places(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(word place, window) of all occurrences in the shard."""
-        h, total = words.hashes(), len(words)
-        ok = np.zeros(total, bool)
-        for g, mark in self.filters.items():
-            k = max(0, total - g + 1)
-            ok[:k] |= mark[run_hash(h, g) >> np.uint64(64 - FILTER_BITS)] & inside(words.splits, g, total)
-        at = np.flatnonzero(ok)
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        stop = np.repeat(words.splits[1:], words.counts)[at]
-        suffix = keys(h, at, stop, self.n)
-        order = np.argsort(suffix, kind="stable")
-        suffix, at = suffix[order], at[order]
-        lo, hi = np.searchsorted(suffix, self.low, "left"), np.searchsorted(suffix, self.high, "right")
-        n = np.maximum(hi - lo, 0)
-        window = np.repeat(np.arange(len(n)), n)
-        return at[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(window))], window
+        self.low = ranks(h, at[first], at[first] + self.size)
+        short = np.maximum(DEPTH - self.size, 0) * BITS  # all that begins with a window of fewer words
+        self.high = self.low | ((np.uint64(1) << short.astype(np.uint64)) - np.uint64(1))
+        order = np.argsort(back.ravel(), kind="stable")
+        self.window_splits = np.concatenate([[0], np.cumsum(np.bincount(back.ravel(), minlength=len(first)))])
+        self.window_item, self.window_offset = row[order], offset[order]
+        self.ids = np.array([0 if i is None else i for i in ids], np.int64)
+        self.named = np.array([i is not None for i in ids], bool)
+
+    def find(self, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+        """(word place, window) of all occurrences in the shard; pairs are compared in portions of bounded size."""
+        lo, hi = np.searchsorted(shard.keys, self.low, "left"), np.searchsorted(shard.keys, self.high, "right")
+        n, out = np.maximum(hi - lo, 0), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        some = np.flatnonzero(n)
+        ends = np.cumsum(n[some])
+        total = int(ends[-1]) if len(some) else 0
+        pad = np.concatenate([shard.h, np.zeros(self.words.shape[1], np.uint64)])
+        for start in range(0, total, PAIRS):
+            k = np.arange(start, min(start + PAIRS, total))
+            which = np.searchsorted(ends, k, "right")
+            window = some[which]
+            place = shard.places[lo[window] + k - (ends[which] - n[window])]
+            for j in range(self.words.shape[1]):
+                ok = (j >= self.size[window]) | ((place + j < shard.stop[place]) & (pad[place + j] == self.words[window, j]))
+                place, window = place[ok], window[ok]
+            out.append((place, window))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def search(tests: Tests, text: pa.Array) -> dict[str, list]:
     """For each text: words, merged spans that hold a test window, the items, the longest verbatim match and its place."""
     words = Words(text, ALNUM)
-    place, window = tests.places(words)
+    place, window = tests.find(Shard(words))
     total, rows = len(words), words.rows()
     edge = np.zeros(total + 1, np.int64)
     np.add.at(edge, place, 1)
@@ -113,65 +120,82 @@ def search(tests: Tests, text: pa.Array) -> dict[str, list]:
         by = np.lexsort((start, -length, owner))
         owner, at = np.unique(owner[by], return_index=True)
         longest[owner], longest_at[owner] = length[by][at], start[by][at] - words.splits[owner]
-    pair = np.unique(np.stack([doc, item]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
+    named = tests.named[item]
+    pair = np.unique(np.stack([doc[named], tests.ids[item[named]]]), axis=1) if named.any() else np.zeros((2, 0), np.int64)
     cut = lambda owners, values: [x.tolist() for x in np.split(values, np.searchsorted(owners, np.arange(1, n)))]
-    return {"__n_words": words.counts, "__starts": cut(of, begin - base), "__ends": cut(of, end - base), "__items": cut(pair[0], pair[1]), "__longest": longest, "__longest_at": longest_at}
+    return {"n_words": words.counts, "starts": cut(of, begin - base), "ends": cut(of, end - base), "items": cut(pair[0], pair[1]), "longest": longest, "longest_at": longest_at}
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs and, for each, __n_words, spans (__starts, __ends, in words, merged), __items, __longest, __longest_at."""
-    spark = docs.sparkSession
-    items = benchmark.where("item_id is not null").select("item_id", "text")
+    """`doc` (the row, as a struct) and, for each, n_words, spans (starts, ends, in words, merged), items, longest, longest_at."""
+    spark, items = docs.sparkSession, benchmark.select("item_id", "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    out = docs
-    for b in range(blocks):
-        part = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)).collect()  # about block_bytes
-        out = _one_block(out, spark.sparkContext.broadcast(([r[0] for r in part], [r[1] for r in part], n)), b == 0)
-    return out
-
-
-def _one_block(docs: DataFrame, sent, first: bool) -> DataFrame:
-    names = [c for c in docs.columns if c not in FOUND.names]
-    schema = T.StructType([docs.schema[c] for c in names] + FOUND.fields)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = Tests(*sent.value)
-        for batch, text in text_slices(batches, limit=8 << 20):
-            got = search(tests, text)
-            if not first:
-                merge(got, batch)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(got[f.name], f.type) for f in FOUND_PA], names=[*names, *FOUND.names])
-
-    return docs.mapInArrow(run, schema)
 
+    def sent(b: int):
+        part = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)).collect()  # about block_bytes
+        return spark.sparkContext.broadcast(([r[0] for r in part], [r[1] for r in part], n))
 
-def merge(got: dict[str, list], batch: pa.RecordBatch) -> None:
-    """Join what earlier blocks found into what this one has found."""
-    old = {c: batch.column(c).to_pylist() for c in FOUND.names}
-    for k in range(batch.num_rows):
-        got["__items"][k] = sorted({*got["__items"][k], *old["__items"][k]})
+    whole = docs.select(F.struct("*").alias("doc"))
+    if blocks == 1:
+        return _searched(whole, sent(0))
+    # A pass for each block: what it finds is written down, then the block is let go.
+    key = [F.xxhash64("doc.doc_id", "doc.text").alias("h"), F.xxhash64("doc.text", "doc.doc_id").alias("g")]
+    parts = []
+    for b in range(blocks):
+        block = sent(b)
+        found = _searched(whole.select(F.struct("doc.doc_id", "doc.text").alias("doc")), block)
+        parts.append(stored(found.where(F.size("starts") > 0).select(*key, *FOUND.names).dropDuplicates(["h", "g"]), "block-matches"))
+        block.destroy()
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+
+    def merge(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        best = max(rows, key=lambda r: (r["longest"], -r["longest_at"]))
         spans: list[list[int]] = []
-        for a, z in sorted([*zip(got["__starts"][k], got["__ends"][k]), *zip(old["__starts"][k], old["__ends"][k])]):
+        for a, z in sorted(x for r in rows for x in zip(r["starts"], r["ends"])):
             if spans and a <= spans[-1][1]:
                 spans[-1][1] = max(spans[-1][1], z)
             else:
                 spans.append([a, z])
-        got["__starts"][k], got["__ends"][k] = [s[0] for s in spans], [s[1] for s in spans]
-        if old["__longest"][k] > got["__longest"][k]:
-            got["__longest"][k], got["__longest_at"][k] = old["__longest"][k], old["__longest_at"][k]
+        one = {"starts": [s[0] for s in spans], "ends": [s[1] for s in spans], "items": sorted({i for r in rows for i in r["items"]}), "longest": best["longest"], "longest_at": best["longest_at"]}
+        return pa.Table.from_pylist([{"h": rows[0]["h"], "g": rows[0]["g"], "n_words": rows[0]["n_words"]} | one], schema=pa.schema([("h", pa.int64()), ("g", pa.int64()), *FOUND_PA]))
+
+    merged = union.groupBy("h", "g").applyInArrow(merge, T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), *FOUND.fields]))
+    none = _searched(whole, spark.sparkContext.broadcast(([], [], n))).select("doc", *key, F.col("n_words").alias("own_words"))
+    joined = none.join(merged, ["h", "g"], "left")
+    empty = {"n_words": F.col("own_words"), **{c: F.array().cast("array<bigint>") for c in LISTS}, "longest": F.lit(0).cast("long"), "longest_at": F.lit(-1).cast("long")}
+    return joined.select("doc", *[F.coalesce(c, v).alias(c) for c, v in empty.items()])
+
+
+def _searched(whole: DataFrame, sent) -> DataFrame:
+    """whole (doc, a struct with `text`) and what the items of one block match in each text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = Tests(*sent.value)
+        for batch in batches:
+            doc, at = batch.column("doc"), 0
+            for part, text in text_slices([pa.RecordBatch.from_arrays([doc.field("text")], names=["text"])], limit=8 << 20):
+                got = search(tests, text)
+                yield pa.RecordBatch.from_arrays([doc.slice(at, part.num_rows), *[pa.array(got[f.name], f.type) for f in FOUND_PA]], names=["doc", *FOUND.names])
+                at += part.num_rows
+
+    return whole.mapInArrow(run, T.StructType([whole.schema["doc"], *FOUND.fields]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The documents that hold no window of a test item."""
-    return matches(docs, benchmark, n).where(F.size("__items") == 0).select(*docs.columns)
+    kept = matches(docs, benchmark, n).where(F.size("starts") == 0)
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = matches(docs.select("doc_id", "text"), benchmark)
-    n_hit = F.aggregate(F.zip_with("__starts", "__ends", lambda a, z: z - a), F.lit(0).cast("long"), lambda s, x: s + x)
-    listed = F.array_join(F.array_sort(F.transform("__items", lambda i: i.cast("string"))), ",")
+    n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, z: z - a), F.lit(0).cast("long"), lambda s, x: s + x)
+    listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(
-        "doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
-        F.sha2(listed, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("__longest").alias("longest_match"), F.col("__longest_at").alias("longest_match_start"))
+        "doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("longest").alias("longest_match"), F.col("longest_at").alias("longest_match_start"))
