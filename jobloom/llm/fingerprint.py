@@ -4,6 +4,11 @@
 spans are compared by it, and the longest common extension of two places is found by binary search over lengths.
 The fingerprint of a text is its whole hash and, for each of BINS bins, eight bits of the least hash among the spans of
 GRAM code points that fall in the bin. Likeness of two fingerprints estimates the share of spans that both texts hold.
+How far a text agrees with its edited text, and with the next document, from the start on, is found by the same arrays.
+
+Documents are dealt by ranges of ids; the last of each range meets the first of the next one by a join on the number of
+the range. A text takes about 50 bytes a code point while it is worked on; texts are taken RUN code points at a time, a
+longer one alone.
 
 Edge cases: a null text is empty; an empty text has a fingerprint of zeros, and two empty texts have likeness 1; a text
 shorter than GRAM is one span; equal ids follow each other by text; null ids come first; a single document is its own
@@ -19,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .words import mix, stored, text_slices
 
@@ -56,24 +61,20 @@ class Prefix:
             halves.append((sums[end] - sums[start]) % P * back[start] % P)
         return (halves[0] << np.uint64(31)) | halves[1]
 
-    def common(self, a: int, b: int, other: Prefix | None = None) -> int:
-        """How far the text from a on and the other (or this) text from b on agree: the longest common extension."""
-        other = other or self
-        low, high = 0, min(len(self.sums[0]) - 1 - a, len(other.sums[0]) - 1 - b)
-        while low < high:
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, other: Prefix | None = None) -> np.ndarray:
+        """How far the text from each a on and the other (or this) text from b on agree, up to `most`: the longest common
+        extensions, by binary search over their lengths, all at once."""
+        low, high, other = np.zeros(len(a), np.int64), most.copy(), other or self
+        while (low < high).any():
             mid = (low + high + 1) // 2
-            if self.span(np.array([a]), np.array([a + mid]))[0] == other.span(np.array([b]), np.array([b + mid]))[0]:
-                low = mid
-            else:
-                high = mid - 1
+            same = self.span(a, a + mid) == other.span(b, b + mid)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
 
-def fingerprints(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A row of 8 + BINS bytes for each text; the texts stand behind each other in points."""
-    n, ends = len(sizes), np.cumsum(sizes)
-    starts = ends - sizes
-    prefix = Prefix(points)
+def fingerprints(prefix: Prefix, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A row of 8 + BINS bytes for each text [start, end) of the prefix arrays."""
+    n, sizes = len(starts), ends - starts
     whole = mix(prefix.span(starts, ends) + sizes.astype(np.uint64))
     whole[sizes == 0] = 0
     grams = np.where(sizes > 0, np.maximum(sizes - GRAM + 1, 1), 0)
@@ -99,17 +100,37 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def prints(texts: list[str]) -> np.ndarray:
-    """Fingerprints of texts, some texts at a time."""
-    out, k = [np.zeros((0, 8 + BINS), np.uint8)], 0
-    while k < len(texts):
+def portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts with RUN code points in all, or a longer text alone."""
+    k = 0
+    while k < len(sizes):
         stop, size = k, 0
-        while stop < len(texts) and (stop == k or size + len(texts[stop]) <= RUN):
-            size += len(texts[stop])
+        while stop < len(sizes) and (stop == k or size + sizes[stop] <= RUN):
+            size += sizes[stop]
             stop += 1
-        points = [code_points(t) for t in texts[k:stop]]
-        out.append(fingerprints(np.concatenate(points), np.array([len(p) for p in points])))
+        yield k, stop
         k = stop
+
+
+def indexed(texts: list[str]) -> tuple[Prefix, np.ndarray, np.ndarray]:
+    """(prefix arrays of the texts behind each other, where each starts, where it ends)."""
+    points = [code_points(t) for t in texts]
+    ends = np.cumsum([len(p) for p in points], dtype=np.int64)
+    return Prefix(np.concatenate(points)), np.concatenate([[0], ends[:-1]]), ends
+
+
+def prints(texts: list[str]) -> np.ndarray:
+    """Fingerprints of texts."""
+    out = [fingerprints(*indexed(texts[k:z])) for k, z in portions(list(map(len, texts)))]
+    return np.concatenate([np.zeros((0, 8 + BINS), np.uint8), *out])
+
+
+def shared_starts(texts: list[str], others: list[str]) -> np.ndarray:
+    """How many code points each text and the other one have in common from the start on."""
+    out = [np.zeros(0, np.int64)]
+    for k, z in portions([len(t) + len(o) for t, o in zip(texts, others)]):
+        (p, a, a_end), (q, b, b_end) = indexed(texts[k:z]), indexed(others[k:z])
+        out.append(p.common(a, b, np.minimum(a_end - a, b_end - b), q))
     return np.concatenate(out)
 
 
@@ -119,24 +140,24 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
+SCHEMA = "doc_id long, n_chars long, sha binary, print binary, edited_print binary, near_edited double, near_next double, common_edited long, common_next long, part long, edge long, text string"
+COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
+KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+
 def compare(ids: list, texts: list[str], following: list[str], own: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+    """The result for some documents and those that follow them. own, after: their fingerprints."""
     changed = [edited(t, f) for t, f in zip(texts, following)]
     new = prints(changed)
-    cells = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(c.encode()).digest() for c in changed], pa.binary()), cells(own), cells(new),
-         pa.array(likeness(own, new), pa.float64()), pa.array(likeness(own, after), pa.float64()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.string())],
-        names=COLUMNS)
-
-
-SCHEMA = "doc_id long, n_chars long, sha binary, print binary, edited_print binary, near_edited double, near_next double, part long, edge long, text string"
-COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
+    cells = lambda rows: [r.tobytes() for r in rows]
+    shas = [hashlib.sha256(c.encode()).digest() for c in changed]
+    values = [ids, [len(t) for t in texts], shas, cells(own), cells(new), likeness(own, new), likeness(own, after), shared_starts(texts, changed), shared_starts(texts, following), *[[None] * len(ids)] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, KINDS)], names=COLUMNS)
 
 
 def edge_row(part: int, edge: int, doc_id, text: str) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
-    cells = [doc_id, None, None, None, None, None, None, part, edge, text]
-    return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=COLUMNS)
+    cells = [doc_id, *[None] * 8, part, edge, text]
+    return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, KINDS)], names=COLUMNS)
 
 
 def in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,24 +178,28 @@ def in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edge_row(part, 1, held[0], held[1])
 
 
-def close(group: pa.Table) -> pa.Table:
-    """The last document of each task meets the first of the next task that had rows (the very last: the first)."""
-    rows = group.select(["part", "edge", "doc_id", "text"]).to_pylist()
-    rows.sort(key=lambda r: (r["part"], r["edge"]))
-    heads, tails = [r for r in rows if r["edge"] == 0], [r for r in rows if r["edge"] == 1]
-    heads = heads[1:] + heads[:1]
-    own, after = prints([r["text"] for r in tails]), prints([r["text"] for r in heads])
-    return pa.Table.from_batches([compare([r["doc_id"] for r in tails], [r["text"] for r in tails], [r["text"] for r in heads], own, after)])
+def closed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task's last document (doc_id, text) and the document that follows it."""
+    for batch in batches:
+        if batch.num_rows:
+            texts, following = batch.column("text").to_pylist(), batch.column("following").to_pylist()
+            yield compare(batch.column("doc_id").to_pylist(), texts, following, prints(texts), prints(following))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, in order of doc_id; two documents a task are closed apart."""
+    """Fingerprints of every text and of its edited text, in order of doc_id; the last document of each task is closed apart."""
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     found = stored(ordered.mapInArrow(in_order, SCHEMA), "prints")
-    edges = found.where("edge is not null").withColumn("__one", F.lit(0)).groupBy("__one").applyInArrow(lambda t: close(t.drop_columns(["__one"])), SCHEMA)
+    heads, tails = found.where("edge = 0"), found.where("edge = 1").select("part", "doc_id", "text")
+    # The task before each one that had rows (before the first: the last); one number for each task goes through the window.
+    order = Window.orderBy("part")
+    before = heads.select("part", F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    follows = heads.select("part", F.col("text").alias("following")).join(before, "part").select(F.col("before").alias("part"), "following")
+    edges = tails.join(follows, "part").select("doc_id", "text", "following").mapInArrow(closed, SCHEMA)
     text = lambda c: F.lower(F.hex(c))
     return found.where("edge is null").unionByName(edges).select(
-        "doc_id", "n_chars", text("sha").alias("edited_sha256"), text("print").alias("fingerprint"), text("edited_print").alias("edited_fingerprint"), "near_edited", "near_next")
+        "doc_id", "n_chars", text("sha").alias("edited_sha256"), text("print").alias("fingerprint"), text("edited_print").alias("edited_fingerprint"),
+        "near_edited", "near_next", "common_edited", "common_next")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
