@@ -2,10 +2,18 @@
 
 Every string of LENGTH bytes has one anchor: its leftmost least hash of GRAM bytes. Equal strings have equal anchors, so
 a task cuts a text into contexts (neighbouring strings with one anchor) and sends for each only hashes of the anchor and
-of the context, the document and the place. Where an anchor occurs in several documents, a context that an earlier
-document has as a whole is settled; of the others the text is fetched, once for each different context, and each group
-of anchors is indexed: a run-compressed Burrows-Wheeler transform with sampled run ends. The contexts are streamed
-through it (matching statistics), and matches of LENGTH bytes whose class has an earlier document are marked.
+of the context, the document and the place. A context that an earlier document has as a whole is settled by its hash:
+among the texts of one portion of a task at once, so that of a context that many documents share one row a portion is
+sent, and then among all. Of the others the bytes are fetched, once for each different context.
+
+The different contexts of an anchor are ranked by document. For each bit of the rank, those without the bit are indexed
+(a run-compressed Burrows-Wheeler transform with sampled run ends) and those with it are streamed through the index:
+matching statistics of LENGTH bytes, and the least document of the window class that the match ends in, decide which
+strings an earlier document has. Two contexts differ first in one bit, so each meets every earlier one once.
+
+An anchor with more than HOT contexts (the edge of a passage that very many documents hold) is not sent to one task: its
+contexts are taken apart into their strings, which are dealt by their own hash, one row for each portion of texts, and
+streamed against the first of them. Places of a context that repeats within its first document follow as numbers.
 
 Messages are packed: one row for a task slice and bucket, not for a place. Texts are dealt by id into groups of about
 GROUP_BYTES, the same for fetching and for the result.
@@ -22,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .run_index import RunIndex
@@ -30,7 +39,8 @@ from .words import K1, K2, mix, raw_bytes, span_hashes, stored, text_slices
 LENGTH, GRAM = 50, 16
 NULL_ID = -(1 << 63)
 SLICE, BUCKET_BYTES, GROUP_BYTES, PARTS, PIECES = 2 << 20, 32 << 20, 8 << 20, 4, 8
-MANY = 1 << 16
+MANY, HOT = 1 << 16, 2048
+SETTLED, ASKED, COPIES, CONTEXTS = range(4)  # kinds of messages
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -107,20 +117,57 @@ def _long(data: np.ndarray, off: np.ndarray):
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
 
 
-def sketch(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, data): hashes, documents and places of contexts; about MANY * 16 of them go into one round of rows."""
+def firsts(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by the keys and doc, where a new combination of the keys begins in that order)."""
+    order = np.lexsort((doc, *keys[::-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    return order, new
+
+
+def message(rows: list[tuple[int | None, int | None, int, bytes, bytes | None]]) -> pa.Table:
+    """Rows (key of the next step, group, kind, data, bytes)."""
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("key", pa.int64()), ("group", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()), ("bytes", pa.binary())))})
+
+
+MESSAGE = "key long, group long, kind int, data binary, bytes binary"
+
+
+def grouped(groups: int, kind: int, doc: np.ndarray, *columns: np.ndarray, keys: int = 0) -> list:
+    """Messages of the packed doc and columns for each group of texts; a key from 0 to keys deals them over tasks."""
+    if not len(doc):
+        return []
+    group = doc % groups
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    return [(int((group[o[0]] * 7919 + doc[o[0]] // groups) % keys) if keys else None, int(group[o[0]]), kind, packed(doc[o], *[c[o] for c in columns]), None) for o in np.split(order, cuts[1:])]
+
+
+def by_key(key: np.ndarray, kind: int, *columns: np.ndarray) -> list:
+    """Messages of the packed columns for each key."""
+    if not len(key):
+        return []
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    return [(int(key[o[0]]), None, kind, packed(*[c[o] for c in columns]), None) for o in np.split(order, cuts[1:])]
+
+
+def sketch(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
+    """Messages to buckets: hashes, documents and places of contexts, about MANY * 16 of them a round. What an earlier
+    document of the same round has as a whole is settled at once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             start, count, anchor, whole, doc = (np.concatenate(x) for x in zip(*held))
-            bucket = (anchor % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((anchor, bucket))
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(b, order[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts))]
-            data = [packed(anchor[o], whole[o], doc[o], start[o].astype(np.uint32), count[o].astype(np.uint8)) for _, o in rows]
-            return pa.RecordBatch.from_arrays([pa.array([int(b) for b, _ in rows], pa.int64()), pa.array(data, pa.binary())], names=["bucket", "data"])
+            order, new = firsts(anchor, whole, doc=doc)
+            start, count, anchor, whole, doc = (x[order] for x in (start, count, anchor, whole, doc))
+            done = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            rows = grouped(groups, SETTLED, doc[done], start[done].astype(np.uint32), count[done].astype(np.uint32), keys=buckets)
+            rest = ~done
+            rows += by_key((anchor[rest] % np.uint64(buckets)).astype(np.int64), CONTEXTS, anchor[rest], whole[rest], doc[rest], start[rest].astype(np.uint32), count[rest].astype(np.uint8))
+            return message(rows).combine_chunks().to_batches()[0]
 
         for batch, text in text_slices(batches, limit=SLICE):
             data, off = raw_bytes(text)
@@ -135,30 +182,31 @@ def sketch(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, data binary")
+    return docs.select("doc_id", "text").mapInArrow(run, MESSAGE)
 
 
-CONTEXT = ("<u8", "<u8", "<i8", "<u4", "u1")
-SPAN = ("<i8", "<u4", "<u4")
-ASK = ("<i8", "<u4", "u1", "<u4")
+CONTEXT = ("<u8", "<u8", "<i8", "<u4", "u1")  # anchor, whole, doc, start, count
+SPAN = ("<i8", "<u4", "<u4")  # doc, start, count
+ASK = ("<i8", "<u4", "u1", "<u4", "<u8", "<u4", "<u4")  # doc, start, count, part, key of the context, rank, contexts of the anchor
+COPY = ("<u8", "<i8", "<u4")  # key, doc, start
+STRING = ("<i8", "<u4", "u1", "u1", "<u8", "<u4", "<u4")  # doc, start, count, piece, key, rank, contexts of the anchor (0: of a hot one)
 
 
-def by_group(groups: int, kind: int, doc: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Rows (group, kind, data) with the packed doc and columns of each group."""
-    group = doc % groups
-    order = np.argsort(group, kind="stable")
-    cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
-    return [(int(group[o[0]]), kind, packed(doc[o], *[c[o] for c in columns])) for o in np.split(order, cuts[1:]) if len(o)]
+def kind_of(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pc.equal(table["kind"], kind))
 
 
-def settle(groups: int, parts: int):
-    """For one bucket: spans that are settled (kind 0) and contexts whose text is needed (kind 1).
+def settle(groups: int, parts: int, hot: int):
+    """For one bucket: spans that are settled, contexts whose bytes are asked for, other places of those.
 
     Its anchors are dealt over `parts` index tasks, and in a task over PIECES indexes, small enough for a cache.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        anchor, whole, doc, start, count = joined(table["data"].to_pylist(), *CONTEXT)
+        anchor, whole, doc, start, count = joined(kind_of(table, CONTEXTS)["data"].to_pylist(), *CONTEXT)
+        passed = kind_of(table, SETTLED)
+        if not len(anchor):
+            return passed
         order = np.lexsort((start, doc, whole, anchor))
         anchor, whole, doc, start, count = (x[order] for x in (anchor, whole, doc, start, count))
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
@@ -166,15 +214,21 @@ def settle(groups: int, parts: int):
         a0, w0 = np.flatnonzero(new_anchor), np.flatnonzero(new_whole)
         a, w = np.cumsum(new_anchor) - 1, np.cumsum(new_whole) - 1
         low, high = np.minimum.reduceat(doc, a0), np.maximum.reduceat(doc, a0)
-        first = doc[w0][w]  # sorted by doc within a context
-        several = np.bincount(a[w0]) > 1
-        done = doc > first
-        ask = (doc == first) & (low < high)[a] & several[a]
-        rows = by_group(groups, 0, doc[done], start[done], count[done].astype(np.uint32)) if done.any() else []
-        many = parts * PIECES
-        part = (int(table["bucket"][0].as_py()) * many + ((anchor >> np.uint64(26)) % np.uint64(many)).astype(np.int64)).astype(np.uint32)
-        rows += by_group(groups, 1, doc[ask], start[ask], count[ask], part[ask]) if ask.any() else []
-        return pa.table({"group": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+        done = doc > doc[w0][w]  # sorted by doc within a context
+        rows = grouped(groups, SETTLED, doc[done], start[done], count[done].astype(np.uint32))
+        many = np.bincount(a[w0])  # different contexts of each anchor
+        by_rank = np.lexsort((doc[w0], a[w0]))
+        rank = np.empty(len(w0), np.uint32)
+        rank[by_rank] = np.arange(len(w0)) - (np.cumsum(many) - many)[a[w0][by_rank]]
+        ask = ~done & ((low < high) & (many > 1))[a]
+        pieces = parts * PIECES
+        part = (int(table["key"][0].as_py()) * pieces + ((anchor >> np.uint64(26)) % np.uint64(pieces)).astype(np.int64)).astype(np.uint32)
+        key, family = mix(anchor * K1 + whole), np.where(many > hot, 0, many)[a].astype(np.uint32)
+        own = ask & (new_whole | (family == 0))  # of a hot anchor all places are taken apart
+        rows += grouped(groups, ASKED, doc[own], start[own], count[own], part[own], key[own], rank[w][own], family[own])
+        copy = ask & ~own
+        rows += by_key((part[copy] // PIECES).astype(np.int64), COPIES, key[copy], doc[copy], start[copy])
+        return pa.concat_tables([message(rows), passed])
 
     return run
 
@@ -193,64 +247,105 @@ def one_text(table: pa.Table) -> pa.Array:
     return text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
 
 
-def fetch(texts: pa.Table, asks: pa.Table) -> pa.Table:
-    """The bytes of the asked contexts: rows (part, data)."""
-    rows = []
-    if asks.num_rows and texts.num_rows:
-        doc, start, count, part = joined(asks["data"].to_pylist(), *ASK)
-        data, off = raw_bytes(one_text(texts))
-        entry, row = rows_of(texts["doc_id"].to_numpy(), doc)
-        a = off[row] + start[entry]
-        size = count[entry].astype(np.int64) + LENGTH - 1
-        ok = a + size <= off[row + 1]
-        entry, a, size = entry[ok], a[ok], size[ok]
-        order = np.argsort(part[entry], kind="stable")
-        entry, a, size = entry[order], a[order], size[order]
-        cuts = np.flatnonzero(np.diff(part[entry].astype(np.int64) // PIECES, prepend=-1))
-        for o in np.split(np.arange(len(entry)), cuts[1:]):
-            if len(o):
-                e, n = entry[o], size[o]
-                bytes_ = data[np.repeat(a[o] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                rows.append((int(part[e[0]]) // PIECES, packed(doc[e], start[e], count[e], (part[e] % PIECES).astype(np.uint8)), packed(bytes_)))
-    return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary()), "bytes": pa.array([r[2] for r in rows], pa.binary())})
+def fetch(groups: int, all_parts: int):
+    """The bytes of the contexts that are asked of a group of texts; those of hot anchors as single strings."""
+
+    def run(texts: pa.Table, asks: pa.Table) -> pa.Table:
+        rows: list = []
+        if asks.num_rows and texts.num_rows:
+            doc, start, count, part, key, rank, family = joined(asks["data"].to_pylist(), *ASK)
+            data, off = raw_bytes(one_text(texts))
+            entry, row = rows_of(texts["doc_id"].to_numpy(), doc)
+            a = off[row] + start[entry]
+            ok = a + count[entry] + LENGTH - 1 <= off[row + 1]
+            entry, a = entry[ok], a[ok]
+            cool = family[entry] > 0
+            e = entry[cool]
+            rows += strings(data, a[cool], doc[e], start[e], count[e], part[e], key[e], rank[e], family[e])
+            if not cool.all():
+                e, n = entry[~cool], count[entry[~cool]].astype(np.int64)
+                each = np.repeat(np.arange(len(e)), n)
+                step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                at, owner, place = a[~cool][each] + step, doc[e][each], (start[e][each] + step).astype(np.uint32)
+                h = span_hashes(data.astype(np.uint64) + np.uint64(1), at, at + LENGTH)
+                order, new = firsts(h, doc=owner)
+                at, owner, place, h = at[order], owner[order], place[order], h[order]
+                later = owner > owner[np.flatnonzero(new)][np.cumsum(new) - 1]
+                rows += grouped(groups, SETTLED, owner[later], place[later], np.ones(later.sum(), np.uint32), keys=max(1, all_parts // PIECES))
+                to = (h % np.uint64(all_parts)).astype(np.uint32)
+                none = np.zeros(new.sum(), np.uint32)
+                rows += strings(data, at[new], owner[new], place[new], np.ones(new.sum(), np.uint8), to[new], h[new], none, none)
+                copy = ~new & ~later
+                rows += by_key((to[copy] // PIECES).astype(np.int64), COPIES, h[copy], owner[copy], place[copy])
+        return message(rows)
+
+    return run
+
+
+def strings(data: np.ndarray, at: np.ndarray, doc, start, count, part, key, rank, family) -> list:
+    """Messages to index tasks with the bytes of some contexts."""
+    if not len(at):
+        return []
+    rows, order = [], np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order].astype(np.int64) // PIECES, prepend=-1))
+    for o in np.split(order, cuts[1:]):
+        n = count[o].astype(np.int64) + LENGTH - 1
+        bytes_ = data[np.repeat(at[o] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        rows.append((int(part[o[0]]) // PIECES, None, ASKED, packed(doc[o], start[o], count[o], (part[o] % PIECES).astype(np.uint8), key[o], rank[o], family[o]), packed(bytes_)))
+    return rows
 
 
 def marked(groups: int):
-    """Index the contexts of one part, stream them, and return the spans that an earlier document has."""
+    """Index and stream the contexts of one part, and return the spans that an earlier document has."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, start, count, piece = joined(table["data"].to_pylist(), "<i8", "<u4", "u1", "u1")
-        text = joined(table["bytes"].to_pylist(), "u1")[0]
+        own, rows = kind_of(table, ASKED), []
+        doc, start, count, piece, key, rank, family = joined(own["data"].to_pylist(), *STRING)
+        text = joined(own["bytes"].to_pylist(), "u1")[0]
         size = count.astype(np.int64) + LENGTH - 1
         base = np.cumsum(size) - size
-        found = []
+        hot = np.flatnonzero(family == 0)
+        if len(hot):  # equal strings: all later ones against the first
+            order, new = firsts(key[hot], doc=doc[hot])
+            rank[hot[order]], family[hot] = np.where(new, 0, 1), 2
+        copied = joined(kind_of(table, COPIES)["data"].to_pylist(), *COPY)
+        order = np.argsort(copied[0], kind="stable")
+        copy_key, copy_doc, copy_start = (c[order] for c in copied)
         for p in range(PIECES):
-            own = np.flatnonzero(piece == p)
-            if len(own):
-                n = size[own]
-                part = text[np.repeat(base[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                which, a, z = earlier(part, n, doc[own])
-                o = own[which]
-                found.append((doc[o], (start[o] + a).astype(np.uint32), (z - a).astype(np.uint32)))
-        spans = [np.concatenate(x) for x in zip(*found)]
-        rows = by_group(groups, 0, *spans) if spans and len(spans[0]) else []
-        return pa.table({"group": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
+            mine = np.flatnonzero(piece == p)
+            for bit in range(int(family[mine].max(initial=1) - 1).bit_length()):
+                r = rank[mine].astype(np.int64)
+                facing = ((r >> bit | 1) << bit) < family[mine]  # the other half of its stretch of ranks isn't empty
+                early, late = mine[(r >> bit & 1 == 0) & facing], mine[r >> bit & 1 == 1]
+                if not len(late):
+                    continue
+                which, a, z = earlier(text, base, size, doc, early, late)
+                o = late[which]
+                rows += grouped(groups, SETTLED, doc[o], (start[o] + a).astype(np.uint32), (z - a).astype(np.uint32))
+                lo, hi = np.searchsorted(copy_key, key[o], "left"), np.searchsorted(copy_key, key[o], "right")
+                each = np.repeat(np.arange(len(o)), hi - lo)
+                c = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(each))
+                same = copy_doc[c] == doc[o][each]
+                c, each = c[same], each[same]
+                rows += grouped(groups, SETTLED, copy_doc[c], (copy_start[c] + a[each]).astype(np.uint32), (z - a)[each].astype(np.uint32))
+        return pa.concat_tables([message(rows), kind_of(table, SETTLED)])
 
     return run
 
 
-def earlier(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first, behind the last) of the runs of strings that an earlier document has, among some contexts."""
-    index = RunIndex(text, size, doc, LENGTH)
-    length, window = index.statistics(text, size, own=True)
-    of = np.repeat(np.arange(len(size)), size)
+def earlier(text: np.ndarray, base: np.ndarray, size: np.ndarray, doc: np.ndarray, early: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which of late, first, behind the last) of the runs of strings that a context of `early` with a smaller document has."""
+    take = lambda k: text[np.repeat(base[k] - (np.cumsum(size[k]) - size[k]), size[k]) + np.arange(size[k].sum())]
+    index = RunIndex(take(early), size[early], doc[early], LENGTH)
+    length, window = index.statistics(take(late), size[late])
+    of = np.repeat(np.arange(len(late)), size[late])
     hit = length >= LENGTH
-    hit[hit] = index.least[window[hit]] < doc[of[hit]]
+    hit[hit] = index.least[window[hit]] < doc[late][of[hit]]
     same = of[1:] == of[:-1]
     begin = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & same]))
     stop = np.flatnonzero(hit & ~np.concatenate([hit[1:] & same, [False]])) + 1
-    base = np.cumsum(size) - size
-    return of[begin], begin - base[of[begin]], stop - base[of[begin]]
+    first = np.cumsum(size[late]) - size[late]
+    return of[begin], begin - first[of[begin]], stop - first[of[begin]]
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -288,17 +383,17 @@ def finish(with_text: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, with_text: bool = True, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every document."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, groups = max(1, min(MANY, -(-size // BUCKET_BYTES))), max(1, -(-size // GROUP_BYTES)) | 1
-    hints = sketch(docs, buckets).groupBy("bucket").applyInArrow(settle(groups, PARTS), "group long, kind int, data binary")
-    hints = stored(hints, "repeat-hints")
+    buckets, groups = max(1, min(MANY, -(-size // bucket_bytes))), max(1, -(-size // GROUP_BYTES)) | 1
+    hints = stored(sketch(docs, buckets, groups).groupBy("key").applyInArrow(settle(groups, PARTS, hot), MESSAGE), "repeat-hints")
     dealt = docs.withColumn("group", F.pmod(F.col("doc_id"), F.lit(groups)))
-    texts = dealt.groupBy("group").cogroup(hints.where("kind = 1").select("group", "data").groupBy("group")).applyInArrow(fetch, "part long, data binary, bytes binary")
-    found = texts.groupBy("part").applyInArrow(marked(groups), "group long, data binary")
-    spans = found.unionByName(hints.where("kind = 0").select("group", "data"))
+    asked = hints.where(F.col("kind") == ASKED).select("group", "data")
+    texts = dealt.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(fetch(groups, buckets * PARTS * PIECES), MESSAGE)
+    found = texts.unionByName(hints.where(F.col("kind") == COPIES)).groupBy("key").applyInArrow(marked(groups), MESSAGE)
+    spans = found.unionByName(hints.where(F.col("kind") == SETTLED)).select("group", "data")
     return dealt.groupBy("group").cogroup(spans.groupBy("group")).applyInArrow(finish(with_text), RESULT)
 
 

@@ -73,6 +73,9 @@ class RunIndex:
         inner = np.ones(len(self.text), bool)
         inner[ends] = False
         self.text[inner] = strings.astype(np.int16) + 1
+        raw = np.zeros(len(self.text) + 8, np.uint8)
+        raw[:-8][inner] = strings
+        self.words = np.ndarray((len(self.text),), "<u8", raw, 0, (1,))
         self.starts = ends - sizes
         self.left = np.repeat(ends, sizes + 1) - np.arange(len(self.text))
         of = np.repeat(np.arange(m), sizes + 1)
@@ -98,16 +101,17 @@ class RunIndex:
         self.char_key = self.char[self.by_char] * (len(self.char) + 1) + self.by_char
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many characters the suffixes at a and b share, up to `most` of each."""
-        n, alive = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+        """How many characters the suffixes at a and b share, up to `most` of each; eight bytes at a time."""
         limit = np.minimum(np.minimum(self.left[a], self.left[b]), most)
-        for k in range(int(limit.max(initial=0))):
-            i, j = np.minimum(a + k, len(self.text) - 1), np.minimum(b + k, len(self.text) - 1)
-            alive &= (k < limit) & (self.text[i] == self.text[j])
-            if not alive.any():
+        n, live = np.zeros(len(a), np.int64), np.flatnonzero(limit > 0)
+        for k in range(0, int(limit.max(initial=0)), 8):
+            x = self.words[a[live] + k] ^ self.words[b[live] + k]
+            same = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3  # bytes below the first that differs
+            n[live] += same
+            live = live[(same == 8) & (limit[live] > k + 8)]
+            if not len(live):
                 break
-            n += alive
-        return n
+        return np.minimum(n, limit)
 
     def statistics(self, patterns: np.ndarray, sizes: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """For each place of the patterns: length of the longest match that starts there, and the window class of its

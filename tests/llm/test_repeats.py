@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from data import TEXTS, frame
 
-from jobloom.llm.repeats import without_repeats
+from jobloom.llm.repeats import earlier, without_repeats
 from jobloom.llm.run_index import RunIndex
 
 
@@ -55,3 +55,47 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     assert without_repeats(frame(spark).limit(0)).count() == 0
     assert TEXTS[0] is None and without_repeats(frame(spark, [None, ""], False)).count() == 2
+
+
+@pytest.mark.parametrize("hot", [2048, 3, 0])
+def test_passages_with_different_text_around(spark, hot):
+    """One anchor in most documents, rulers of many lengths, periods: with anchors taken apart (hot) and without."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passages = [letters(120), letters(70), letters(51), "=" * 90, "ab" * 60]
+    texts = []
+    for k in range(90):
+        text = letters(int(rng.integers(0, 60)))
+        for p in rng.choice(len(passages), rng.integers(0, 4)):
+            cut = passages[p][int(rng.integers(0, 20)) :] if rng.random() < 0.5 else passages[p]
+            text += cut + letters(int(rng.integers(0, 40)))
+        texts.append(text)
+    texts += ["-" * int(n) for n in rng.integers(40, 400, 8)] + ["x" + "-" * 3000, "y" + "-" * 3000 + "z", "-" * 80 + "q" + "-" * 80, texts[7], texts[8] + "tail"]
+    docs = frame(spark, texts, False)
+    got = without_repeats(docs, hot=hot, bucket_bytes=5000).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert sum(r.n_removed for r in got) > 1000
+
+
+def test_statistics_decide(spark):
+    """Strings of later contexts are found in an index of earlier ones only; jumps are taken."""
+    jumps, jump = [], RunIndex._jump
+    RunIndex._jump = lambda self, who, *rest: (jumps.append(len(who)), jump(self, who, *rest))[1]
+    try:
+        common = "".join(chr(97 + k * 7 % 26) for k in range(60))
+        text = np.frombuffer((("p" * 30 + common + "q" * 30) + ("r" * 25 + common[2:] + "s" * 30)).encode(), np.uint8)
+        size = np.array([120, 113])
+        which, a, z = earlier(text, np.array([0, 120]), size, np.array([1, 2]), np.array([0]), np.array([1]))
+    finally:
+        RunIndex._jump = jump
+    assert which.tolist() == [0] and (a[0], z[0] + 49) == (25, 83) and sum(jumps) > 0
+
+
+def test_text_of_17_mb(spark):
+    rng = np.random.default_rng(3)
+    big = rng.integers(97, 123, 17 << 20).astype(np.uint8).tobytes().decode()
+    part, new = big[5_000_000:6_000_000], "".join(chr(c) for c in rng.integers(65, 91, 1000))
+    docs = spark.createDataFrame([(1, big), (2, "0" + part + new), (3, big)], "doc_id long, text string")
+    got = {r.doc_id: r for r in without_repeats(docs, with_text=False).collect()}
+    assert [got[k].n_removed for k in (1, 2, 3)] == [0, 1_000_000, 17 << 20] and got[2].n_spans == 1
+    assert got[2].kept_sha256 == hashlib.sha256(("0" + new).encode()).hexdigest()
