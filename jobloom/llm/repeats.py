@@ -6,12 +6,13 @@ of the context, the document and the place. A context that an earlier document h
 among the texts of one portion of a task at once, so that of a context that many documents share one row a portion is
 sent, and then among all. Of the others the bytes are fetched, once for each different context.
 
-The different contexts of an anchor are ranked by document. For each bit of the rank, those without the bit are indexed
+Two contexts of an anchor that hold one string also agree in the SIDE bytes before the anchor or in those behind it; what
+agrees with no other context is done, and the others form families. The contexts of a family are ranked by document. For each bit of the rank, those without the bit are indexed
 (a run-compressed Burrows-Wheeler transform with sampled run ends) and those with it are streamed through the index:
 matching statistics of LENGTH bytes, and the least document of the window class that the match ends in, decide which
 strings an earlier document has. Two contexts differ first in one bit, so each meets every earlier one once.
 
-An anchor with more than HOT contexts (the edge of a passage that very many documents hold) is not sent to one task: its
+A family of more than HOT contexts (the edge of a passage that very many documents hold) is not sent to one task: its
 contexts are taken apart into their strings, which are dealt by their own hash, one row for each portion of texts, and
 streamed against the first of them. Places of a context that repeats within its first document follow as numbers.
 
@@ -37,8 +38,9 @@ from .run_index import RunIndex
 from .words import K1, K2, mix, raw_bytes, span_hashes, stored, text_slices
 
 LENGTH, GRAM = 50, 16
+SIDE = (LENGTH - GRAM + 1) // 2  # a string has as many bytes on one side of its anchor
 NULL_ID = -(1 << 63)
-SLICE, BUCKET_BYTES, GROUP_BYTES, PARTS, PIECES = 2 << 20, 32 << 20, 8 << 20, 4, 8
+SLICE, BUCKET_BYTES, GROUP_BYTES, PARTS, PIECES = 2 << 20, 32 << 20, 8 << 20, 4, 1
 MANY, HOT = 1 << 16, 2048
 SETTLED, ASKED, COPIES, CONTEXTS = range(4)  # kinds of messages
 PLACE = np.uint64((1 << 24) - 1)
@@ -78,12 +80,13 @@ def slide_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, strings in it, hash of the anchor (40 bits), hash of the context (48 bits)) of all contexts of the texts."""
+def contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For all contexts of the texts: start, strings in it, hash of the anchor (40 bits), of the context (48 bits), of the
+    SIDE bytes before and of those behind the anchor (16 bits each; 0 if the context has fewer)."""
     n, window = len(data), LENGTH - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < LENGTH or n >= 1 << 24:
-        return (none, none, none.view(np.uint64), none.view(np.uint64)) if n < LENGTH else _long(data, off)
+        return (none, none, *[none.view(np.uint64)] * 2, *[none.astype(np.uint16)] * 2) if n < LENGTH else _long(data, off)
     words = np.ndarray((n - 7,), "<u8", data, 0, (1,))
     h = mix(words[: n - GRAM + 1] * K1 + words[8:] * K2)
     least = slide_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), window)
@@ -102,7 +105,12 @@ def contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     keep = owner[start] >= 0
     start, count = start[keep], count[keep]
     whole = span_hashes(data.astype(np.uint64) + np.uint64(1), start, start + count + LENGTH - 1)
-    return start, count, h[owner[start]] >> np.uint64(24), whole >> np.uint64(16)
+    at = owner[start]
+    sides = []
+    for begin, ok in ((at - SIDE, at - SIDE >= start), (at + GRAM, at + GRAM + SIDE <= start + count + LENGTH - 1)):
+        w = [words[np.clip(begin + k, 0, len(words) - 1)] for k in (0, 8, SIDE - 8)]
+        sides.append(np.where(ok, np.maximum(mix(mix(w[0] * K1 + w[1]) * K1 + w[2]) >> np.uint64(48), np.uint64(1)), np.uint64(0)).astype(np.uint16))
+    return start, count, h[at] >> np.uint64(24), whole >> np.uint64(16), *sides
 
 
 def _long(data: np.ndarray, off: np.ndarray):
@@ -112,9 +120,9 @@ def _long(data: np.ndarray, off: np.ndarray):
     for k in range(len(off) - 1):
         for a in range(int(off[k]), max(int(off[k]) + 1, int(off[k + 1]) - LENGTH + 1), step):
             z = min(int(off[k + 1]), a + step + LENGTH - 1)
-            s, c, h, w = contexts(data[a:z], np.array([0, z - a]))
-            parts.append((s + a, c, h, w))
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
+            s, *rest = contexts(data[a:z], np.array([0, z - a]))
+            parts.append((s + a, *rest))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def firsts(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,30 +161,31 @@ def by_key(key: np.ndarray, kind: int, *columns: np.ndarray) -> list:
 
 
 def sketch(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
-    """Messages to buckets: hashes, documents and places of contexts, about MANY * 16 of them a round. What an earlier
+    """Messages to buckets: hashes, documents and places of contexts, about MANY * 8 of them a round. What an earlier
     document of the same round has as a whole is settled at once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            start, count, anchor, whole, doc = (np.concatenate(x) for x in zip(*held))
+            start, count, anchor, whole, left, right, doc = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             order, new = firsts(anchor, whole, doc=doc)
-            start, count, anchor, whole, doc = (x[order] for x in (start, count, anchor, whole, doc))
+            start, count, anchor, whole, left, right, doc = (x[order] for x in (start, count, anchor, whole, left, right, doc))
             done = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             rows = grouped(groups, SETTLED, doc[done], start[done].astype(np.uint32), count[done].astype(np.uint32), keys=buckets)
             rest = ~done
-            rows += by_key((anchor[rest] % np.uint64(buckets)).astype(np.int64), CONTEXTS, anchor[rest], whole[rest], doc[rest], start[rest].astype(np.uint32), count[rest].astype(np.uint8))
+            rows += by_key((anchor[rest] % np.uint64(buckets)).astype(np.int64), CONTEXTS, anchor[rest], whole[rest], doc[rest], start[rest].astype(np.uint32), count[rest].astype(np.uint8), left[rest], right[rest])
             return message(rows).combine_chunks().to_batches()[0]
 
         for batch, text in text_slices(batches, limit=SLICE):
             data, off = raw_bytes(text)
-            start, count, anchor, whole = contexts(data, off)
+            start, *rest = contexts(data, off)
             row = np.searchsorted(off, start, "right") - 1
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[row]
-            held.append((start - off[row], count, anchor, whole, doc))
+            held.append((start - off[row], *rest, doc))
             size += len(start)
-            if size >= 16 * MANY:
+            if size >= 8 * MANY:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -185,17 +194,35 @@ def sketch(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, MESSAGE)
 
 
-CONTEXT = ("<u8", "<u8", "<i8", "<u4", "u1")  # anchor, whole, doc, start, count
+CONTEXT = ("<u8", "<u8", "<i8", "<u4", "u1", "<u2", "<u2")  # anchor, whole, doc, start, count, left, right
 SPAN = ("<i8", "<u4", "<u4")  # doc, start, count
-ASK = ("<i8", "<u4", "u1", "<u4", "<u8", "<u4", "<u4")  # doc, start, count, part, key of the context, rank, contexts of the anchor
+ASK = ("<i8", "<u4", "u1", "<u4", "<u8", "<u4", "<u4")  # doc, start, count, part, key of the context, rank, size of the family (0: hot)
 COPY = ("<u8", "<i8", "<u4")  # key, doc, start
-STRING = ("<i8", "<u4", "u1", "u1", "<u8", "<u4", "<u4")  # doc, start, count, piece, key, rank, contexts of the anchor (0: of a hot one)
+STRING = ("<i8", "<u4", "u1", "u1", "<u8", "<u4", "<u4")  # doc, start, count, piece, key, rank, size of the family (0: hot)
 
 
 def kind_of(table: pa.Table, kind: int) -> pa.Table:
     return table.filter(pc.equal(table["kind"], kind))
 
 
+def families(anchor: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number for each context: that of the first one of its family (those linked by equal sides of one anchor)."""
+    label, links = np.arange(len(anchor)), []
+    for side in (left, right):
+        on = np.flatnonzero(side)
+        key = (anchor[on].astype(np.uint64) << np.uint64(16)) | side[on]
+        order = np.argsort(key, kind="stable")
+        on, begin = on[order], np.flatnonzero(np.diff(key[order], prepend=np.uint64(2**64 - 1)))
+        links.append((on, begin, np.repeat(np.arange(len(begin)), np.diff(begin, append=len(on)))))
+    while True:
+        before = label.copy()
+        for on, begin, of in links:
+            if len(on):
+                label[on] = np.minimum.reduceat(label[on], begin)[of]
+        if np.array_equal(before, label):
+            return label
+
+
 def settle(groups: int, parts: int, hot: int):
     """For one bucket: spans that are settled, contexts whose bytes are asked for, other places of those.
 
@@ -203,28 +230,27 @@ def settle(groups: int, parts: int, hot: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
-        anchor, whole, doc, start, count = joined(kind_of(table, CONTEXTS)["data"].to_pylist(), *CONTEXT)
+        anchor, whole, doc, start, count, left, right = joined(kind_of(table, CONTEXTS)["data"].to_pylist(), *CONTEXT)
         passed = kind_of(table, SETTLED)
         if not len(anchor):
             return passed
         order = np.lexsort((start, doc, whole, anchor))
-        anchor, whole, doc, start, count = (x[order] for x in (anchor, whole, doc, start, count))
+        anchor, whole, doc, start, count, left, right = (x[order] for x in (anchor, whole, doc, start, count, left, right))
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new_whole = new_anchor | np.concatenate([[True], whole[1:] != whole[:-1]])
-        a0, w0 = np.flatnonzero(new_anchor), np.flatnonzero(new_whole)
-        a, w = np.cumsum(new_anchor) - 1, np.cumsum(new_whole) - 1
-        low, high = np.minimum.reduceat(doc, a0), np.maximum.reduceat(doc, a0)
+        w0, w = np.flatnonzero(new_whole), np.cumsum(new_whole) - 1
         done = doc > doc[w0][w]  # sorted by doc within a context
         rows = grouped(groups, SETTLED, doc[done], start[done], count[done].astype(np.uint32))
-        many = np.bincount(a[w0])  # different contexts of each anchor
-        by_rank = np.lexsort((doc[w0], a[w0]))
+        label = families((np.cumsum(new_anchor) - 1)[w0], left[w0], right[w0])
+        many = np.bincount(label, minlength=len(w0))  # different contexts of each family
+        by_rank = np.lexsort((doc[w0], label))
         rank = np.empty(len(w0), np.uint32)
-        rank[by_rank] = np.arange(len(w0)) - (np.cumsum(many) - many)[a[w0][by_rank]]
-        ask = ~done & ((low < high) & (many > 1))[a]
+        rank[by_rank] = np.arange(len(w0)) - (np.cumsum(many) - many)[label[by_rank]]
+        ask = ~done & (many[label] > 1)[w]
         pieces = parts * PIECES
-        part = (int(table["key"][0].as_py()) * pieces + ((anchor >> np.uint64(26)) % np.uint64(pieces)).astype(np.int64)).astype(np.uint32)
-        key, family = mix(anchor * K1 + whole), np.where(many > hot, 0, many)[a].astype(np.uint32)
-        own = ask & (new_whole | (family == 0))  # of a hot anchor all places are taken apart
+        part = (int(table["key"][0].as_py()) * pieces + (mix(label.astype(np.uint64)) % np.uint64(pieces)).astype(np.int64)).astype(np.uint32)[w]
+        key, family = mix(anchor * K1 + whole), np.where(many > hot, 0, many)[label].astype(np.uint32)[w]
+        own = ask & (new_whole | (family == 0))  # of a hot family all places are taken apart
         rows += grouped(groups, ASKED, doc[own], start[own], count[own], part[own], key[own], rank[w][own], family[own])
         copy = ask & ~own
         rows += by_key((part[copy] // PIECES).astype(np.int64), COPIES, key[copy], doc[copy], start[copy])
@@ -248,7 +274,7 @@ def one_text(table: pa.Table) -> pa.Array:
 
 
 def fetch(groups: int, all_parts: int):
-    """The bytes of the contexts that are asked of a group of texts; those of hot anchors as single strings."""
+    """The bytes of the contexts that are asked of a group of texts; those of hot families as single strings."""
 
     def run(texts: pa.Table, asks: pa.Table) -> pa.Table:
         rows: list = []
@@ -267,7 +293,9 @@ def fetch(groups: int, all_parts: int):
                 each = np.repeat(np.arange(len(e)), n)
                 step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
                 at, owner, place = a[~cool][each] + step, doc[e][each], (start[e][each] + step).astype(np.uint32)
-                h = span_hashes(data.astype(np.uint64) + np.uint64(1), at, at + LENGTH)
+                words, h = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)), np.zeros(len(at), np.uint64)
+                for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+                    h = mix(h * K1 + words[at + k])
                 order, new = firsts(h, doc=owner)
                 at, owner, place, h = at[order], owner[order], place[order], h[order]
                 later = owner > owner[np.flatnonzero(new)][np.cumsum(new) - 1]
