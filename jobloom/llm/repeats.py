@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .run_index import RunIndex
-from .words import K1, K2, mix, raw_bytes, span_hashes, stored, text_slices
+from .words import K1, K2, joined, mix, packed, raw_bytes, span_hashes, stored, text_slices
 
 LENGTH, GRAM = 50, 16
 SIDE = (LENGTH - GRAM + 1) // 2  # a string has as many bytes on one side of its anchor
@@ -46,32 +46,6 @@ SETTLED, ASKED, COPIES, CONTEXTS = range(4)  # kinds of messages
 PLACE = np.uint64((1 << 24) - 1)
 
 
-def codec() -> pa.Codec:
-    return pa.Codec("zstd", 1)
-
-
-def packed(*columns: np.ndarray) -> bytes:
-    """Columns of numbers as bytes: byte planes of each, compressed."""
-    n = len(columns[0])
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T.tobytes() for c in columns]
-    raw = b"".join(planes)
-    return n.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + codec().compress(raw, asbytes=True)
-
-
-def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
-    n, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
-    raw, at, out = np.frombuffer(codec().decompress(data[8:], size, asbytes=True), np.uint8), 0, []
-    for kind in map(np.dtype, kinds):
-        out.append(np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel())
-        at += n * kind.itemsize
-    return out
-
-
-def joined(blobs: Iterable[bytes], *kinds: str) -> list[np.ndarray]:
-    parts = [unpacked(b, *kinds) for b in blobs]
-    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)]
-
-
 def slide_min(x: np.ndarray, width: int) -> np.ndarray:
     step = 1
     while 2 * step <= width:
