@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .words import SPACED, Words, crc_mod, joined, packed, stored, text_slices
 
-SLOTS, SPAN, DIM, PLACES = 8192, 128, 24, 3
+SLOTS, SPAN, DIM, PLACES = 4096, 64, 16, 3
 END, UNKNOWN = 0, 1
 MIX, CLASS_NOISE, SLOT_NOISE, BATCH, RATE, CALM = 0.1, 64, 16, 8192, 0.2, 0.01
 BUCKET_BYTES, SHARD_WORDS = 8 << 20, 500_000
