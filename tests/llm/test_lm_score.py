@@ -103,7 +103,7 @@ def test_whole_vocabulary_sums_to_one(spark):
     assert len(v.hashes) == slots - k - 2 < len(c) and v.types == len(c) + 1 and v.tokens == sum(c.values()) + 8
     slot, n = np.concatenate([[END], v.look()(every), [UNKNOWN]]), np.concatenate([[v.ends], n, [0]])
     model = Model.start(v.slot_counts)
-    logs = model.log_probs(slot, np.tile([[7, END, 300]], (len(slot), 1))).astype(float)
+    logs = model.log_probs(slot, np.tile([[7, END, slots - 1]], (len(slot), 1))).astype(float)
     assert abs(np.exp(v.mixed(logs, slot, n)).sum() - 1) < 1e-4
     # The query's scores are those of its model, worked out token by token.
     got = {r.doc_id: r.score for r in lm_score(docs, slots=slots, bucket_bytes=2000).collect()}
