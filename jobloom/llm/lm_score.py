@@ -90,24 +90,29 @@ class Model:
 
     def log_probs(self, slot: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Natural log of the model's probability of each slot after the slots before it."""
-        out, cls = np.zeros(len(slot), np.float32), slot // SPAN
-        order = np.argsort(cls.astype(np.uint16), kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(len(self.a) + 1))
+        cls = (slot // SPAN).astype(np.uint16)
+        order = np.argsort(cls, kind="stable")
+        slot, bounds = slot.take(order), np.searchsorted(cls.take(order), np.arange(len(self.a) + 1))
+        r = np.column_stack([self.context(before.take(order, axis=0)), np.ones(len(slot), np.float32)])
+        u, v, found = np.column_stack([self.u, self.a]).T.copy(), np.column_stack([self.v, self.b]), np.zeros(len(slot), np.float32)
         for k in range(len(self.a)):
-            for lo in range(bounds[k], bounds[k + 1], 1 << 14):
-                at = order[lo : min(lo + (1 << 14), bounds[k + 1])]
-                r = self.context(before[at])
-                s = r @ self.u.T + self.a
-                t = r @ self.v[k * SPAN : (k + 1) * SPAN].T + self.b[k * SPAN : (k + 1) * SPAN]
-                out[at] = s[:, k] + t[np.arange(len(at)), slot[at] - k * SPAN] - _log_sum(s) - _log_sum(t)
+            w = v[k * SPAN : (k + 1) * SPAN].T.copy()
+            for lo in range(bounds[k], bounds[k + 1], 1 << 13):
+                hi = min(lo + (1 << 13), bounds[k + 1])
+                s, t = r[lo:hi] @ u, r[lo:hi] @ w
+                found[lo:hi] = s[:, k] + t[np.arange(hi - lo), slot[lo:hi] - k * SPAN]
+                found[lo:hi] -= _log_sum(s) + _log_sum(t)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    """The log of the sum of exponentials of each row; x is used up."""
-    top = x.max(axis=1)
-    x -= top[:, None]
-    return top + np.log(np.exp(x, out=x).sum(axis=1))
+    """The log of the sum of exponentials of each row; x is used up. Rows with large numbers are worked out with care."""
+    top = np.float32(0) if x.max(initial=0) < 60 else x.max(axis=1)
+    if np.ndim(top):
+        x -= top[:, None]
+    return top + np.log(np.maximum(np.exp(x, out=x).sum(axis=1), np.float32(1e-37)))
 
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +141,7 @@ class Trainer:
         within = share.reshape(-1, SPAN) / np.maximum(self.p_class[:, None], 1e-12)
         log = lambda p: np.log(np.maximum(p, 1e-12)).astype(np.float32)
         self.class_upto, self.slot_upto = np.cumsum(self.p_class), np.cumsum(within, axis=1)
+        self.line = (np.arange(len(within))[:, None] + np.minimum(self.slot_upto / np.maximum(self.slot_upto[:, -1:], 1e-12), 1)).ravel()  # all classes on one line
         self.log_class, self.log_slot = log(CLASS_NOISE * self.p_class), log(SLOT_NOISE * within.ravel())
         self.sums = {n: np.full_like(getattr(self.m, n), CALM) for n in Model.NAMES}
 
@@ -151,7 +157,7 @@ class Trainer:
         self.seen += n
         scale = np.float32(32 / n)
         order = np.argsort((slot // SPAN).astype(np.uint16), kind="stable")
-        slot, before = slot[order], before[order]
+        slot, before = slot.take(order), before.take(order, axis=0)
         cls = slot // SPAN
         first = np.flatnonzero(np.diff(cls, prepend=-1))
         ends = np.append(first[1:], n)
@@ -167,20 +173,24 @@ class Trainer:
         gu = (np.concatenate([cls[first], drawn]), np.concatenate([np.add.reduceat(true[:, None] * r, first, axis=0), noise.T @ r]))
         ga = (gu[0], np.concatenate([np.add.reduceat(true, first), noise.sum(axis=0)]))
         # Slots: the true one, and noise of its class that all tokens of the class share.
-        rows, grads, sums = [], [], []
-        for k, lo, hi in zip(cls[first].tolist(), first.tolist(), ends.tolist()):
-            some = k * SPAN + np.minimum(np.searchsorted(self.slot_upto[k], rng.random(SLOT_NOISE) * self.slot_upto[k, -1], "right"), SPAN - 1)
-            w, part = m.v[some], r[lo:hi]
-            g = _sigmoid(part @ w.T + (m.b[some] - self.log_slot[some])) * scale
-            gr[lo:hi] += g @ w
-            rows.append(some)
-            grads.append(g.T @ part)
-            sums.append(g.sum(axis=0))
+        some = np.searchsorted(self.line, cls[first][:, None] + rng.random((len(first), SLOT_NOISE)), "right")
+        some = np.minimum(some, cls[first][:, None] * SPAN + SPAN - 1)
+        ws, bias = m.v[some], m.b[some] - self.log_slot[some]
+        grads = np.empty((*some.shape, DIM + 1), np.float32)
+        for k, (lo, hi) in enumerate(zip(first.tolist(), ends.tolist())):
+            part = r[lo:hi]
+            g = part @ ws[k].T
+            g += bias[k]
+            g = _sigmoid(g)
+            g *= scale
+            gr[lo:hi] += g @ ws[k]
+            grads[k, :, :-1] = g.T @ part
+            grads[k, :, -1] = g.sum(axis=0)
         own = m.v.take(slot, axis=0)
         true = (_sigmoid(np.einsum("nd,nd->n", r, own) + (m.b[slot] - self.log_slot[slot])) - 1) * scale
         gr += true[:, None] * own
-        at = np.concatenate([slot, *rows])
-        gv = np.concatenate([np.column_stack([true[:, None] * r, true]), *[np.column_stack([g, s]) for g, s in zip(grads, sums)]])
+        at = np.concatenate([slot, some.ravel()])
+        gv = np.concatenate([np.column_stack([true[:, None] * r, true]), grads.reshape(-1, DIM + 1)])
         gc = np.stack([np.einsum("nd,nd->d", gr, q) for q in qs])
         gq = _sums(before.T.ravel(), np.concatenate([gr * m.c[j] for j in range(PLACES)]))
         at, gv = _sums(at, gv)
@@ -297,9 +307,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Model:
             words = Words(text, SPACED)
             slot = with_ends(look(words.hashes_of_unique())[words.codes], words.splits, END)
             before = contexts(slot, words.splits[1:] + np.arange(len(text)))
-            order = trainer.rng.permutation(len(slot))
-            for k in range(0, len(slot), BATCH):
-                trainer.learn(slot[order[k : k + BATCH]], before[order[k : k + BATCH]])
+            batches_ = -(-len(slot) // BATCH)
+            for k in range(batches_):  # each takes tokens from all over the slice
+                trainer.learn(slot[k::batches_], before[k::batches_])
         if trainer.seen:
             flat = trainer.m.pack()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(np.full(len(flat), float(trainer.seen))), pa.FixedSizeListArray.from_arrays(pa.array((flat * np.float32(trainer.seen)).ravel()), DIM).cast(pa.list_(pa.float32()))], names=["part", "weight", "sums"])

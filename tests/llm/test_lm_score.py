@@ -66,7 +66,7 @@ def test_gradient_against_differences():
         soft = lambda x: np.logaddexp(0, x).sum()
         s += soft(r @ m.u[drawn].T + m.a[drawn] - t.log_class[drawn]) + soft(-((r * m.u[k]).sum(1) + m.a[k] - t.log_class[k]))
         for c in np.unique(k):
-            some = c * SPAN + np.searchsorted(t.slot_upto[c], draw.random(SLOT_NOISE) * t.slot_upto[c, -1], "right")
+            some = c * SPAN + np.searchsorted(t.slot_upto[c], draw.random(SLOT_NOISE), "right")
             s += soft(r[k == c] @ m.v[some].T + m.b[some] - t.log_slot[some])
         w = slot[order]
         return s + soft(-((r * m.v[w]).sum(1) + m.b[w] - t.log_slot[w]))
