@@ -10,6 +10,9 @@ has. Sets whose numbers of buckets differ are compared by the smaller number: ha
 Pairs come in two rounds, so that a group of copies doesn't emit all its pairs: first each class with one likely partner
 among the next smaller ones of its shingles' groups; then the pairs of a group that aren't yet in one component, tried
 inside a task and emitted only if they pass all filters. Together they hold every link that could join two components.
+In the second round a pair counts only at the first shingle that both have in the common order: there, none before it is
+shared, so the smaller set has it very early (an index row). Groups without an index row hold no pair; of a large group
+the rows are dealt over tasks of about PORTION rows, each with all index rows of the group.
 
 Edge cases: null and empty texts have no shingles and no links (n_shingles 0, their own component); a text with fewer
 words than a shingle is one shingle; rows that share a doc_id count as one document; a null doc_id is never linked and
@@ -25,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .components import components
-from .words import SPACED, Words, inside, mix, run_hash, stored, text_slices
+from .words import SPACED, Words, discard, inside, mix, run_hash, stored, text_slices
 
 WORDS, PERCENT = 3, 90
 COUNT_BITS, LEAST_BINS = 22, 256
 BROADCAST_IDS = 500_000  # 8 bytes each
+PORTION = 512
 
 
 def shingles(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,22 +178,31 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perc
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_keys(g, rows, sizes), pa.binary()), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(g.view(np.int64)))], names=["rep", "key", "grams"])
 
     found = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(sets, "rep long, key binary, grams array<long>")
-    found = stored(found.join(small(ids), ["rep", "key"], "left_semi").select("rep", "grams"), "sets")
+    found = kept = stored(found.join(small(ids), ["rep", "key"], "left_semi").select("rep", "grams"), "sets")
     if found.count() > wanted:  # rows that repeat
         found = found.dropDuplicates(["rep"])
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = []
-            for k in range(batch.num_rows):
-                p, q = x[k].values.to_numpy(), y[k].values.to_numpy()
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                flat, n = [], []
+                for c in ("x", "y"):
+                    sets = batch.column(c)
+                    n.append(np.diff(sets.offsets.to_numpy()))
+                    flat.append(sets.flatten().to_numpy())
+                row, value = np.concatenate([np.repeat(np.arange(batch.num_rows), k) for k in n]), np.concatenate(flat)
+                order = np.lexsort((value, row))
+                row, value = row[order], value[order]
+                twice = (row[1:] == row[:-1]) & (value[1:] == value[:-1])  # a set has each shingle once
+                both = np.bincount(row[1:][twice], minlength=batch.num_rows)
+                keep = 100 * both >= percent * (n[0] + n[1] - both)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     whole = likely.join(found.select(F.col("rep").alias("a"), F.col("grams").alias("x")), "a").join(found.select(F.col("rep").alias("b"), F.col("grams").alias("y")), "b")
-    return stored(whole.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    links = stored(whole.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    discard(likely, ids, kept)
+    return links
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> int:
@@ -199,18 +212,19 @@ def differing(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(x, axis=0) ^ np.bitwise_xor.reduce(y, axis=0)).sum())
 
 
-def cross_pairs(part: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.ndarray, parity: list[np.ndarray], percent: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one shingle's group that lie in different components and pass all filters; in blocks of bounded size."""
-    out = [np.zeros((2, 0), np.int64)]
-    for i0 in range(0, len(rep), block):
-        for j0 in range(i0, len(rep), block):
-            i, j = np.arange(i0, min(i0 + block, len(rep)))[:, None], np.arange(j0, min(j0 + block, len(rep)))[None, :]
+def cross_pairs(part: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.ndarray, index: np.ndarray, probe: np.ndarray, parity: list[np.ndarray], percent: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of an index row and a probe row of one shingle's group that lie in different components and pass all filters;
+    in blocks of bounded size."""
+    out, index, probe = [np.zeros((2, 0), np.int64)], np.flatnonzero(index), np.flatnonzero(probe)
+    for i0 in range(0, len(index), block):
+        for j0 in range(0, len(probe), block):
+            i, j = index[i0 : i0 + block][:, None], probe[j0 : j0 + block][None, :]
             low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
             needed = -(-percent * (size[i] + size[j]) // (100 + percent))
-            ok = (i < j) & (part[i] != part[j]) & (100 * low >= percent * high)
-            ok &= np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= needed
+            ok = (part[i] != part[j]) & (100 * low >= percent * high)
+            ok &= np.minimum(size[i] - pos[i], size[j] - pos[j]) >= needed  # if none before is shared
             a, b = np.nonzero(ok)
-            a, b = a + i0, b + j0
+            a, b = i[a, 0], j[0, b]
             apart = np.fromiter((differing(parity[x], parity[y]) for x, y in zip(a, b)), np.int64, len(a))
             keep = apart <= size[a] + size[b] - 2 * -(-percent * (size[a] + size[b]) // (100 + percent))
             out.append(np.stack([rep[a[keep]], rep[b[keep]]]))
@@ -218,26 +232,32 @@ def cross_pairs(part: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.nda
     return np.minimum(x[0], x[1]), np.maximum(x[0], x[1])
 
 
-def across(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def across(placed: DataFrame, classes: DataFrame, percent: int, portion: int = PORTION) -> DataFrame:
     """Distinct (a, b) of classes that share a prefix shingle, lie in different components and pass the filters.
 
-    Groups with one component are left out first. The others come sorted, so a task holds one group at a time; pairs are
-    tried within it and only those that pass all filters are emitted.
+    Groups with one component, or without an index row, are left out first. The others come sorted, so a task holds one
+    portion of a group at a time; pairs are tried within it and only those that pass all filters are emitted.
     """
-    several = placed.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gram")
-    rows = placed.join(several, "gram", "left_semi").join(classes.select("rep", "parity"), "rep")
+    early = F.expr(f"size - pos >= ceil({2 * percent} * size / {100 + percent})")
+    marked = placed.withColumn("index", early)
+    several = marked.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"), F.max("index").alias("any")).where("low <> high and any")
+    several = several.select("gram", F.ceil(F.col("n") / portion).alias("portions"))
+    own = F.pmod(F.xxhash64("rep"), F.col("portions"))
+    rows = marked.join(several, "gram").join(classes.select("rep", "parity"), "rep").withColumn("own", own)
+    dealt = rows.withColumn("to", F.explode(F.when(F.col("index"), F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).otherwise(F.array("own"))))
+    dealt = dealt.withColumn("probe", F.col("to") == F.col("own")).withColumn("gram", F.when(F.col("portions") > 1, F.xxhash64("gram", "to")).otherwise(F.col("gram")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def pairs(done: pa.Table) -> pa.RecordBatch:
-            gram, part, rep, size, pos = (done[c].to_numpy() for c in ("gram", "part", "rep", "size", "pos"))
+            gram, part, rep, size, pos, index, probe = (done[c].to_numpy() for c in ("gram", "part", "rep", "size", "pos", "index", "probe"))
             whole = done["parity"].combine_chunks()
             whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
             ends = whole.offsets.to_numpy()
             parity = np.split(whole.values.to_numpy().view(np.uint64), ends[1:-1]) if not whole.offset and ends[0] == 0 else [x.values.to_numpy().view(np.uint64) for x in whole]
             cuts = np.append(np.flatnonzero(np.diff(gram, prepend=gram[:1] + 1)), len(gram))
-            found = [cross_pairs(*(x[a:z] for x in (part, rep, size, pos)), parity[a:z], percent) for a, z in zip(cuts[:-1], cuts[1:])]
+            found = [cross_pairs(*(x[a:z] for x in (part, rep, size, pos, index, probe)), parity[a:z], percent) for a, z in zip(cuts[:-1], cuts[1:])]
             a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             a, b = np.unique(np.stack([a, b]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -256,7 +276,7 @@ def across(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    ordered = rows.select("gram", "part", "rep", "size", F.col("pos").cast("long").alias("pos"), "parity").repartition("gram").sortWithinPartitions("gram")
+    ordered = dealt.select("gram", "part", "rep", "size", F.col("pos").cast("long").alias("pos"), "index", "probe", "parity").repartition("gram").sortWithinPartitions("gram")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -272,8 +292,10 @@ def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
 
     parts = components(links)
     placed = shared.join(parts, F.col("rep") == F.col("node"), "left").select("gram", "rep", "size", "pos", F.coalesce("component", "rep").alias("part"))
-    more = across(stored(placed, "placed"), classes, percent)
-    links = links.unionByName(verified(docs, classes, more, n, percent))
+    placed = stored(placed, "placed")
+    discard(shared)
+    links = links.unionByName(verified(docs, classes, across(placed, classes, percent), n, percent))
+    discard(placed)
 
     parts = components(links)
     named = classes.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))

@@ -66,3 +66,28 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {k: 1 for k in range(1, 41)} | {50: 50, 60: 50, 100: 50}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_short_texts_alone_in_a_partition(spark):
+    """Batches of one text with fewer words than a shingle, or as many."""
+    for n in (3, 4, 5, 7):
+        texts = [" ".join("abcdefgh"[:k]) for k in range(9)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9, "doc_id")
+        check(spark, docs, n, 80)
+    assert [tuple(r) for r in similar(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), 5, 80).collect()] == [(1, 1, 1)]
+
+
+def test_form_letters_in_portions(spark, monkeypatch):
+    """A template with own parts of many lengths: groups of one shingle are large, some letters link and some don't."""
+    import jobloom.llm.similar as module
+
+    rng = random.Random(6)
+    template = [f"t{k}" for k in range(80)]
+    texts = [" ".join(template + [f"own{k}x{j}" for j in range(rng.randrange(2, 22))]) for k in range(45)]
+    texts += [" ".join([f"front{k}y{j}" for j in range(rng.randrange(1, 12))] + template) for k in range(20)]
+    docs = frame(spark, texts, False)
+    across = module.across
+    for portion in (512, 4):
+        monkeypatch.setattr(module, "across", lambda placed, classes, percent: across(placed, classes, percent, portion))  # noqa: B023
+        check(spark, docs, 3, 90)
+        check(spark, docs, 5, 80)
