@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .words import ALNUM, Words, stored, text_slices
 
 N, DEPTH, BITS = 10, 3, 21  # the array is sorted by the leading BITS bits of each of the first DEPTH words
-BLOCK_BYTES, PAIRS = 8 << 20, 1 << 20
+BLOCK_BYTES, SHARD_BYTES, PAIRS = 8 << 20, 2 << 20, 1 << 19
 LISTS = ("starts", "ends", "items")
 FOUND = T.StructType([T.StructField(c, T.ArrayType(T.LongType()) if c in LISTS else T.LongType()) for c in ("n_words", *LISTS, "longest", "longest_at")])
 FOUND_PA = pa.schema([(c, pa.list_(pa.int64()) if c in LISTS else pa.int64()) for c in FOUND.names])
@@ -177,7 +177,7 @@ def _searched(whole: DataFrame, sent) -> DataFrame:
         tests = Tests(*sent.value)
         for batch in batches:
             doc, at = batch.column("doc"), 0
-            for part, text in text_slices([pa.RecordBatch.from_arrays([doc.field("text")], names=["text"])], limit=8 << 20):
+            for part, text in text_slices([pa.RecordBatch.from_arrays([doc.field("text")], names=["text"])], limit=SHARD_BYTES):
                 got = search(tests, text)
                 yield pa.RecordBatch.from_arrays([doc.slice(at, part.num_rows), *[pa.array(got[f.name], f.type) for f in FOUND_PA]], names=["doc", *FOUND.names])
                 at += part.num_rows

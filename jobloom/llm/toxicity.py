@@ -85,12 +85,19 @@ class Ftrl:
 
 def train(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, sorted; weights) of the features with a weight; the bias always comes first."""
-    blocks = [once(*features(texts.slice(start, BLOCK))) for start in range(0, len(y), BLOCK)]
-    every = np.sort(np.concatenate([h for _, h in blocks])) if blocks else np.zeros(0, np.uint64)
+    blocks = []
+    for start in range(0, len(y), BLOCK):
+        rows, h = once(*features(texts.slice(start, BLOCK)))
+        blocks.append((rows.astype(np.uint8), h))
+    every = np.concatenate([np.zeros(0, np.uint64), *[h for _, h in blocks]])
+    every.sort()
     often = every[MIN_DOCS - 1 :][every[MIN_DOCS - 1 :] == every[: len(every) - MIN_DOCS + 1]] if len(every) >= MIN_DOCS else every[:0]
     known = np.concatenate([[BIAS], np.unique(often[often > BIAS])])
+    del every, often
     parts = []
-    for start, (rows, h) in zip(range(0, len(y), BLOCK), blocks):
+    blocks.reverse()
+    for start in range(0, len(y), BLOCK):
+        rows, h = blocks.pop()  # let go one by one
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         keep, k = known[at] == h, min(BLOCK, len(y) - start)
         parts.append((np.concatenate([rows[keep], np.arange(k)]).astype(np.int32), np.concatenate([at[keep], np.zeros(k, np.int64)]).astype(np.int32), y[start : start + k]))
@@ -156,10 +163,11 @@ def score(docs: DataFrame, hashes: np.ndarray, weights: np.ndarray, keep: list[s
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
         for batch in batches:
-            doc = batch.column("doc")
+            doc, at = batch.column("doc"), 0
             text = doc.field("text") if "text" in keep else batch.column("text")
-            parts = [scorer(t) for _, t in text_slices([pa.RecordBatch.from_arrays([text], names=["text"])])]
-            yield pa.RecordBatch.from_arrays([doc, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc", "score"])
+            for part, t in text_slices([pa.RecordBatch.from_arrays([text], names=["text"])]):
+                yield pa.RecordBatch.from_arrays([doc.slice(at, part.num_rows), pa.array(scorer(t))], names=["doc", "score"])
+                at += part.num_rows
 
     return whole.mapInArrow(run, out)
 
