@@ -20,3 +20,15 @@ def test_registered(spark, sf_dir):
 
     names = __spark_entry__.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+def test_short_documents_and_clashing_columns(spark, sf_dir):
+    """Three-word texts alone in a partition; columns named like the operators' own keep their values up to packing."""
+    names = ["score", "gone", "__gone", "__id", "id", "h", "keep", "doc", "items", "__items", "n_removed", "key", "rep", "component_id"]
+    rows = [(k, text, *[f"v{k}{c}" for c in names]) for k, text in enumerate(["a b c", None, "", "one two", "a b c"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)).repartition(5, "doc_id")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), f"test-{name}")
+    assert sorted(map(tuple, docs.collect())) == [r for r in rows if r[0] < 4]  # of the copies the first stays
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in packed.collect()) == [0, 1, 2, 3]
