@@ -113,8 +113,7 @@ class Words:
 
     def hashes_of_unique(self) -> np.ndarray:
         """A 64-bit hash of each distinct word; never 0."""
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.unique.cast(pa.binary()).to_pylist()), np.uint64, len(self.unique))
-        return np.maximum(h, np.uint64(1))
+        return word_hashes(self.unique)
 
     def hashes(self) -> np.ndarray:
         """The hash of each word, in text order."""
@@ -122,6 +121,8 @@ class Words:
 
 
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+LONG = 64
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -131,6 +132,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, never 0: eight bytes of all words at a time; words over LONG bytes by xxh3."""
+    data, off = raw_bytes(words)
+    size, data = np.diff(off), np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    h = mix(size.astype(np.uint64) + K2)
+    todo = np.flatnonzero(size <= LONG)
+    at, left = off[:-1][todo], size[todo]
+    while len(todo):
+        h[todo] = mix(h[todo] * K1 + (eight[at] & FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG):
+        h[k] = xxhash.xxh3_64_intdigest(data[off[k] : off[k + 1]])
+    return np.maximum(h, np.uint64(1))
+
+
 def run_hash(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n consecutive word hashes (len(h)-n+1 of them); order matters."""
     size = max(0, len(h) - n + 1)

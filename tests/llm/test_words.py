@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
-from jobloom.llm.words import ALNUM, SPACED, Words, inside, run_hash, span_hashes, text_slices
+from jobloom.llm.words import ALNUM, SPACED, Words, inside, run_hash, span_hashes, text_slices, word_hashes
 
 
 def test_words():
@@ -35,3 +35,14 @@ def test_span_hashes():
     x = np.array([5, 7, 9, 5, 7, 9, 5], np.uint64)
     h = span_hashes(x, np.array([0, 3, 1, 0]), np.array([3, 6, 4, 0]))
     assert h[0] == h[1] and len(np.unique(h)) == 3
+
+
+def test_word_hashes():
+    """Words of all lengths, with zero bytes and equal heads and tails, hash apart, and alike whatever stands beside them."""
+    words = [w for n in range(80) for w in dict.fromkeys(["x" * n, "x" * n + "\0", "\0" * n + "x", "x" * n + "é", "yx" + "x" * n])]
+    words = list(dict.fromkeys(words))
+    h = word_hashes(pa.array(words))
+    assert len(np.unique(h)) == len(words) and (h > 0).all()
+    assert [word_hashes(pa.array([w]))[0] for w in words] == h.tolist()
+    assert word_hashes(pa.array(words).slice(7, 100)).tolist() == h[7:107].tolist()
+    assert len(word_hashes(pa.array([], pa.string()))) == 0
