@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op11
 from .decontaminate import op8
+from .fill_middle import op13
 from .fingerprint import op9
 from .line_dedup import op6
 from .lm_score import op2
 from .packing import op3
 from .pii import op4
 from .repeats import op1
+from .runs import op12
 from .similar import op5
 from .toxicity import op10
 from .warc import OP7_SQL, op7
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8,
     "op9_fingerprint": op9,
     "op10_toxicity": op10,
+    "op11_bpe_round_trip": op11,
+    "op12_periodic_runs": op12,
+    "op13_fill_middle": op13,
 }
 
 ORACLE: dict[str, str] = {"op7_warc_round_trip": OP7_SQL}
