@@ -8,7 +8,7 @@ search over the sorted keys of all pairs, and every word merges its pair of lowe
 take the pairs rank by rank over linked symbols, so a run of a million letters costs in proportion to its merges.
 
 A worker keeps the ids of words it has met (KEEP of them at most, then it starts again). Texts are taken in slices of a
-few MB; a longer text is cut before white space, where no word can reach across, about 40 bytes a code point of a slice.
+megabyte; a longer text is cut before white space, where no word can reach across, about 40 bytes a code point of a slice.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; the special token's string within a text is
 that token; ids outside of the vocabulary decode to nothing; bytes that aren't UTF-8 decode to U+FFFD; repeated rows and
@@ -28,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .words import SLICE_BYTES, raw_bytes, text_slices
+from .words import raw_bytes, text_slices
 
-LONG, KEEP = 128, 500_000
+LONG, KEEP = 128, 300_000
+SLICE, IDS = 1 << 20, 1 << 19  # bytes of text, ids taken at once (a longer text stands alone)
 NONE = np.int32(1 << 30)
 OTHER, LETTER, NUMBER, WHITE, UNASKED = range(5)
 ASCII_SPACE = b" \t\n\v\f\r"
@@ -252,7 +253,8 @@ class Tokenizer:
         """The text of each run of `size` ids."""
         ids = np.where((ids >= 0) & (ids < len(self.token_size)), ids, -1)
         width = np.where(ids >= 0, self.token_size[ids], 0)
-        data = self.token_bytes[spread(self.token_at[ids], width)].tobytes()
+        portions = ((ids[k : k + IDS], width[k : k + IDS]) for k in range(0, len(ids), IDS))
+        data = b"".join(self.token_bytes[spread(self.token_at[i], w)].tobytes() for i, w in portions)
         off = np.append(0, np.cumsum(width))[np.append(0, np.cumsum(size))].tolist()
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(off, off[1:])]
 
@@ -274,7 +276,7 @@ def found(raw: bytes, part: bytes, off: np.ndarray) -> Iterator[int]:
             at = raw.find(part, at + 1)
 
 
-def stretches(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+def stretches(text: pa.Array, limit: int = SLICE) -> Iterator[pa.Array]:
     """A text in stretches of at most `limit` bytes, cut before white space that stands behind a printed ASCII sign; where
     there is none, the stretch is longer."""
     data = raw_bytes(text)[0].tobytes()
@@ -305,8 +307,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        for batch, text in text_slices(batches):
-            if len(raw_bytes(text)[0]) > 2 * SLICE_BYTES:  # one long text
+        for batch, text in text_slices(batches, limit=SLICE):
+            if len(raw_bytes(text)[0]) > 2 * SLICE:  # one long text
                 ids = np.concatenate([tok.encode(t)[0] for t in stretches(text)])
                 size = np.array([len(ids)], np.int64)
             else:
@@ -324,11 +326,17 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         tok = tokenizer(path)
         for batch in batches:
             lists = batch.column("ids").fill_null([])
-            ids, off = lists.values.to_numpy(zero_copy_only=False).astype("<i4"), lists.offsets.to_numpy()
-            size, first, last = np.diff(off), int(off[0]) if len(off) else 0, int(off[-1]) if len(off) else 0
-            raw, texts = ids.tobytes(), tok.decode(ids[first:last], size)
-            sha = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], schema=DECODED)
+            off = lists.offsets.to_numpy().astype(np.int64)
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(off, off[start] + IDS, "right")) - 1)
+                cut = off[start : stop + 1]
+                ids = lists.values.slice(cut[0], cut[-1] - cut[0]).to_numpy(zero_copy_only=False).astype("<i4")
+                raw, size = ids.tobytes(), np.diff(cut)
+                texts = tok.decode(ids, size)
+                sha = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip((cut[:-1] - cut[0]).tolist(), (cut[1:] - cut[0]).tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], schema=DECODED)
+                start = stop
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded string")
 
