@@ -14,16 +14,21 @@ WIDE_COLUMNS = [
 ]
 
 
-def _one_each(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The least record of each key, on the partitioning that the join needs anyway."""
-    return records.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*columns)).alias("r")).select(key, "r.*")
+def _one_each(records: DataFrame, key: str, columns: list[str], time: str = "fetched_at") -> DataFrame:
+    """One record of each key, on the partitioning that the join needs anyway: one with any field set before one of a failed
+    page (all null), then the newest (where records have the column `time`), then the least."""
+    failed = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNull()
+    age = F.coalesce(-F.unix_micros(F.col(time).cast("timestamp")), F.lit((1 << 63) - 1)) if time in records.columns else F.lit(0)
+    best = F.min(F.struct(failed.alias("__failed"), age.alias("__age"), *columns)).alias("r")
+    return records.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, *[f"r.{c}" for c in columns])
 
 
 def job_wide(found: DataFrame, details: DataFrame, companies: DataFrame) -> DataFrame:
     """Cards with the detail of their job and the record of its company (the job page's link, else the card's).
 
-    A card keeps one row: of several details of one job_url (or records of one company) the least counts, and a card
-    without either keeps its row with nulls.
+    A card keeps one row: of several details of one job_url (or records of one company) a good one counts before one of a
+    failed page, a newer one (`fetched_at`, if there is such a column) before an older one; a card without either keeps its
+    row with nulls.
     Rows without a company address don't take part in the second join, so they can't pile up in one task.
     """
     with_detail = found.join(_one_each(details, "job_url", DETAIL_COLUMNS), "job_url", "left")

@@ -9,10 +9,11 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.urls import url_hash
 from ..operators import queue
-from ..sources import tables as io
+from ..sources import buckets, tables as io
 from ..sources.folders import shared_dir
-from ..streaming import streams
-from .tables import HASH_SQL, VERSION_SQL, WIDE_SQL, TOPIC_SQL, _records, _wide, table, topic_events
+from ..streaming import streams, topics
+from ..streaming.current import VersionTable
+from .tables import HASH_SQL, NEW_SQL, VERSION_SQL, WIDE_SQL, TOPIC_SQL, _records, _wide, table, topic_events
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -87,17 +88,19 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.files(spark, path, EVENTS, 1)
 
 
-def _in_order(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame], DataStreamWriter]) -> None:
-    """Run a stream of the events in three batches, one for each stretch of time: it goes on from its checkpoint each
-    time that the next stretch has landed."""
+def _run(spark: SparkSession, sf_dir: str, shuffled: bool, start: Callable[[DataFrame], DataStreamWriter], between: Callable[[int], None] = lambda k: None) -> str:
+    """Run a stream of the events in three batches, one for each stretch of time, or dealt out whatever their time: it goes on
+    from its checkpoint each time that the next batch has landed. The folder of the events."""
     path, events = shared_dir(spark, "event-files"), table(spark, sf_dir, "events")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     if low is None:
-        return
-    cuts = [low + (high - low) * k / 3 for k in (1, 2)]
-    for part in (F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]):
-        events.where(part).write.mode("append").parquet(path)
+        return path
+    cut = F.expr("pmod(hash(event_id), 3)") if shuffled else F.when(F.col("ts") < low + (high - low) / 3, 0).when(F.col("ts") < low + (high - low) * 2 / 3, 1).otherwise(2)
+    for k in range(3):
+        events.where(cut == k).write.mode("append").parquet(path)
         streams.run_available(start(streams.files(spark, path, EVENTS)))
+        between(k)
+    return path
 
 
 def stream_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,39 +113,110 @@ def stream_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("event_id", "user_id", "event_type", "value", F.col("date").cast("string").alias("date"))
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (user, kind) of the stream; the watermark is as wide as the table."""
-    path, mark = shared_dir(spark, "distinct"), shared_dir(spark, "mark")
-    e = _event_stream(spark, sf_dir).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    out = streams.distinct(e, ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")
-    streams.run_available(out.writeStream.format("parquet").option("path", path).option("checkpointLocation", mark).outputMode("append"))
-    return spark.read.parquet(path)
+    """Distinct (user, kind) of the stream: within days by state that leaves after two hours, over all days by a table in
+    buckets that holds the keys seen before."""
+    path, mark, schema = shared_dir(spark, "distinct"), shared_dir(spark, "mark"), "seen string, user_id long, event_type string"
+
+    def start(events: DataFrame) -> DataStreamWriter:
+        own = _timed(events).withColumn("seen", F.concat_ws("/", "user_id", "event_type"))
+        return streams.distinct_in_windows(own, ["seen"], "ts", "1 day", "2 hours").writeStream.foreachBatch(streams.unseen_to(path, schema, "seen", 8)).option("checkpointLocation", mark)
+
+    _run(spark, sf_dir, False, start)
+    return buckets.read(spark, path, schema, "seen", 8).drop("seen")
+
+
+def stream_dedup_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by day from batches in no order, with a watermark of two days: the first event of a window, and the late events
+    from their own table, which together miss none."""
+    kept, late, mark = (shared_dir(spark, n) for n in ("kept", "late", "mark"))
+    topics.rocksdb(spark)
+
+    def start(events: DataFrame) -> DataStreamWriter:
+        first = topics.first_of_window(_timed(events).select("user_id", "ts"), ["user_id"], "ts", 86_400_000, "2 days")
+        return first.writeStream.foreachBatch(topics.kept_and_late(kept, late)).option("checkpointLocation", mark)
+
+    _run(spark, sf_dir, True, start)
+    day = lambda path: spark.read.schema("user_id long, ts timestamp").parquet(path).select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return day(kept).unionByName(day(late)).distinct()
 
 
 def stream_topic_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, mark = shared_dir(spark, "topics"), shared_dir(spark, "mark")
+    """Topic states from batches in no order; `late` covers the table."""
+    root, mark = shared_dir(spark, "topics"), shared_dir(spark, "mark")
+    topics.rocksdb(spark)
+    store = VersionTable(root, topics.TOPIC_STATE, "topic_id", ("seen_at", "n_events"), 8)
+    low, high = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    span = f"{1 if low is None else (high - low).days + 1} days"
 
     def start(events: DataFrame) -> DataStreamWriter:
-        states = streams.topic_states(topic_events(events.withColumn("ts", F.col("ts").cast("timestamp"))))
-        return states.writeStream.foreachBatch(streams.latest_to(path, "topic_id", "version")).option("checkpointLocation", mark).outputMode("update")
+        states = topics.topic_states(topic_events(_timed(events)), span)
+        return states.writeStream.foreachBatch(store.add).option("checkpointLocation", mark).outputMode("update")
+
+    _run(spark, sf_dir, True, start)
+    return store.current(spark).select("topic_id", "status", F.col("acquired_at").cast("timestamp_ntz").alias("acquired_at"))
+
+
+RECORDS = "url_hash string, seen_at timestamp_ntz, event_id long, event_type string, value double"
 
-    _in_order(spark, sf_dir, start)
-    return streams.read_latest(spark, path).select("topic_id", "status", F.col("acquired_at").cast("timestamp_ntz").alias("acquired_at"))
+
+def _versions(spark: SparkSession, sf_dir: str) -> VersionTable:
+    """Events as records of jobs: folded into the base after the second batch; then the stream loses its checkpoint and reads
+    everything again."""
+    store = VersionTable(shared_dir(spark, "versions"), RECORDS, "url_hash", ("seen_at", "event_id"), 8)
+    first, again = shared_dir(spark, "mark"), shared_dir(spark, "mark")
+    to = lambda mark: lambda e: _records(e).writeStream.foreachBatch(store.add).option("checkpointLocation", mark)
+    path = _run(spark, sf_dir, True, to(first), lambda k: store.compact(spark) if k == 1 else None)
+    streams.run_available(to(again)(streams.files(spark, path, EVENTS)))
+    return store
 
 
 def stream_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, mark = shared_dir(spark, "current"), shared_dir(spark, "mark")
-    fold = streams.upsert_current(root, "url_hash", "seen_at", "event_id")
-    _in_order(spark, sf_dir, lambda e: _records(e).writeStream.foreachBatch(fold).option("checkpointLocation", mark))
-    return streams.read_current(spark, root)
+    return _versions(spark, sf_dir).current(spark)
+
+
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _versions(spark, sf_dir).history(spark)
+
+
+# The queue in buckets.
+
+
+def queue_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three crawls enqueue their links in a queue that lies in buckets by hash; only new links move."""
+    path = shared_dir(spark, "queue")
+    p = table(spark, sf_dir, "pages").select("page_id", "url", url_hash("url").alias("hash_value"))
+    for k in range(3):
+        io.enqueue_in_buckets(p.where(f"page_id % 3 >= {2 - k}"), path, f"2024-01-0{k + 1} 00:00:00", f"crawl {k}", "page_id")
+    return io.read_queue_buckets(spark, path).select("url", "hash_value", "status", "source", "created_at")
+
+
+IN_BUCKETS_SQL = f"""WITH p AS (SELECT page_id, url, {HASH_SQL} AS h, 2 - page_id % 3 AS k FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY k, page_id) AS n FROM p WHERE h IS NOT NULL)
+SELECT url, h AS hash_value, 'pending' AS status, 'crawl ' || k AS source, TIMESTAMP '2024-01-01' + to_days(CAST(k AS INTEGER)) AS created_at FROM r WHERE n = 1"""
+
+
+def new_vs_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of jobs that are in neither the current nor the superseded records, both kept in buckets by hash."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", url_hash("url").alias("url_hash"))
+    now, past = shared_dir(spark, "now"), shared_dir(spark, "past")
+    for path, k in ((now, 0), (past, 1)):
+        buckets.append(p.where(f"page_id % 3 = {k}"), path, "url_hash string, page_id long", "url_hash")
+    known = [buckets.read(spark, path, "url_hash string, page_id long", "url_hash") for path in (now, past)]
+    return queue.unknown(p.where("page_id % 3 = 2"), *known, key="url_hash")
 
 
 QUERIES = {
     "keyword_import": keyword_import, "landed_pages": landed_pages, "links_json_io": links_json_io, "wide_csv_io": wide_csv_io, "queue_io": queue_io, "topic_claim": topic_claim,
     "stream_to_parquet": stream_to_parquet, "stream_dedup": stream_dedup, "stream_topic_state": stream_topic_state, "stream_current": stream_current,
+    "stream_dedup_late": stream_dedup_late, "stream_history": stream_history, "queue_in_buckets": queue_in_buckets, "new_vs_versions": new_vs_versions,
 }
 ORACLE = {
     "keyword_import": "SELECT p_name || ' ' || p_partkey AS keyword FROM part", "landed_pages": "SELECT page_id, url, sha256(html) AS html_sha256 FROM pages", "links_json_io": LINKS_SQL, "wide_csv_io": f"SELECT * REPLACE (nullif(company_url_from_job, '') AS company_url_from_job) FROM ({WIDE_SQL})",
     "queue_io": QUEUE_SQL, "topic_claim": CLAIM_SQL, "stream_to_parquet": "SELECT event_id, user_id, event_type, value, strftime(ts, '%Y-%m-%d') AS date FROM events",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events", "stream_topic_state": TOPIC_SQL, "stream_current": VERSION_SQL.format("= 1"),
+    "stream_dedup_late": "SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events", "stream_history": VERSION_SQL.format("> 1"), "queue_in_buckets": IN_BUCKETS_SQL, "new_vs_versions": NEW_SQL,
 }

@@ -153,6 +153,7 @@ def job_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as cards, orders as job pages (some fetched twice, or failed the last time), suppliers as companies."""
     s = lambda e: F.expr(f"cast({e} as string)")
     li = table(spark, sf_dir, "lineitem")
     found = li.select(
@@ -160,19 +161,27 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_partkey") % 7 > 0, s(f"concat('{BASE}/cong-ty/', l_suppkey)")).alias("company_url"), s("l_returnflag").alias("salary_list"), s("l_linestatus").alias("address_list"), s("l_partkey").alias("exp_list"))
     own = {"detail_title": "concat('Order ', o_orderkey)", "detail_salary": "o_orderpriority", "detail_location": "o_orderstatus", "desc_mota": "concat('task ', o_custkey)",
            "company_url_from_job": f"case o_custkey % 3 when 0 then concat('{BASE}/cong-ty/', o_custkey % 100) when 1 then '' end"}
-    details = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(s(f"concat('{BASE}/viec-lam/', o_orderkey, '.html')").alias("job_url"), *[(s(own[c]) if c in own else F.lit(None).cast("string")).alias(c) for c in extract.DETAIL_COLUMNS])
+    o = table(spark, sf_dir, "orders").withColumn("fetch", F.explode(F.array(*map(F.lit, ("good", "failed", "old")))))
+    o = o.where("(fetch = 'good' and o_orderkey % 5 <> 0) or (fetch = 'failed' and o_orderkey % 4 = 0) or (fetch = 'old' and o_orderkey % 3 = 0)")
+    own["detail_title"] = "concat(if(fetch = 'old', 'Old order ', 'Order '), o_orderkey)"
+    fields = [(F.when(F.col("fetch") != "failed", s(own[c])) if c in own else F.lit(None).cast("string")).alias(c) for c in extract.DETAIL_COLUMNS]
+    fetched = F.when(F.col("fetch") == "old", F.col("o_orderdate")).otherwise(F.expr("timestampadd(DAY, if(fetch = 'failed', 2, 1), o_orderdate)"))
+    details = o.select(s(f"concat('{BASE}/viec-lam/', o_orderkey, '.html')").alias("job_url"), *fields, fetched.alias("fetched_at"))
     named = {"company_name_full": "s_name", "company_size": "s_nationkey"}
     firms = table(spark, sf_dir, "supplier").where("s_suppkey % 9 <> 0").select(s(f"concat('{BASE}/cong-ty/', s_suppkey)").alias("company_url_eff"), *[(s(named[c]) if c in named else F.lit(None).cast("string")).alias(c) for c in extract.COMPANY_COLUMNS])
     return wide.job_wide(found, details, firms)
 
 
 _GIVEN = {"title": "'line ' || l_linenumber", "job_url": f"'{BASE}/viec-lam/' || l_orderkey || '.html'", "company": "'Supplier ' || l_suppkey", "company_url": "cu", "salary_list": "l_returnflag", "address_list": "l_linestatus", "exp_list": "CAST(l_partkey AS VARCHAR)",
-          "detail_title": "'Order ' || o_orderkey", "detail_salary": "o_orderpriority", "detail_location": "o_orderstatus", "desc_mota": "'task ' || o_custkey", "company_url_from_job": "cj", "company_name_full": "s_name", "company_size": "CAST(s_nationkey AS VARCHAR)"}
-WIDE_SQL = f"""WITH d AS (SELECT *, CASE o_custkey % 3 WHEN 0 THEN '{BASE}/cong-ty/' || (o_custkey % 100) WHEN 1 THEN '' END AS cj FROM orders WHERE o_orderkey % 5 <> 0),
+          "detail_title": "dt", "detail_salary": "o_orderpriority", "detail_location": "o_orderstatus", "desc_mota": "'task ' || o_custkey", "company_url_from_job": "cj", "company_name_full": "s_name", "company_size": "CAST(s_nationkey AS VARCHAR)"}
+WIDE_SQL = f"""WITH g AS (SELECT *, CASE o_custkey % 3 WHEN 0 THEN '{BASE}/cong-ty/' || (o_custkey % 100) WHEN 1 THEN '' END AS cj, 'Order ' || o_orderkey AS dt FROM orders),
+f AS (SELECT o_orderkey AS k, dt, o_orderpriority, o_orderstatus, o_custkey, cj, 0 AS failed, 1 AS age FROM g WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL, 1, 0 FROM g WHERE o_orderkey % 4 = 0
+  UNION ALL SELECT o_orderkey, 'Old order ' || o_orderkey, o_orderpriority, o_orderstatus, o_custkey, cj, 0, 2 FROM g WHERE o_orderkey % 3 = 0),
+d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY k ORDER BY failed, age) = 1),
 l AS (SELECT *, CASE WHEN l_partkey % 7 > 0 THEN '{BASE}/cong-ty/' || l_suppkey END AS cu FROM lineitem),
 c AS (SELECT *, '{BASE}/cong-ty/' || s_suppkey AS url FROM supplier WHERE s_suppkey % 9 <> 0)
 SELECT {', '.join(f"{_GIVEN.get(c, 'CAST(NULL AS VARCHAR)')} AS {c}" for c in wide.WIDE_COLUMNS)}
-FROM l LEFT JOIN d ON l_orderkey = o_orderkey LEFT JOIN c ON c.url = coalesce(nullif(cj, ''), nullif(cu, ''))"""
+FROM l LEFT JOIN d ON l_orderkey = k LEFT JOIN c ON c.url = coalesce(nullif(cj, ''), nullif(cu, ''))"""
 
 
 def jobs_projection(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as t
 from ..operators.extract import LINK_COLUMNS
-from ..operators.queue import QUEUE_COLUMNS
+from ..operators.queue import QUEUE_COLUMNS, enqueue
 from ..operators.wide import WIDE_COLUMNS, relational
+from . import buckets
 
 LINK_SCHEMA = ", ".join(f"{c} string" for c in [*LINK_COLUMNS, "url_hash"])
 PAGE_SCHEMA = "page_id long, url string, html string"
@@ -69,6 +70,17 @@ def write_queue(rows: DataFrame, path: str) -> None:
     append(rows.select(*QUEUE_COLUMNS), path)
 
 
+def read_queue_buckets(spark: SparkSession, path: str, n: int = buckets.BUCKETS) -> DataFrame:
+    """A queue that lies in buckets by hash."""
+    return buckets.read(spark, path, QUEUE_SCHEMA, "hash_value", n)
+
+
+def enqueue_in_buckets(links: DataFrame, path: str, now: str, source: str, *order: str, n: int = buckets.BUCKETS) -> None:
+    """Add the new links to a queue in buckets. The queue is joined where it lies: only the links are shuffled."""
+    held, dealt = read_queue_buckets(links.sparkSession, path, n), links.repartition(n, "hash_value")
+    buckets.append(enqueue(held, dealt, now, source, *order), path, QUEUE_SCHEMA, "hash_value", n)
+
+
 def write_version(df: DataFrame, root: str, version: int) -> str:
     """A whole table under a new version folder; the folder that is being read is never overwritten."""
     path = f"{root.rstrip('/')}/v={version:08d}"

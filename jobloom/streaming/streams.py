@@ -1,4 +1,4 @@
-"""Streaming jobs: records to Parquet, dedup, topic states, current versions.
+"""Streaming jobs: records from topics and files, to Parquet, distinct records.
 
 Every source is a streaming DataFrame, so Kafka, files or a rate source serve alike. Progress lives in the checkpoint
 folder, which must be on storage that all executors share.
@@ -6,13 +6,10 @@ folder, which must be on storage that all executors share.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.queue import unknown
+from ..sources import buckets
 from ..sources.tables import RECORD_SCHEMA
 
 
@@ -47,88 +44,20 @@ def distinct(stream: DataFrame, keys: list[str], time: str, late: str = "1 day")
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-TOPIC_STATE = "topic_id long, status string, acquired_at timestamp, version long"
-
-
-def _topic(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """pending -> in_progress by an acquire; done or failed by a release; events of a batch in order of time and seq."""
-    status, acquired, version = state.get if state.exists else ("pending", None, 0)
-    acquired = None if acquired is None else pd.Timestamp(acquired)
-    for e in pd.concat(list(frames)).sort_values(["ts", "seq"]).itertuples():
-        if e.action == "acquire" and status == "pending":
-            status, acquired = "in_progress", e.ts
-        elif e.action == "release":
-            status = "done" if e.success else "failed"
-    state.update((status, None if acquired is None else str(acquired), version + 1))
-    yield pd.DataFrame({"topic_id": [key[0]], "status": [status], "acquired_at": pd.Series([acquired], dtype="datetime64[ns]"), "version": [version + 1]})
-
-
-def topic_states(events: DataFrame) -> DataFrame:
-    """A stream of (topic_id, ts, seq, action, success) to the changed state of each topic (update mode)."""
-    return events.groupBy("topic_id").applyInPandasWithState(_topic, TOPIC_STATE, "status string, acquired_at string, version long", "update", GroupStateTimeout.NoTimeout)
-
-
-BUCKETS = 64
-
-
-def _versions(spark: SparkSession, root: str) -> dict[int, list[tuple[str, str]]]:
-    """The folders (name of the version, path) of each bucket, oldest first: at most a few for each of the buckets."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    store, out = top.getFileSystem(spark._jsc.hadoopConfiguration()), {}
-    names = sorted(f.getPath().getName() for f in store.listStatus(top)) if store.exists(top) else []
-    for name in names:
-        version = f"{root}/{name}"
-        for f in store.listStatus(spark._jvm.org.apache.hadoop.fs.Path(version)):
-            if f.isDirectory() and f.getPath().getName().startswith("bucket="):
-                out.setdefault(int(f.getPath().getName().removeprefix("bucket=")), []).append((name, f"{version}/{f.getPath().getName()}"))
-    return out
-
-
-def upsert_current(root: str, key: str, *order: str, history: bool = True, buckets: int = BUCKETS):
-    """A batch function that folds each batch into the current table, and the rows that were superseded into history.
-
-    The table lies in buckets by key; a batch reads and writes only the buckets that it touches, in a version folder of
-    its own. A version starts from the newest one on storage, whatever the batch's number, so a lost checkpoint loses
-    nothing. A repeated batch (same query, same number) starts from what was there before it and writes the same folder
-    again. Superseded folders go, but for the one that such a repeat would need.
-    """
-
-    def fold(batch: DataFrame, number: int) -> Any:
-        spark = batch.sparkSession
-        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
-        bucket, mark = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"), f"_{query}_{number}"
-        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most `buckets` numbers
-        if not touched:
-            return
-        found = _versions(spark, f"{root}/current")
-        before = {b: [v for v in found.get(b, []) if not v[0].endswith(mark)] for b in touched}
-        own = {v[0] for vs in found.values() for v in vs if v[0].endswith(mark)}
-        newest = max((int(v[0][2:14]) for vs in found.values() for v in vs if v[0] not in own), default=-1)
-        name = min(own, default=f"v={newest + 1:012d}{mark}")
-        paths = [v[-1][1] for v in before.values() if v]
-        every = spark.read.schema(batch.schema).parquet(*paths).unionByName(batch) if paths else batch
-        w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-        ranked = every.withColumn("bucket", bucket).withColumn("newer", F.row_number().over(w) - 1)
-        ranked.where("newer = 0").drop("newer").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/current/{name}")
-        if history:
-            ranked.where("newer > 0").drop("newer", "bucket").write.mode("overwrite").parquet(f"{root}/history/batch={name[2:]}")
-        for versions in before.values():
-            for _, path in versions[:-1]:
-                old = spark._jvm.org.apache.hadoop.fs.Path(path)
-                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-
-    return fold
-
-
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version of every bucket of the current table."""
-    return spark.read.parquet(*[versions[-1][1] for versions in _versions(spark, f"{root}/current").values()])
+def distinct_in_windows(stream: DataFrame, keys: list[str], time: str, window: str, late: str) -> DataFrame:
+    """A record of each key in each window of event time. A window's keys are let go once the watermark (`late` behind the
+    newest record) has passed its end; records later than that are dropped (topics.first_of_window keeps them apart)."""
+    windowed = stream.withWatermark(time, late).withColumn("__window", F.window(time, window))
+    plain = windowed.withColumn(time, F.timestamp_micros(F.unix_micros(time)))  # only the window may carry the watermark
+    return plain.dropDuplicates([*keys, "__window"]).drop("__window")
 
 
-def latest_to(path: str, key: str, version: str):
-    """A batch function that keeps the newest of the changed states of each key; read_latest() reads them."""
-    return upsert_current(path, key, version, history=False)
+def unseen_to(path: str, schema: str, key: str, n: int = buckets.BUCKETS):
+    """A batch function that adds rows whose key the table in buckets at `path` doesn't hold, one for each key. Only the batch
+    is moved; a batch that comes again adds nothing."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        held = buckets.read(batch.sparkSession, path, schema, key, n)
+        buckets.append(unknown(batch.repartition(n, key).dropDuplicates([key]), held, key=key), path, schema, key, n)
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    return read_current(spark, path)
+    return write

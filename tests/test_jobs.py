@@ -112,6 +112,22 @@ def test_repeated_details_keep_one_row_a_card(spark):
     assert rows(wide.job_wide(cards, details, firms), "job_url", "detail_title", "company_size") == [("j1", "d1", "f3")]
 
 
+def test_a_failed_page_never_blanks_a_good_one(spark):
+    from jobloom.operators.extract import COMPANY_COLUMNS, DETAIL_COLUMNS, LINK_COLUMNS
+
+    s = lambda cols: ", ".join(f"{c} string" for c in cols)
+    cards = spark.createDataFrame([("t", "j1", None, "c1", None, None, None)], s(LINK_COLUMNS))
+    d = lambda title, day: ("j1", title, *[None] * 10, None, day and dt.datetime(2024, 1, day))
+    f = lambda size: ("c1", None, None, size, None, None, None)
+    for order in (1, -1):
+        for rows_, want in (([d("good", 1), d(None, 2)], "good"), ([d("new", 3), d("better", 2), d(None, 9)], "new"), ([d("dated", 1), d("a", None)], "dated"), ([d("b", 1), d("a", 1)], "a")):
+            details = spark.createDataFrame(rows_[::order], s(["job_url", *DETAIL_COLUMNS]) + ", fetched_at timestamp_ntz")
+            firms = spark.createDataFrame([f("50"), f(None)][::order], s(["company_url_eff", *COMPANY_COLUMNS]))
+            assert rows(wide.job_wide(cards, details, firms), "detail_title", "company_size") == [(want, "50")]
+            undated = wide.job_wide(cards, details.drop("fetched_at"), firms).first()
+            assert undated.detail_title is not None
+
+
 def test_relational_append(spark):
     """Derby, which comes with Spark, stands for the relational store."""
     from jobloom.operators.wide import WIDE_COLUMNS
