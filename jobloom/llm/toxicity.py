@@ -3,12 +3,13 @@
 Features of a text (each counts once): words, pairs of neighbours, pairs with one word between, and the first four
 characters of a word (for spellings never seen in training), all as 64-bit hashes. Training runs in one task over a
 bounded sample of labelled rows: at most `max_rows`, and at most `max_bytes` of text, chosen by a hash of the id; one row
-for each id, that with the least hash of its text. A feature takes part if MIN_DOCS training texts have it, so that
+for each id, that with the least hash of its text. A text that is longer than a LARGEST-th of max_bytes, or than what is left
+of them when its turn comes, isn't learned from, and those behind it are. A feature takes part if MIN_DOCS training texts have it, so that
 single texts can't be learned by heart; L1 leaves few weights (the bias is free of it), and only those are sent: at most
 one for each feature of the sample.
 
 Edge cases: null and empty texts score as the bias alone; a null id counts as the id ""; labels that are null are left
-out, several labels of one id count as their maximum; without labels every score is 0 (not toxic). Texts that are
+out, several labels of one id count as their maximum; very long texts are scored whole, in a slice of their own; without labels every score is 0 (not toxic). Texts that are
 repeated score alike. Other columns of the input stay out of the features and keep their values, whatever their names.
 """
 
@@ -19,11 +20,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .words import K1, SPACED, Words, crc_mod, inside, mix, stored, text_slices
 
-MAX_ROWS, MAX_BYTES, MIN_DOCS = 12_000, 64 << 20, 3
+MAX_ROWS, MAX_BYTES, LARGEST, MIN_DOCS = 12_000, 64 << 20, 16, 3
 TRIM = b".,;:!?\"'()[]{}<>|*#$&%-_/"
 EPOCHS, BLOCK, POSITIVE = 6, 32, 4.0
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.5
@@ -130,14 +131,20 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, weights) of the non-zero weights, learned from labelled rows of `docs`, one for each id: at most max_rows
-    of them, and as many as fit into max_bytes."""
+    of them, and as many as fit into max_bytes (those that don't fit are passed over)."""
     chosen = labels.where("toxic is not null and doc_id is not null").where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # At most max_rows (id, label) pairs: a bounded side.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
     rows = stored(rows.select("doc_id", F.col("least.text").alias("text"), "__y", F.lit(0).alias("__one")), "taught")
-    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over max_rows lengths at most
-    fitting = rows.select("doc_id", upto.alias("upto")).where(F.col("upto") <= max_bytes).select("doc_id")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    lengths = rows.select("doc_id", size).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # max_rows pairs of numbers at most
+    taken, room = [], max_bytes
+    for doc, n in lengths:
+        if n <= min(room, max_bytes // LARGEST):
+            taken.append((doc,))
+            room -= n
+    fitting = docs.sparkSession.createDataFrame(taken, "doc_id long").select(F.col("doc_id").cast(rows.schema["doc_id"].dataType).alias("doc_id"))
     rows = rows.join(F.broadcast(fitting), "doc_id")
 
     def one(group: pa.Table) -> pa.Table:

@@ -4,6 +4,8 @@ import numpy as np
 import pyarrow as pa
 from data import frame
 
+from pyspark.sql import functions as F
+
 from jobloom.llm.toxicity import ALPHA, BETA, L1, L2, POSITIVE, Ftrl, Scorer, features, fit, once, op10, scored, toxicity, train
 
 
@@ -70,6 +72,20 @@ def test_sample_is_bounded_in_bytes(spark):
     assert len(fit(docs, lab)[0]) > 1 and len(fit(docs, lab, max_bytes=8)[0]) == 0
 
 
+def test_a_long_text_is_passed_over_and_the_others_are_learned(spark):
+    taught = [k for k in range(600) if zlib.crc32(str(k).encode()) % 5][:120]
+    rows = [(k, f"{'vile' if k % 2 else 'kind'} text number {k % 9}") for k in taught]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, [(k, k % 2, 0) for k in taught])
+    first = docs.orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id  # whose turn comes first
+    without = docs.where(F.col("doc_id") != first)
+    for size in (100_001, 20_000):  # more than all room, more than one text may take
+        long = without.unionAll(spark.createDataFrame([(first, "vile " * (size // 5))], "doc_id long, text string"))
+        want, got = fit(without, lab, max_bytes=100_000), fit(long, lab, max_bytes=100_000)
+        assert len(want[0]) > 1 and all(np.array_equal(a, b) for a, b in zip(want, got))
+    assert len({round(r.score, 6) for r in toxicity(long, lab, ["doc_id"]).where(F.col("doc_id") != first).collect()}) > 1
+    assert [r.score > 0.5 for r in scored(long, lab).where(F.col("doc.doc_id") == first).collect()] == [True]
+
+
 def test_ftrl_against_the_plain_rule():
     """One coordinate and one block at a time, in plain numbers."""
     rng, size = np.random.default_rng(4), 12
