@@ -4,15 +4,17 @@ A block is a run of consecutive lines with MIN_BLOCK characters or more. Documen
 by patience diff over their line hashes, and the common blocks are deleted from the later document (larger doc_id; equal
 ids: by the hash of the text). So a line goes if it lies in a block that some earlier document holds as well.
 
-Pairing is complete: `windows` gives the least blocks from each line on and up to each line, and every common block is
-covered by such windows that lie inside it. Each window links a document with the nearest earlier document that has it,
-so a window adds at most one pair for each document, however frequent it is; a window that patience diff leaves (moved
-text, repeated lines) is aligned from where it stands outward. The nearest earlier document is looked for first among the
-documents of a block of ids (about BLOCK_DOCS of them), then, for the first of a block, over the ends of the blocks
-before; so no task holds all documents of a frequent line. Pairs carry hashes, not texts.
+Pairing is complete: `windows` gives the least blocks from each line on and up to each line (mostly single lines), and every
+common block is covered by such windows that lie inside it. Each window links a document with the nearest earlier document
+that has it, so a window adds at most one pair for each document, however frequent it is. A document is aligned with the
+partners that it shares rare windows with first, and only what these leave with those of frequent ones. The nearest earlier
+document is looked for first among the documents of a block of ids (about BLOCK_DOCS of them), then, for the first of a block,
+over the ends of the blocks before; so no task holds all documents of a frequent line. How rare a window is, is counted within
+a block of ids. Pairs carry hashes, not texts. Only what patience diff aligns is deleted.
 
 Edge cases: null texts have no lines and stay null; empty texts stay; rows equal in doc_id and text are one document and
-are treated alike; a null doc_id comes before all others; an empty table gives no rows. All other columns pass through,
+are treated alike; a null doc_id comes before all others; a very long text is one row of line hashes, 12 bytes a line; an empty
+table gives no rows. All other columns pass through,
 whatever their names.
 """
 
@@ -100,36 +102,50 @@ def windows(lines: np.ndarray, sizes: np.ndarray, splits: np.ndarray) -> tuple[n
     return a, z, span_hashes(mix(lines.view(np.uint64)), a, z)
 
 
-def common_lines(a: np.ndarray, a_windows: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
-    """Which lines of a lie in a block that b has: patience diff, then the windows that it left."""
-    gone, total = np.zeros(len(a), bool), np.concatenate([[0], np.cumsum(sizes)])
-    for i, _, n in align(a.tolist(), b.tolist()):
-        if total[i + n] - total[i] >= MIN_BLOCK:
-            gone[i : i + n] = True
-    if gone.all():
-        return gone
+def common_lines(a: np.ndarray, a_windows: tuple[np.ndarray, np.ndarray, np.ndarray], b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """Which lines of a lie in a block that b has: its least blocks are aligned with those of b, what was aligned goes, and what
+    is left is aligned again, until no block is left that both have. b is read forward and backward in turn: of n blocks in
+    any order one of both ways aligns the root of n at least, so few passes are needed. Repeats of an aligned block go with it."""
     first, stop, h = a_windows
-    covered = np.concatenate([[0], np.cumsum(gone)])
-    left = np.flatnonzero(covered[stop] - covered[first] < stop - first)
-    if not len(left):
-        return gone
+    gone, held = np.zeros(len(a), bool), {}
     b_first, _, b_h = windows(b, b_sizes, np.array([0, len(b)]))
-    order = np.argsort(b_h, kind="stable")
-    at = np.minimum(np.searchsorted(b_h[order], h[left]), len(b_h) - 1) if len(b_h) else np.zeros(0, np.int64)
-    for k, j in zip(left[: len(at)], order[at] if len(b_h) else at):
-        i, z, j0 = int(first[k]), int(stop[k]), int(b_first[j])
-        if h[k] == b_h[j] and np.array_equal(a[i:z], b[j0 : j0 + z - i]):
-            gone[i:z] = True
+    for x, at in zip(b_h.tolist(), b_first.tolist()):
+        held.setdefault(x, at)
+    left = np.flatnonzero(np.isin(h, b_h))
+    ahead = True
+    while len(left):
+        mine = list(dict.fromkeys(h[left].tolist()))
+        own = set(mine)
+        theirs = [x for x in held if x in own]
+        found = align(mine, theirs if ahead else theirs[::-1])
+        if not found and not ahead:
+            break
+        aligned = np.array([x for i, _, n in found for x in mine[i : i + n]], h.dtype)
+        for k in left[np.isin(h[left], aligned)].tolist():
+            i, z, j = int(first[k]), int(stop[k]), held[int(h[k])]
+            if np.array_equal(a[i:z], b[j : j + z - i]):
+                gone[i:z] = True
+        left = left[~np.isin(h[left], aligned)]
+        if len(left):
+            left = left[~covered((first[left], stop[left], h[left]), gone)]
+        ahead = not ahead
     return gone
 
 
+def covered(own: tuple[np.ndarray, np.ndarray, np.ndarray], gone: np.ndarray) -> np.ndarray:
+    """Which windows have no line that is left."""
+    before = np.concatenate([[0], np.cumsum(gone)])
+    return before[own[1]] - before[own[0]] == own[1] - own[0]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Key (id, h) and text of every document, and the whole row as `doc`: names of other columns can't clash."""
     return docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("h"))
 
 
 def linked(own: DataFrame) -> DataFrame:
-    """Distinct (id, h, e_id, e_h): each document with the nearest earlier one for every window that both have."""
+    """(id, h, e_id, e_h, rarity), once each: each document with the nearest earlier one for every window that both have;
+    rarity: how many documents of a block of ids have the rarest of these windows."""
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,15 +163,17 @@ def linked(own: DataFrame) -> DataFrame:
             take = pa.array(row[new])
             yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column("id").take(take), batch.column("h").take(take)], names=["window", "id", "h"])
 
-    n, low, high = own.where(F.col("id") != NULL_ID).agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
-    bits = max(0, ((high - low) * BLOCK_DOCS // n).bit_length() - 1) if n else 0  # ids of about BLOCK_DOCS documents
+    n, inner = own.where(F.col("id") != NULL_ID).agg(F.count(F.lit(1)), F.percentile_approx("id", [0.05, 0.95], 1000)).first()
+    low, high = inner or (0, 0)  # outlying ids don't count
+    bits = max(0, ((high - low) * BLOCK_DOCS // (n * 9 // 10 + 1)).bit_length() - 1) if n else 0  # ids of about BLOCK_DOCS documents
     each = own.select("id", "h", "hashes", "sizes").mapInArrow(explode, "window long, id long, h long").withColumn("block", F.shiftright("id", bits))
     key, in_block, in_all = F.struct("id", "h"), Window.partitionBy("window", "block").orderBy("id", "h"), Window.partitionBy("window").orderBy("id", "h")
-    near = each.select("window", "id", "h", F.lag(key).over(in_block).alias("early"), F.lead(key).over(in_block).alias("late"))
+    rarity = F.count(F.lit(1)).over(in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("rarity")
+    near = each.select("window", "id", "h", F.lag(key).over(in_block).alias("early"), F.lead(key).over(in_block).alias("late"), rarity)
     # What stands before the first of a block, among the ends of all blocks, is the last of the nearest earlier block.
     ends = near.where("early is null or late is null").withColumn("before", F.lag(key).over(in_all)).where("early is null and before is not null")
-    found = near.where("early is not null").select("id", "h", "early").unionAll(ends.select("id", "h", F.col("before").alias("early")))
-    return found.select("id", "h", F.col("early.id").alias("e_id"), F.col("early.h").alias("e_h")).distinct()
+    found = near.where("early is not null").select("id", "h", "early", "rarity").unionAll(ends.select("id", "h", F.col("before").alias("early"), "rarity"))
+    return found.groupBy("id", "h", F.col("early.id").alias("e_id"), F.col("early.h").alias("e_h")).agg(F.min("rarity").alias("rarity"))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
@@ -164,11 +182,11 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     listed = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("h"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(lines, lambda x: F.length(x)).alias("sizes"))
     own = stored(listed.dropDuplicates(["id", "h"]), "lines")
     early = own.select(F.col("id").alias("e_id"), F.col("h").alias("e_h"), "hashes", "sizes")
-    pairs = linked(own).join(early, ["e_id", "e_h"]).select("id", "h", F.lit(1).alias("kind"), "hashes", "sizes")
-    # The rows of a document come together, its own lines first and then those of each earlier document. The number of
+    pairs = linked(own).join(early, ["e_id", "e_h"]).select("id", "h", F.col("rarity").alias("kind"), "hashes", "sizes")
+    # The rows of a document come together, its own lines first and then those of each earlier document, rare links first. The number of
     # partitions is given: the work is in Python, so few bytes aren't little work.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = own.select("id", "h", F.lit(0).alias("kind"), "hashes", "sizes").unionByName(pairs).repartition(parts, "id", "h").sortWithinPartitions("id", "h", "kind")
+    rows = own.select("id", "h", F.lit(0).cast("long").alias("kind"), "hashes", "sizes").unionByName(pairs).repartition(parts, "id", "h").sortWithinPartitions("id", "h", "kind")
 
     def diff(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = mine = seen = gone = None
@@ -189,7 +207,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
                 if seen is None:
                     seen, gone = windows(*mine, np.array([0, len(mine[0])])), np.zeros(len(mine[0]), bool)
                 if not gone.all():
-                    gone |= common_lines(mine[0], seen, mine[1], row("hashes"), row("sizes"))
+                    gone |= common_lines(mine[0], tuple(w[~covered(seen, gone)] for w in seen), row("hashes"), row("sizes"))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.bool_()), pa.int64()))], names=names)
                 out = []
@@ -209,9 +227,10 @@ def without_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """Documents with repeated blocks deleted; a document that loses all its lines goes. n_chars follows the text."""
+    """Documents with repeated blocks deleted; a document that loses all its lines goes. n_chars follows the text where lines went."""
     kept = without_lines(docs).where("n_removed = 0 or doc.text <> ''")
-    return kept.select(*[(F.length("doc.text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("doc").getField(c)).alias(c) for c in docs.columns])
+    n_chars = lambda: F.when(F.col("n_removed") > 0, F.length("doc.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return kept.select(*[(n_chars() if c == "n_chars" else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def test_stage_keeps_columns_and_drops_emptied(spark):
     texts = defaultdict(list)
     for r in out.collect():
         texts[r.doc_id].append(r.text)
-        assert r.n_chars == (None if r.text is None else len(r.text))
+        assert r.n_chars == (None if r.text is None or r.doc_id is None else len(r.text))  # the row without an id has no count, and loses no line
     assert 14 not in texts and 7 not in texts and texts[1] == [""] and 0 in texts  # copies of 13 and 6 are gone
     assert len(texts[3]) == 2  # equal rows are one document
     assert line_dedup(docs.limit(0)).count() == 0
@@ -99,7 +99,7 @@ def test_windows_are_least_blocks():
     assert sorted(zip(a.tolist(), z.tolist())) == [(0, 3), (1, 4), (2, 4), (3, 4), (4, 6), (5, 6), (5, 7)]
     x = np.array([1, 2, 3, 4])
     own = windows(x, np.full(4, 20), np.array([0, 4]))
-    assert common_lines(x, own, np.full(4, 20), np.array([3, 4, 1, 2]), np.full(4, 20)).all()  # moved text is met as well
+    assert common_lines(x, own, np.array([3, 4, 1, 2]), np.full(4, 20)).all()  # moved text is met as well
 
 
 def test_other_columns_keep_their_values(spark):
@@ -110,3 +110,41 @@ def test_other_columns_keep_their_values(spark):
     out = line_dedup(docs).orderBy("doc_id").collect()
     assert [(r.doc_id, r.text) for r in out] == [(0, rows[0][1]), (2, "own line 2")]
     assert [tuple(r)[2:] for r in out] == [rows[0][2:], rows[2][2:]]
+
+
+def test_only_what_is_aligned_goes(monkeypatch):
+    from jobloom.llm import line_dedup as module
+
+    x, sizes = np.arange(1, 50), np.full(49, 40)
+    own = windows(x, sizes, np.array([0, 49]))
+    assert common_lines(x, own, x[::-1].copy(), sizes).all() and common_lines(x, own, x, sizes).all()
+    monkeypatch.setattr(module, "align", lambda a, b: [])
+    assert not common_lines(x, own, x, sizes).any()
+
+
+def test_any_order_takes_few_passes(monkeypatch):
+    from jobloom.llm import line_dedup as module
+
+    rng, calls = np.random.default_rng(2), []
+    monkeypatch.setattr(module, "align", lambda a, b: calls.append(len(a)) or align(a, b))
+    x = np.arange(1, 2001)
+    for y in (x[::-1].copy(), rng.permutation(x), np.concatenate([x[1000:], x[:1000]])):
+        calls.clear()
+        assert common_lines(x, windows(x, np.full(2000, 40), np.array([0, 2000])), y, np.full(2000, 40)).all()
+        assert len(calls) <= 2 * 2000**0.5 + 2
+    repeated = np.tile(np.array([7, 8, 9]), 300)
+    calls.clear()
+    assert common_lines(repeated, windows(repeated, np.full(900, 40), np.array([0, 900])), np.array([9, 1, 8, 2, 7]), np.full(5, 40)).all() and len(calls) < 9
+
+
+def test_counts_of_untouched_texts_stay(spark):
+    line = "a line that is long enough to be a block"
+    docs = spark.createDataFrame([(1, line, 7), (2, f"{line}\nmore", 99), (3, "own", 1), (4, None, 5)], "doc_id long, text string, n_chars int")
+    assert sorted(map(tuple, line_dedup(docs).collect())) == [(1, line, 7), (2, "more", 4), (3, "own", 1), (4, None, 5)]
+
+
+def test_an_outlying_id_puts_not_all_in_one_block(spark):
+    text = lambda k: f"a passage that all of these texts have\nand line {k} of its own text"
+    rows = [(k, text(k)) for k in range(3000)] + [(1 << 60, text(-1))]
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[(0, text(0))] == text(0) and all(got[(i, t)] == t.split("\n")[1] for i, t in rows[1:])
