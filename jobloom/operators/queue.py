@@ -39,15 +39,29 @@ def attempts(log: DataFrame, key: str = "url", *order: str) -> DataFrame:
     return log.withColumn("attempt", F.row_number().over(Window.partitionBy(key).orderBy(*(order or ("ts",)))))
 
 
-def retries(log: DataFrame, key: str = "url", *order: str, step: int = 6, most: int = 5) -> DataFrame:
+def attempt_counts(log: DataFrame, key: str = "url", *order: str) -> DataFrame:
+    """What a stretch of the fetch log says about each URL: how many tries, and the last of them (ts, error, retry_after).
+    Reduced before the shuffle, so a URL with very many tries is no burden."""
+    at = F.struct(*(order or ("ts",)))
+    return log.groupBy(key).agg(F.count(F.lit(1)).alias("attempts"), F.max(F.struct(at.alias("at"), "ts", "error", "retry_after")).alias("last"))
+
+
+def merged_counts(*counts: DataFrame, key: str = "url") -> DataFrame:
+    """The counts of several stretches of the log as one, in whatever order they come: a state that grows with the URLs, not
+    with the log. A stretch must not be merged twice."""
+    every = counts[0]
+    for more in counts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(key).agg(F.sum("attempts").alias("attempts"), F.max("last").alias("last"))
+
+
+def scheduled(counts: DataFrame, key: str = "url", step: int = 6, most: int = 5) -> DataFrame:
     """The state of each URL after its last failed try: attempts, last_error, next_try_at, status.
 
-    log: failed tries with ts, error and retry_after. The wait is retry_after if it is a whole number, else `step`
-    seconds for each try so far. Up to `most` tries the link is failed and due at its next try; after them it is given up
-    (status given_up, no next try) and never due again.
+    The wait is retry_after if it is a whole number, else `step` seconds for each try so far. Up to `most` tries the link is
+    failed and due at its next try; after them it is given up (status given_up, no next try) and never due again.
     """
-    numbered = attempts(log, key, *order)
-    last = numbered.groupBy(key).agg(F.max_by(F.struct("ts", "error", "retry_after", "attempt"), "attempt").alias("l")).select(key, "l.*")
+    last = counts.select(key, F.col("attempts").cast("int").alias("attempt"), "last.ts", "last.error", "last.retry_after")
     wait = F.when(F.trim("retry_after").rlike(r"^\d{1,9}$"), F.trim("retry_after").try_cast("int")).otherwise(F.lit(step) * F.col("attempt"))
     up = F.col("attempt") >= most
     return last.withColumn("wait_s", wait).select(
@@ -55,6 +69,11 @@ def retries(log: DataFrame, key: str = "url", *order: str, step: int = 6, most:
         F.when(up, F.lit("given_up")).otherwise(F.lit("failed")).alias("status"))
 
 
+def retries(log: DataFrame, key: str = "url", *order: str, step: int = 6, most: int = 5) -> DataFrame:
+    """As scheduled(), from a whole log of failed tries with ts, error and retry_after."""
+    return scheduled(attempt_counts(log, key, *order), key, step, most)
+
+
 def claim(topics: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(the claimed ids, the table with them in progress): n pending topics, smallest id first."""
     taken = topics.where("status = 'pending'").orderBy("id").limit(n).select("id")

@@ -9,11 +9,11 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.urls import url_hash
 from ..operators import queue
-from ..sources import buckets, tables as io
+from ..sources import buckets, objects, tables as io, topic_log
 from ..sources.folders import shared_dir
 from ..streaming import streams, topics
 from ..streaming.current import VersionTable
-from .tables import HASH_SQL, NEW_SQL, VERSION_SQL, WIDE_SQL, TOPIC_SQL, _records, _wide, table, topic_events
+from .tables import HASH_SQL, NEW_SQL, RETRY_SQL, TOPIC_SQL, VERSION_SQL, WIDE_SQL, _fetch_log, _records, _wide, table, topic_events
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -183,6 +183,47 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _versions(spark, sf_dir).history(spark)
 
 
+# Topics, objects, retries over stretches of the log.
+
+
+def topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON through a topic of three partitions: published in two parts, read by batches of a bounded number of
+    offsets, with a restart after each."""
+    path, out, mark = (shared_dir(spark, n) for n in ("topic", "records", "mark"))
+    events = table(spark, sf_dir, "events")
+    values = events.select("user_id", "event_id", F.to_json(F.struct("event_id", "user_id", "event_type", "value", F.date_format("ts", "yyyy-MM-dd").alias("date"))).alias("value"))
+    most = max(1, events.count() // 3)
+    for part in (0, 1):
+        topic_log.publish(values.where(F.col("event_id") % 2 == part), path, 3, "user_id")
+        while True:
+            stream = topic_log.subscribe(spark, path, most, "records")
+            parsed = streams.records(stream, "event_id long, user_id long, event_type string, value double, date string")
+            q = streams.to_parquet(parsed, out, mark, "date").trigger(availableNow=True).start()
+            q.awaitTermination()
+            if not sum(p.numInputRows for p in q.recentProgress):
+                break
+    return spark.read.schema("event_id long, user_id long, event_type string, value double, date string").parquet(out)
+
+
+def objects_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page under a key of its own, written and read back."""
+    path = shared_dir(spark, "bucket")
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("html/"), F.col("page_id") % 7, F.lit("/page "), "page_id", F.lit("+.html")).alias("key"), F.col("html").alias("text"))
+    objects.put_objects(p, path)
+    return objects.get_objects(spark, path).select("key", F.sha2("text", 256).alias("text_sha256"))
+
+
+def retry_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fetch log in three stretches, in no order of time: counts of each are kept and merged with those before."""
+    log, state = _fetch_log(spark, sf_dir), None
+    for k in (2, 0, 1):
+        counts = queue.attempt_counts(log.where(F.dayofmonth("ts") % 3 == k), "url", "ts", "event_id")
+        path = shared_dir(spark, "attempts")
+        (queue.merged_counts(state, counts) if state else counts).write.parquet(path)
+        state = spark.read.parquet(path)
+    return queue.scheduled(state).select("url", F.col("attempts").cast("long").alias("attempts"), "last_error", "next_try_at", "status")
+
+
 # The queue in buckets.
 
 
@@ -213,10 +254,13 @@ QUERIES = {
     "keyword_import": keyword_import, "landed_pages": landed_pages, "links_json_io": links_json_io, "wide_csv_io": wide_csv_io, "queue_io": queue_io, "topic_claim": topic_claim,
     "stream_to_parquet": stream_to_parquet, "stream_dedup": stream_dedup, "stream_topic_state": stream_topic_state, "stream_current": stream_current,
     "stream_dedup_late": stream_dedup_late, "stream_history": stream_history, "queue_in_buckets": queue_in_buckets, "new_vs_versions": new_vs_versions,
+    "topic_records": topic_records, "objects_by_key": objects_by_key, "retry_stretches": retry_stretches,
 }
 ORACLE = {
     "keyword_import": "SELECT p_name || ' ' || p_partkey AS keyword FROM part", "landed_pages": "SELECT page_id, url, sha256(html) AS html_sha256 FROM pages", "links_json_io": LINKS_SQL, "wide_csv_io": f"SELECT * REPLACE (nullif(company_url_from_job, '') AS company_url_from_job) FROM ({WIDE_SQL})",
     "queue_io": QUEUE_SQL, "topic_claim": CLAIM_SQL, "stream_to_parquet": "SELECT event_id, user_id, event_type, value, strftime(ts, '%Y-%m-%d') AS date FROM events",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events", "stream_topic_state": TOPIC_SQL, "stream_current": VERSION_SQL.format("= 1"),
     "stream_dedup_late": "SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events", "stream_history": VERSION_SQL.format("> 1"), "queue_in_buckets": IN_BUCKETS_SQL, "new_vs_versions": NEW_SQL,
+    "topic_records": "SELECT event_id, user_id, event_type, value, strftime(ts, '%Y-%m-%d') AS date FROM events", "retry_stretches": RETRY_SQL,
+    "objects_by_key": "SELECT 'html/' || (page_id % 7) || '/page ' || page_id || '+.html' AS key, sha256(coalesce(html, '')) AS text_sha256 FROM pages",
 }

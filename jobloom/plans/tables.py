@@ -238,6 +238,9 @@ q AS (SELECT url, attempts, 'error ' || event_id AS last_error,
   CASE WHEN attempts < 5 THEN ts + to_seconds(CASE WHEN event_id % 7 = 0 THEN event_id % 90 ELSE 6 * attempts END) END AS next_try_at, CASE WHEN attempts >= 5 THEN 'given_up' ELSE 'failed' END AS status FROM r WHERE later IS NULL)"""
 
 
+RETRY_SQL = f"WITH {_RETRY} SELECT * FROM q"
+
+
 def due_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = queue.retries(_fetch_log(spark, sf_dir), "url", "ts", "event_id")
     return queue.due(rows, NOW).select("url", F.col("attempts").cast("long").alias("attempts"), "status", "next_try_at")
@@ -304,7 +307,7 @@ ORACLE = {
     "query_urls": f"SELECT keyword, slug, page_no, '{BASE}/tim-viec-lam-' || slug || '?type_keyword=1&page=' || page_no || '&sba=1' AS url FROM (SELECT DISTINCT p_name AS keyword, {SLUG_SQL.replace('lower(text)', 'lower(p_name)')} AS slug FROM part), (SELECT unnest(generate_series(1, 3)) AS page_no)",
     "frontier": f"WITH {KEYWORDS_SQL} SELECT id, keyword, category FROM kw ORDER BY last_crawl ASC NULLS FIRST, id LIMIT 100",
     "status_update": STATUS_SQL, "stagger_schedule": STAGGER_SQL, "first_seen_links": FIRST_SEEN_SQL, "page_stop": PAGE_STOP_SQL, "max_page_stop": MAX_PAGE_SQL, "job_wide": WIDE_SQL, "jobs_projection": JOBS_SQL,
-    "enqueue_new_links": ENQUEUE_SQL, "new_vs_history": NEW_SQL, "retry_schedule": f"WITH {_RETRY} SELECT * FROM q",
+    "enqueue_new_links": ENQUEUE_SQL, "new_vs_history": NEW_SQL, "retry_schedule": RETRY_SQL,
     "due_links": f"WITH {_RETRY} SELECT url, attempts, status, next_try_at FROM q WHERE attempts < 5 AND next_try_at <= TIMESTAMP '{NOW}'",
     "topic_state": TOPIC_SQL, "current_jobs": VERSION_SQL.format("= 1"), "history_jobs": VERSION_SQL.format("> 1"),
     "section_lookup": "SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS user_text, arg_max(text, turn) FILTER (role = 'assistant') AS assistant_text, arg_max(text, turn) FILTER (role = 'tool') AS tool_text FROM conversations GROUP BY 1",

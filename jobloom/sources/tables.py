@@ -1,7 +1,10 @@
-"""Sources and sinks. Paths may be in any store that Spark reaches (a bucket is a path like s3a://bucket/prefix)."""
+"""Sources and sinks. Paths may be in any store that Spark reaches (a bucket is a path like s3a://bucket/prefix); texts under
+keys of their own are in `objects`, topics without a broker in `topic_log`, tables in buckets in `buckets`."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as t
@@ -62,6 +65,46 @@ def append_jobs(wide: DataFrame, url: str, table: str, options: dict[str, str] |
     relational(wide).write.format("jdbc").option("url", url).option("dbtable", table).options(**(options or {})).mode("append").save()
 
 
+def append_jobs_once(wide: DataFrame, url: str, table: str, batch_id: str, options: dict[str, str] | None = None) -> bool:
+    """As append_jobs, but a batch that comes again adds nothing (False then). Tasks write to a staging table of the batch; one
+    transaction notes the batch (by a hash of its id) in the ledger `<table>_batches` and moves its rows."""
+    spark, more = wide.sparkSession, options or {}
+    digest = hashlib.sha256(batch_id.encode()).digest()
+    number, staging, ledger = int.from_bytes(digest[:8], "big", signed=True), f"{table}_{digest.hex()[:12]}", f"{table}_batches"
+    save = lambda df, name, mode: df.write.format("jdbc").option("url", url).option("dbtable", name).options(**more).mode(mode).save()
+    rows = relational(wide)
+    for name, none in ((ledger, spark.createDataFrame([], "batch long, batch_id string")), (table, rows.limit(0))):
+        save(none, name, "append")  # makes the table if there is none
+    noted = spark.read.format("jdbc").option("url", url).option("dbtable", ledger).options(**more).load()
+    if not noted.where(F.col("batch") == number).isEmpty():
+        return False
+    save(rows, staging, "overwrite")
+    names = ", ".join(f'"{c}"' for c in rows.columns)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        statement.executeUpdate(f"LOCK TABLE {ledger} IN EXCLUSIVE MODE")
+        held = statement.executeQuery(f'SELECT COUNT(*) FROM {ledger} WHERE "batch" = {number}')
+        held.next()
+        fresh = held.getInt(1) == 0
+        held.close()
+        if fresh:
+            mark = connection.prepareStatement(f'INSERT INTO {ledger} ("batch", "batch_id") VALUES ({number}, ?)')
+            mark.setString(1, batch_id)
+            mark.executeUpdate()
+            statement.executeUpdate(f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging}")
+        connection.commit()
+        statement.executeUpdate(f"DROP TABLE {staging}")
+        connection.commit()
+        return fresh
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
 def read_queue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUEUE_SCHEMA).parquet(path)
 
