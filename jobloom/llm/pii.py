@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 BITS, REACH, LONG_WORD = 12, 5, 64  # words longer than the last aren't kept in the cache
 STEPS, PLACES = 512, 256 * 512
-SPELLED = (b"dot", b"(at)", b"[at]")  # texts without these, digits and @ have no trigger
+SPELLED = re.compile(rb"dot|[(\[{]at[)\]}]|\bat\s+[a-z0-9-]+\.[a-z]")  # in small letters; texts without these, digits and @ have no trigger
 
 # Fixed values of the base patterns.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -76,14 +77,21 @@ def shape(word: str) -> str:
     return re.sub(r"9{7,}", "9999999", re.sub(r"A{2,}", "AA", re.sub(r"a+", "a", re.sub(r"\d", "9", s))))
 
 
-CUES = {"at", "dot", "(at)", "[at]", "(dot)", "[dot]", "mail", "email", "phone", "tel", "call", "fax", "mobile", "card", "visa", "ip", "host", "server"}
+CUES = {
+    "at", "dot", "(at)", "[at]", "{at}", "(dot)", "[dot]", "{dot}", "mail", "email", "e-mail", "phone", "tel", "call", "fax", "mobile", "card", "visa", "ip", "host", "server", "write", "contact", "to", "from",
+    "us", "look", "is", "are", "it", "more", "online", "available", "visit", "found", "me", "see", "here", "page", "site", "website", "work", "works", "meet", "live", "read", "home", "shop", "that", "the", "a",
+}
 
 
 def word_features(word: str) -> list[str]:
     core = word.strip(".,;:!?\"'<>|")
     s, low = shape(core), core.lower().rstrip(":")
     n = sum(c.isdigit() for c in core)
-    return ["s" + s, "c" + re.sub(r"9+", "9", s), "n" + str(min(n, 20)), "w" + (low if low in CUES else ""), "@" + str("@" in core), "p" + str(len(core.split(".")) if n else 0)]
+    dotted = "d" if DOTTED.fullmatch(core) else ""
+    return ["s" + s, "c" + re.sub(r"9+", "9", s).lower(), "n" + str(min(n, 20)), "w" + (low if low in CUES else ""), "@" + str("@" in core) + dotted, "p" + str(len(core.split(".")) if n else 0)]
+
+
+DOTTED = re.compile(r"[^\W_][\w-]*(\.[^\W\d_][\w-]*)+")  # words with dots, as names of sites are
 
 
 def place(name: str) -> int:
@@ -145,7 +153,7 @@ class Field:
         gold = np.zeros((n, longest), np.int64)
         for r, t in enumerate(tags):
             gold[r, : len(t)] = t
-        true = np.eye(k)[gold] * mask[..., None]
+        true, flat = np.eye(k)[gold] * mask[..., None], places[mask].ravel()
         seen_w, seen_m = np.full_like(self.weights, 1e-3), np.full_like(self.moves, 1e-3)
         for _ in range(rounds):
             e, inner = self.emissions(places), self.moves[:k]
@@ -165,10 +173,8 @@ class Field:
                 on = mask[:, t]
                 pair = np.exp(fwd[on, t - 1, :, None] + inner + (e[on, t] + bwd[on, t])[:, None, :] - total[on, None, None])
                 g_m[:k] += np.einsum("na,nb->ab", true[on, t - 1], true[on, t]) - pair.sum(axis=0)
-            g_w = np.zeros_like(self.weights)
             diff = (true - single)[mask]
-            for f in range(places.shape[2]):
-                np.add.at(g_w, places[mask][:, f], diff)
+            g_w = np.stack([np.bincount(flat, np.repeat(diff[:, t], places.shape[2]), 1 << BITS) for t in range(k)], axis=1)
             for x, g, seen in ((self.weights, g_w - decay * n * self.weights, seen_w), (self.moves, g_m - decay * n * self.moves, seen_m)):
                 seen += g * g
                 x += rate * g / np.sqrt(seen)
@@ -196,25 +202,47 @@ class Field:
         return [t[: len(r)] for t, r in zip(tags, rows)]
 
 
-def labelled(rows: int = 360, seed: int = 5) -> list[tuple[list[str], list[str]]]:
+def labelled(rows: int = 1200, seed: int = 5) -> list[tuple[list[str], list[str]]]:
     """The labelled table: words and tags of `rows` short texts, each with one written form among invented words."""
     rng = np.random.default_rng(seed)
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     plain = lambda: "".join(rng.choice(["ta", "en", "ing", "ch", "ré", "os", "the", "und", "de", "ör"], rng.integers(1, 4)))
     name = lambda: plain().replace("é", "e").replace("ö", "o")
     byte = lambda: str(rng.integers(1, 256))
+    full = lambda: str(rng.choice([name(), f"{name()}.{name()}", f"{name()}_{num(2)}", f"{name()}{num(1)}"]))
+    site = lambda: f"{name()}.{rng.choice(['com', 'org', 'net', 'de', 'fr', 'co.uk', 'io'])}"
+    end = lambda: str(rng.choice(["com", "org", "net", "de", "fr", "edu"]))
+    lead = lambda *w: str(rng.choice(w))
+    # Written forms of each kind, and under "" what only looks like one. A | parts what belongs to the form from its surroundings.
     forms = {
-        "phone": [lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"00{num(2)} {num(2)} {num(7)}", lambda: f"0{num(2)} {num(3)} {num(4)}", lambda: f"+{num(2)} {num(3)} {num(7)}"],
-        "email": [lambda: f"{name()}.{num(2)}@{name()}.com", lambda: f"{name()} (at) {name()} (dot) com", lambda: f"{name()} at {name()} dot org", lambda: f"{name()}[at]{name()}.net", lambda: f"{name()} [at] {name()} [dot] de", lambda: f"{name()}(at){name()}.com", lambda: f"{name()}@{name()}{num(1)}.example.com"],
-        "card": [lambda: num(16), lambda: f"{num(4)} {num(4)} {num(4)} {num(4)}", lambda: f"{num(4)}-{num(4)}-{num(4)}-{num(4)}", lambda: f"{num(4)}.{num(4)}.{num(4)}.{num(4)}"],
+        "phone": [
+            lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"00{num(2)} {num(2)} {num(7)}",
+            lambda: f"0{num(2)} {num(3)} {num(4)}", lambda: f"+{num(2)} {num(3)} {num(7)}", lambda: f"1-{num(3)}-{num(3)}-{num(4)}", lambda: f"0{num(3)}/{num(7)}", lambda: f"0{num(3)} {num(8)}", lambda: f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}",
+            lambda: f"({num(3)}){num(3)}-{num(4)}", lambda: f"{lead('tel', 'Phone:', 'call', 'Tel.:', 'fax', 'mobile')} | {num(3)} {num(3)} {num(4)}",
+        ],
+        "email": [
+            lambda: f"{name()}.{num(2)}@{name()}.com", lambda: f"{full()} (at) {name()} (dot) {end()}", lambda: f"{full()} at {name()} dot {end()}", lambda: f"{full()}[at]{site()}", lambda: f"{full()} [at] {name()} [dot] {end()}",
+            lambda: f"{full()}(at){site()}", lambda: f"{full()} (at) {site()}", lambda: f"{full()} [at] {site()}", lambda: f"{full()} {{at}} {name()} {{dot}} {end()}", lambda: f"{full()} at {name()} dot {name()} dot {end()}", lambda: f"{name()} dot {name()} at {name()} dot {end()}",
+            lambda: f"{full()} @ {site()}", lambda: f"{lead('mail', 'email', 'write', 'contact', 'e-mail:', 'write to')} | {full()} at {site()}", *[lambda: f"{name()} at {site()}"] * 3, lambda: f"{lead('to', 'from', 'contact')} | {full()} at {site()}",
+        ],
+        "card": [lambda: num(16), lambda: f"{num(4)} {num(4)} {num(4)} {num(4)}", lambda: f"{num(4)}-{num(4)}-{num(4)}-{num(4)}", lambda: f"{num(4)}.{num(4)}.{num(4)}.{num(4)}", lambda: f"{num(4)} {num(6)} {num(5)}", lambda: f"{num(4)}/{num(4)}/{num(4)}/{num(4)}"],
         "ip": [lambda: f"{byte()}.{byte()}.{byte()}.{byte()}", lambda: f"{byte()}.{byte()}.{byte()}.{byte()}:{num(4)}"],
-        "": [lambda: f"password={num(3)}a{num(4)}cf{num(2)}", lambda: f'token = "{num(4)}ab{num(5)}cd{num(5)}"', lambda: f"AKIA{num(1)}QX{num(2)}KZ{num(3)}VT", lambda: f"version {num(1)}.", lambda: f"CC BY-NC {num(1)}.{num(1)}.", lambda: f"20{num(2)}-0{num(1)}-1{num(1)}", lambda: f"{num(2)}:{num(2)}:{num(2)}", lambda: f"${num(1)},{num(3)},{num(3)}", lambda: f"ISBN 978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"v{num(1)}.{num(2)}.{num(1)}", lambda: f"{num(2)} {num(3)} | {num(4)}", lambda: f"{num(4)}", lambda: f"dot {plain()}", lambda: f"{num(3)} {plain()} {num(3)}", lambda: f"{num(1)}.{num(1)}.{num(1)}", plain],
+        "": [
+            lambda: f"password={num(3)}a{num(4)}cf{num(2)}", lambda: f'token = "{num(4)}ab{num(5)}cd{num(5)}"', lambda: f"AKIA{num(1)}QX{num(2)}KZ{num(3)}VT", lambda: f"version {num(1)}.", lambda: f"CC BY-NC {num(1)}.{num(1)}.", lambda: f"20{num(2)}-0{num(1)}-1{num(1)}",
+            lambda: f"{num(2)}:{num(2)}:{num(2)}", lambda: f"${num(1)},{num(3)},{num(3)}", lambda: f"ISBN 978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"v{num(1)}.{num(2)}.{num(1)}", lambda: f"{num(2)} {num(3)} | {num(4)}", lambda: f"{num(4)}", lambda: f"dot {plain()}",
+            lambda: f"{num(3)} {plain()} {num(3)}", lambda: f"{num(1)}.{num(1)}.{num(1)}", plain, *[lambda: f"{lead('us', 'look', 'is', 'more', 'online', 'available', 'visit', 'found', 'me', 'it', 'are', 'here', 'works', 'shop')} at {site()}"] * 6,
+            lambda: f"at {num(2)}:{num(2)}", lambda: f"at {num(1)} dot", lambda: f"{plain()} dot com {plain()}", lambda: f"{lead('the', 'a', 'that', 'page', 'site')} {site()} {plain()}", lambda: f"{plain()} at {plain()}. {plain()}", lambda: f"{lead('meet', 'live', 'home', 'work')} at {plain()} {num(2)}",
+            lambda: f"{num(2)}/{num(2)}/20{num(2)}", lambda: f"{num(1)}/{num(1)}", lambda: f"{num(2)} {num(2)} {num(2)}", lambda: "the dot at the end", lambda: f"{num(3)}-{num(2)}",
+        ],
     }
+    turn = [str, str, str, str.upper, str.title]  # some in capitals
     kinds, out = [*forms, ""], []
     for k in range(rows):
         kind = kinds[k % len(kinds)]
-        inner = forms[kind][(k // len(kinds)) % len(forms[kind])]().split(" ")
-        left, right = [plain() for _ in range(rng.integers(0, 6))], [plain() for _ in range(rng.integers(0, 6))]
+        before, _, form = forms[kind][(k // len(kinds)) % len(forms[kind])]().rpartition(" | " if kind else "\0")
+        change = turn[rng.integers(0, len(turn))]
+        inner = (change(form) if kind else form).split(" ")
+        left, right = [plain() for _ in range(rng.integers(0, 6))] + before.split(), [plain() for _ in range(rng.integers(0, 6))]
         if rng.random() < 0.3:
             inner[-1] += str(rng.choice([".", ","]))
         tags = [("B-" if j == 0 else "I-") + kind if kind else "O" for j in range(len(inner))]
@@ -222,8 +250,16 @@ def labelled(rows: int = 360, seed: int = 5) -> list[tuple[list[str], list[str]]
     return out
 
 
+@lru_cache(maxsize=1)
+def standard() -> Field:
+    """The field of the labelled table; trained once in a driver."""
+    return trained(labelled())
+
+
 def trained(table: list[tuple[list[str], list[str]]] | None = None) -> Field:
-    table, field, features = table or labelled(), Field(), Features()
+    if table is None:
+        return standard()
+    field, features = Field(), Features()
     field.train([features(w) for w, _ in table], [np.array([TAGS.index(t) for t in tags]) for _, tags in table])
     return field
 
@@ -232,21 +268,21 @@ def plausible(kind: str, text: str) -> bool:
     """What a decoded span must hold."""
     n = len(digits(text))
     if kind == "email":
-        return bool(re.search(r"@|\bat\b", text)) and bool(re.search(r"\.\w|\bdot\b", text))
+        return bool(re.search(r"@|\bat\b", text, re.IGNORECASE)) and bool(re.search(r"\.\w|\bdot\b", text, re.IGNORECASE))
     if kind == "ip":
         return bool(re.fullmatch(r"\d+(\.\d+){3}(:\d+)?", text)) and all(int(p[:9]) <= 255 for p in text.split(":")[0].split("."))
     return 13 <= n <= 19 and luhn(digits(text)) if kind == "card" else 7 <= n <= 15 and not re.search(r"[^\W\d_]", text)
 
 
 WORD = re.compile(r"\S+")
-TRIGGER = re.compile(r"[0-9@]|^dot$|[(\[](?:at|dot)[)\]]")
+TRIGGER = re.compile(r"[0-9@]|^dot$|[(\[{](?:at|dot)[)\]}]", re.IGNORECASE)
 
 
 def near(words: list[str]) -> list[tuple[int, int]]:
     """Runs of words within REACH of a trigger."""
     out: list[list[int]] = []
     for k, w in enumerate(words):
-        if TRIGGER.search(w):
+        if TRIGGER.search(w) or w.lower() == "at" and k + 1 < len(words) and DOTTED.fullmatch(words[k + 1].strip(".,;:!?\"'<>|()")):
             if out and k - REACH <= out[-1][1]:
                 out[-1][1] = min(len(words), k + REACH + 1)
             else:
@@ -306,12 +342,8 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
             data, off = raw_bytes(text)
             hit = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64))])
             look = hit[off[1:]] > hit[off[:-1]]
-            raw = data.tobytes()
-            for word in SPELLED:
-                at = raw.find(word)
-                while at >= 0:
-                    look[np.searchsorted(off, at, "right") - 1] = True
-                    at = raw.find(word, at + 1)
+            for m in SPELLED.finditer(data.tobytes().lower()):
+                look[np.searchsorted(off, m.start(), "right") - 1] = True
             rows = np.flatnonzero(look)
             texts = text.take(pa.array(rows)).to_pylist()
             base = [base_spans(t) for t in texts]

@@ -104,3 +104,71 @@ def test_long_words_are_read_whole():
     assert word_features("1" * 70 + "@")[2] == "n20" and "@True" in word_features("a" * 100 + "@b")
     text = f"{name}[at]site.net now"
     assert [k for k, _, _ in added_spans([text], [base_spans(text)], field, features)[0]] == ["email"]
+
+
+# Written by hand: sentences with a form that the base patterns miss, and ones that hold none.
+HAND = [
+    ("Please ring our office at (212) 555-0187 before noon", "(212) 555-0187"),
+    ("Fax: 415-555-0132, ask for Ms Ortiz", "415-555-0132"),
+    ("you may write to anna.k (at) example (dot) org any time", "anna.k (at) example (dot) org"),
+    ("reach me under 0044 20 79460958 please", "0044 20 79460958"),
+    ("contact: support [at] shop [dot] com for refunds", "support [at] shop [dot] com"),
+    ("mail joe at site.com if the parcel is late", "joe at site.com"),
+    ("Joe.Bloggs AT mail DOT com is where I read", "Joe.Bloggs AT mail DOT com"),
+    ("send it to joe [AT] site.com today", "joe [AT] site.com"),
+    ("My address is maria.lopez at correo dot es, thanks", "maria.lopez at correo dot es"),
+    ("INFO (AT) ACME (DOT) COM", "INFO (AT) ACME (DOT) COM"),
+    ("ask peter_77 at mail.example.co.uk about the keys", "peter_77 at mail.example.co.uk"),
+    ("drop a line to editor(at)paper.net, we answer", "editor(at)paper.net"),
+    ("tel 0151 23456789 after six", "0151 23456789"),
+    ("Call 1-800-555-0199 now", "1-800-555-0199"),
+    ("our number: 030/1234567", "030/1234567"),
+    ("téléphone 01 42 68 53 00 le matin", "01 42 68 53 00"),
+    ("text me on 555.867.5309 ok", "555.867.5309"),
+    ("the card 4111.1111.1111.1111 was refused", "4111.1111.1111.1111"),
+    ("charge it to 5500/0000/0000/0004", "5500/0000/0000/0004"),
+    ("jane dot doe at uni dot edu", "jane dot doe at uni dot edu"),
+    ("her mail: kim {at} home {dot} net", "kim {at} home {dot} net"),
+    ("write sam @ corner.org instead", "sam @ corner.org"),
+    ("(020)555-0100 is the desk", "(020)555-0100"),
+    ("You can email Tom.Reed At Lake.Org", "Tom.Reed At Lake.Org"),
+]
+CLEAN = [
+    "The year 1999 had 365 days and 12 months",
+    "Chapter 3.2.1 begins on page 117",
+    "She paid $1,250,000 for it in 2003",
+    "Meet me at the station at 10:45 or 11:15",
+    "He scored 3 goals in 90 minutes",
+    "ISBN 978-3-16-148410-0 is out of print",
+    "Visit us at example.com for more",
+    "look at google.com and see",
+    "The dot com bubble burst in 2001",
+    "it is available at shop.example.org now",
+    "We met at home. Then we left",
+    "version 2.10.3 at line 44",
+    "the ratio is 3/4 or 0.75",
+    "On 12/05/2019 he flew to Oslo",
+    "rooms 101, 102 and 103 are free",
+    "a dot at the end of the line",
+    "Lot 4417 sold at 12.50 per share",
+    "The score was 21-19, 15-21, 21-18",
+    "born 04-11-1987 in Lyon",
+    "anecdote of a man at sea.",
+    "It works at node.js speed",
+    "Read more at news.site.net today",
+    "serial AB12-CD34-EF56",
+]
+
+
+def test_recall_on_a_table_written_by_hand():
+    field, features = trained(), Features()
+    spans = lambda t: [t[a:z] for _, a, z in added_spans([t], [base_spans(t)], field, features)[0]]
+    right = sum(spans(t) == [want] for t, want in HAND)
+    assert right >= 0.9 * len(HAND) and sum(not spans(t) for t in CLEAN) >= len(CLEAN) - 1
+    for t in ("joe at site.com", "Joe.Bloggs AT mail DOT com", "joe [AT] site.com"):
+        assert spans(t) == [t]
+
+
+def test_spelled_forms_in_capitals_reach_the_field(spark):
+    texts = ["JOE (AT) SITE (DOT) COM", "joe at site.com", "kim {at} home {dot} net", "nothing at all. here"]
+    assert [r.n_email for r in personal_data(frame(spark, texts, False)).orderBy("doc_id").collect()] == [1, 1, 1, 0]
