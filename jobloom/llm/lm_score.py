@@ -1,8 +1,8 @@
 """Scoring of texts by a log-bilinear language model trained with noise-contrastive estimation.
 
 Counts of all training tokens come from one Spark aggregation. The model has `slots` outputs: the end of a text, a word
-never seen in training, the most frequent words one each, and a quarter of the slots for all other words, dealt by their
-hash; so every word has a vector, as a target and as a context. The softmax is split into classes of SPAN slots (about the root of their number), so that a
+never seen in training, the most frequent words one each, and a quarter of the slots for all other words, dealt by a hash of
+their last ENDING bytes; so every word has a vector, as a target and as a context, and words that end alike share one. The softmax is split into classes of SPAN slots (about the root of their number), so that a
 normalised probability takes two small batched matrix products instead of one over all slots. A word that shares its slot
 gets the slot's probability times its smoothed share among the slot's words. The result is mixed with the smoothed
 frequencies (MIX); it sums to one over the known tokens and one unknown.
@@ -14,12 +14,13 @@ For scoring, texts are dealt into buckets of about BUCKET_BYTES. The distinct ra
 messages to shards of the counts and come back with them, and each bucket is scored beside its own counts; counts of the
 frequent words are sent with the model. Nothing that grows with the vocabulary is broadcast.
 
-Words are told apart by 64-bit hashes: among 10**9 different words about 0.03 pairs are expected to meet, among 10**10
-about three, and their counts would then be added up.
+Words are told apart by 64-bit hashes, TAIL bits of which follow from the ending: among 10**9 different words about 0.03 pairs
+are expected to meet if endings are many, among 10**10 about three, and their counts would then be added up.
 
 Edge cases: null and empty texts are the end token alone; a null id counts as the id ""; repeated rows are scored each;
 without training texts all counts are 0 (N = V = 0) and the score is the smoothed frequency of an unknown token;
-an empty table gives no rows. Other columns are not carried.
+very long texts are learned from and scored in a slice of their own, about 400 bytes a token; an empty table gives no rows.
+Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -32,15 +33,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .words import SPACED, Words, crc_mod, joined, packed, stored, text_slices
+from .words import SPACED, Words, crc_mod, joined, mix, packed, raw_bytes, stored, text_slices
 
 SLOTS, SPAN, DIM, PLACES = 4096, 64, 16, 3
 END, UNKNOWN = 0, 1
 MIX, CLASS_NOISE, SLOT_NOISE, BATCH, RATE, CALM = 0.1, 64, 16, 8192, 0.2, 0.01
 BUCKET_BYTES, SHARD_WORDS = 8 << 20, 500_000
+TAIL, ENDING = 12, 3  # low bits of a hash, bytes of a word
 END_HASH = np.uint64(0)  # no word has it
 
 
+def token_hashes(words: Words) -> np.ndarray:
+    """A hash of each distinct word whose low TAIL bits follow from its ending alone, so that rarer words that end alike share
+    a slot: that tells what kind of word, and of which language, it is."""
+    data, off = raw_bytes(words.unique)
+    data, tail = np.concatenate([np.zeros(ENDING, np.uint8), data]), np.zeros(len(off) - 1, np.uint64)
+    for k in range(ENDING, 0, -1):
+        at = off[1:] - k
+        tail = (tail << np.uint64(8)) | np.where(at >= off[:-1], data[at + ENDING], 0).astype(np.uint64)
+    low = np.uint64((1 << TAIL) - 1)
+    return np.maximum((words.hashes_of_unique() & ~low) | (mix(tail) & low), np.uint64(1))
+
+
 def hashed(slots: int) -> int:
     """How many of the slots are for words dealt by hash."""
     return slots // 4
@@ -242,7 +256,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             if not len(text):
                 continue
             words = Words(text, SPACED)
-            h, n = np.unique(words.hashes_of_unique(), return_inverse=True)
+            h, n = np.unique(token_hashes(words), return_inverse=True)
             n = np.bincount(n[words.codes], minlength=len(h))
             h, n = np.append(h, END_HASH)[: len(h) + 1], np.append(n, len(text))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -305,7 +319,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Model:
             if not len(text):
                 continue
             words = Words(text, SPACED)
-            slot = with_ends(look(words.hashes_of_unique())[words.codes], words.splits, END)
+            slot = with_ends(look(token_hashes(words))[words.codes], words.splits, END)
             before = contexts(slot, words.splits[1:] + np.arange(len(text)))
             batches_ = -(-len(slot) // BATCH)
             for k in range(batches_):  # each takes tokens from all over the slice
@@ -342,7 +356,7 @@ def lm_score(docs: DataFrame, held_out: str = "held_out", bucket_bytes: int = BU
         h = [np.zeros(0, np.uint64)]
         look = sent.value[1].look()
         for _, text in text_slices(group.to_batches()):
-            h.append(np.unique(Words(text, SPACED).hashes_of_unique()))
+            h.append(np.unique(token_hashes(Words(text, SPACED))))
         h = np.unique(np.concatenate(h))
         h = h[look(h) >= look.first]
         shard = ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
@@ -377,7 +391,7 @@ def lm_score(docs: DataFrame, held_out: str = "held_out", bucket_bytes: int = BU
         out = []
         for batch, text in text_slices(group.to_batches(), limit=2 << 20):
             words = Words(text, SPACED)
-            mine = words.hashes_of_unique()
+            mine = token_hashes(words)
             at = np.searchsorted(h, mine)
             c = with_ends(np.where(h[at] == mine, n[at], 0)[words.codes], words.splits, vocabulary.ends)
             ends_at = words.splits[1:] + np.arange(len(text))

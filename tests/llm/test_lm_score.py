@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from data import TEXTS, frame, words
 
-from jobloom.llm.lm_score import CLASS_NOISE, END, SLOT_NOISE, SLOTS, SPAN, UNKNOWN, Model, Trainer, Vocabulary, contexts, hashed, lm_score, token_counts, train
+from jobloom.llm.lm_score import CLASS_NOISE, END, SLOT_NOISE, SLOTS, SPAN, UNKNOWN, Model, Trainer, Vocabulary, contexts, hashed, lm_score, token_counts, token_hashes, train
 from jobloom.llm.words import SPACED, Words, crc_mod
 
 
@@ -98,7 +98,7 @@ def test_whole_vocabulary_sums_to_one(spark):
     v = Vocabulary.of(counts, slots)
     c = Counter(w for t in texts for w in t.split())
     h = Words(pa.array([" ".join(c)]), SPACED)
-    every, k = h.hashes(), hashed(slots)
+    every, k = token_hashes(h)[h.codes], hashed(slots)
     n = np.array([c[w.as_py()] for w in h.unique.take(pa.array(h.codes))])
     assert len(v.hashes) == slots - k - 2 < len(c) and v.types == len(c) + 1 and v.tokens == sum(c.values()) + 8
     slot, n = np.concatenate([[END], v.look()(every), [UNKNOWN]]), np.concatenate([[v.ends], n, [0]])
@@ -126,3 +126,12 @@ def test_better_than_base_on_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     s = scored(spark, docs).where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
     assert s[0] > s[1]
+
+
+def test_rarer_words_that_end_alike_share_a_slot():
+    words = Words(pa.array(["nation station ration option été", "é x ab nation"]), SPACED)
+    h, names = token_hashes(words), words.unique.to_pylist()
+    low = {w: int(x) & 1023 for w, x in zip(names, h)}
+    assert len(set(h.tolist())) == len(names) and low["nation"] == low["station"] == low["ration"] == low["option"] != low["x"]
+    again = Words(pa.array(["x", "station é"]), SPACED)
+    assert {w: x for w, x in zip(again.unique.to_pylist(), token_hashes(again))}.items() <= dict(zip(names, h)).items()
