@@ -37,7 +37,7 @@ from .words import SPACED, Words, crc_mod, joined, mix, packed, raw_bytes, store
 
 SLOTS, SPAN, DIM, PLACES = 4096, 64, 16, 3
 END, UNKNOWN = 0, 1
-MIX, CLASS_NOISE, SLOT_NOISE, BATCH, RATE, CALM = 0.1, 64, 16, 8192, 0.2, 0.01
+MIX, CLASS_NOISE, SLOT_NOISE, BATCH, RATE, CALM = 0.1, 64, 16, 8192, 0.2, 0.05
 BUCKET_BYTES, SHARD_WORDS = 8 << 20, 500_000
 TAIL, ENDING = 12, 3  # low bits of a hash, bytes of a word
 END_HASH = np.uint64(0)  # no word has it
