@@ -16,7 +16,7 @@ A family of more than HOT contexts (the edge of a passage that very many documen
 contexts are taken apart into their strings, which are dealt by their own hash, one row for each portion of texts, and
 streamed against the first of them. Places of a context that repeats within its first document follow as numbers.
 
-Messages are packed: one row for a task slice and bucket, not for a place. Texts are dealt by id into groups of about
+Messages are packed: one row for a task slice and bucket, not for a place. Texts are dealt by a hash of the id into groups of about
 GROUP_BYTES, the same for fetching and for the result.
 
 Edge cases: null texts are empty; texts under LENGTH bytes keep all; a null doc_id counts as the smallest; rows that
@@ -27,12 +27,13 @@ marked for any of them); an empty table gives no rows. Other columns are not car
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .run_index import RunIndex
 from .words import K1, K2, joined, mix, packed, raw_bytes, span_hashes, stored, text_slices
@@ -119,10 +120,17 @@ def grouped(groups: int, kind: int, doc: np.ndarray, *columns: np.ndarray, keys:
     """Messages of the packed doc and columns for each group of texts; a key from 0 to keys deals them over tasks."""
     if not len(doc):
         return []
-    group = doc % groups
+    unique, back = np.unique(doc, return_inverse=True)
+    crc = np.array([zlib.crc32(b"%d" % d) for d in unique.tolist()], np.int64)[back]  # group_of() says the same to Spark
+    group = crc % groups
     order = np.argsort(group, kind="stable")
     cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
-    return [(int((group[o[0]] * 7919 + doc[o[0]] // groups) % keys) if keys else None, int(group[o[0]]), kind, packed(doc[o], *[c[o] for c in columns]), None) for o in np.split(order, cuts[1:])]
+    return [(int((group[o[0]] * 7919 + crc[o[0]] // groups) % keys) if keys else None, int(group[o[0]]), kind, packed(doc[o], *[c[o] for c in columns]), None) for o in np.split(order, cuts[1:])]
+
+
+def group_of(groups: int) -> Column:
+    """The group of a text: by a hash of its id, so that ids with a common step are spread as well."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(groups))
 
 
 def by_key(key: np.ndarray, kind: int, *columns: np.ndarray) -> list:
@@ -391,7 +399,7 @@ def without_repeats(docs: DataFrame, with_text: bool = True, hot: int = HOT, buc
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, groups = max(1, min(MANY, -(-size // bucket_bytes))), max(1, -(-size // GROUP_BYTES)) | 1
     hints = stored(sketch(docs, buckets, groups).groupBy("key").applyInArrow(settle(groups, PARTS, hot), MESSAGE), "repeat-hints")
-    dealt = docs.withColumn("group", F.pmod(F.col("doc_id"), F.lit(groups)))
+    dealt = docs.withColumn("group", group_of(groups))
     asked = hints.where(F.col("kind") == ASKED).select("group", "data")
     texts = dealt.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(fetch(groups, buckets * PARTS * PIECES), MESSAGE)
     found = texts.unionByName(hints.where(F.col("kind") == COPIES)).groupBy("key").applyInArrow(marked(groups), MESSAGE)

@@ -99,3 +99,15 @@ def test_text_of_17_mb(spark):
     got = {r.doc_id: r for r in without_repeats(docs, with_text=False).collect()}
     assert [got[k].n_removed for k in (1, 2, 3)] == [0, 1_000_000, 17 << 20] and got[2].n_spans == 1
     assert got[2].kept_sha256 == hashlib.sha256(("0" + new).encode()).hexdigest()
+
+
+def test_ids_with_a_common_step_are_spread(spark):
+    import numpy as np
+
+    from jobloom.llm.repeats import group_of, grouped
+
+    ids = [73 * k for k in range(400)] + [-(1 << 63), -5]
+    by_spark = {r.doc_id: r.g for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", group_of(73).alias("g")).collect()}
+    for i in ids:
+        assert grouped(73, 0, np.array([i]), np.zeros(1, np.uint32))[0][1] == by_spark[i]
+    assert len(set(by_spark.values())) > 60
