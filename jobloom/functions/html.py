@@ -181,25 +181,27 @@ class Page:
         return next(iter(self.all(name, below)), None)
 
 
-def with_parsed(pages: DataFrame, selectors: Selectors, read: Callable[[Page], dict], schema: str, html: str = "html") -> DataFrame:
+def with_parsed(pages: DataFrame, selectors: Selectors, read: Callable[[Page], dict], schema: str, html: str = "html", error: str | None = None) -> DataFrame:
     """pages without its html, and `parsed`: what read() makes of each page; null for a null page and for one that fails
-    in any way, so that one page can't end the job."""
+    in any way, so that one page can't end the job. error: the name of a text column that says what failed (null where
+    nothing did), so that broken pages can be counted and aren't taken for empty ones."""
     kind = T.StructType.fromDDL(schema)
-    names = [c for c in pages.columns if c not in (html, "parsed")]
-    out = T.StructType([pages.schema[c] for c in names] + [T.StructField("parsed", kind)])
+    names = [c for c in pages.columns if c not in (html, "parsed", error)]
+    out = T.StructType([pages.schema[c] for c in names] + [T.StructField("parsed", kind)] + ([T.StructField(error, T.StringType())] if error else []))
     arrow = to_arrow_type(kind)
 
-    def one(page: str | None) -> dict | None:
+    def one(page: str | None) -> tuple[dict | None, str | None]:
         try:
-            return None if page is None else read(selectors(page))
-        except Exception:  # noqa: BLE001
-            return None
+            return (None if page is None else read(selectors(page))), None
+        except Exception as failed:  # noqa: BLE001
+            return None, f"{type(failed).__name__}: {failed}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                found = pa.array([one(p) for p in part.column(html).to_pylist()], arrow)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], found], names=[*names, "parsed"])
+                done = [one(p) for p in part.column(html).to_pylist()]
+                columns = [*[part.column(c) for c in names], pa.array([d[0] for d in done], arrow), *([pa.array([d[1] for d in done], pa.string())] if error else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "parsed", *([error] if error else [])])
 
     return pages.select(*names, html).mapInArrow(run, out)

@@ -108,9 +108,10 @@ def _under(headings: Column, phrase: str) -> Column:
     return _cleaned(F.flatten(F.transform(F.filter(headings, lambda h: t.clean(h["title"]).contains(phrase)), lambda h: h["texts"])))
 
 
-def job_details(pages: DataFrame, base: str = BASE) -> DataFrame:
-    """Job pages (job_url, html, ...) to their twelve fields, html dropped; a page that fails gives nulls."""
-    found = with_parsed(pages, _JOB, _job, _JOB_SCHEMA)
+def job_details(pages: DataFrame, base: str = BASE, error: str | None = None) -> DataFrame:
+    """Job pages (job_url, html, ...) to their twelve fields, html dropped; a page that fails gives nulls, and its error in a
+    column of that name, if one is asked for."""
+    found = with_parsed(pages, _JOB, _job, _JOB_SCHEMA, error=error)
     p = lambda c: F.col(f"parsed.{c}")
     blocks = F.transform(p("blocks"), lambda b: F.struct(F.coalesce(t.clean(b["title"]), F.lit("")).alias("title"), t.clean(b["text"]).alias("text")))
     fields = {
@@ -136,9 +137,10 @@ _COMPANY = Selectors({css: css for css in [*NAMES, *BOXES, ROWS, *ABOUT, BOLD]})
 _COMPANY_SCHEMA = "names array<string>, rows array<struct<bold: string, has_bold: boolean, text: string>>, about array<string>"
 
 
-def companies(pages: DataFrame) -> DataFrame:
-    """Company pages (company_url_eff, html, ...) to their six fields, html dropped; a page that fails gives nulls."""
-    found = with_parsed(pages, _COMPANY, _company, _COMPANY_SCHEMA)
+def companies(pages: DataFrame, error: str | None = None) -> DataFrame:
+    """Company pages (company_url_eff, html, ...) to their six fields, html dropped; a page that fails gives nulls, and its
+    error as in job_details."""
+    found = with_parsed(pages, _COMPANY, _company, _COMPANY_SCHEMA, error=error)
     names = [F.nullif(F.col("parsed.names")[k], F.lit("")) if css.startswith("meta") else t.clean(F.col("parsed.names")[k]) for k, css in enumerate(NAMES)]
 
     def pair(r: Column) -> Column:

@@ -37,6 +37,17 @@ def test_a_page_that_fails_gives_nulls(spark):
     assert [(r.k, r.parsed and r.parsed.n) for r in with_parsed(rows, Selectors({"p": "p"}), read, "n int").orderBy("k").collect()] == [(1, None), (2, 1), (3, None)]
 
 
+def test_errors_can_be_told_from_empty_pages(spark):
+    def read(page: Page) -> dict:
+        return {"n": 1 // (len(page.all("p")) - 1)}
+
+    rows = spark.createDataFrame([(1, "<p>a</p>", "x"), (2, "<p>a</p><p>b</p>", "x"), (3, None, "x")], "k int, html string, failed string")
+    got = with_parsed(rows, Selectors({"p": "p"}), read, "n int", error="failed").orderBy("k").collect()
+    assert [(r.parsed and r.parsed.n, (r.failed or "").split(":")[0]) for r in got] == [(None, "ZeroDivisionError"), (1, ""), (None, "")]
+    page = spark.createDataFrame([("u", "<h1>T</h1>")], "job_url string, html string")
+    assert extract.job_details(page, error="failed").first().failed is None and extract.job_details(page).columns == ["job_url", *extract.DETAIL_COLUMNS]
+
+
 def test_null_page_gives_nulls(spark):
     row = extract.job_details(spark.createDataFrame([("u", None)], "job_url string, html string")).first()
     assert row.job_url == "u" and set(row.asDict().values()) == {"u", None} and len(row) == 13

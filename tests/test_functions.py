@@ -13,6 +13,7 @@ def values(spark, rows, expr, schema="v string"):
     return [r[0] for r in df.orderBy("i").select(expr).collect()]
 
 
+# Keywords and the slugs that they must give.
 SLUGS = {
     "Kỹ sư phần mềm": "ky-su-phan-mem", "Quản trị mạng": "quan-tri-mang", "Phát triển web": "phat-trien-web", "Lập trình viên Java": "lap-trinh-vien-java",
     "Chuyên viên phân tích dữ liệu": "chuyen-vien-phan-tich-du-lieu", "Kinh doanh thiết bị/vật liệu xây dựng": "kinh-doanh-thiet-bi-vat-lieu-xay-dung",
