@@ -15,8 +15,9 @@ shared, so the smaller set has it very early (an index row). Groups without an i
 the rows are dealt over tasks of about PORTION rows, each with all index rows of the group.
 
 Edge cases: null and empty texts have no shingles and no links (n_shingles 0, their own component); a text with fewer
-words than a shingle is one shingle; rows that share a doc_id count as one document; a null doc_id is never linked and
-has a null component; an empty table gives no rows. Other columns are not used.
+words than a shingle is one shingle; a very long text is read whole, in a slice of its own, and its whole set goes only to
+where it is a candidate; rows that share a doc_id count as one document; a null doc_id is never linked and has a null
+component; an empty table gives no rows. Other columns are not used.
 """
 
 from __future__ import annotations
