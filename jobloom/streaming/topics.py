@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MILLI = 1000
 TOPIC_STATE = "topic_id long, status string, acquired_at timestamp, seen_at timestamp, n_events long"
-SPAN = "__span"
+SPAN, KEY, DEAL = "span__", "key__", "deal__"  # Spark renames columns that begin with _ on their way to a processor
+DEALS = 64  # groups of keys: a call for each, not for each key
 
 
 def rocksdb(spark: SparkSession) -> None:
@@ -26,6 +27,10 @@ def _micros(ts: pd.Series) -> pd.Series:
     return ts.astype("datetime64[us]").astype("int64")
 
 
+def _deal(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(DEALS))
+
+
 class Topic(StatefulProcessor):
     """What decides about a topic, whatever the order in which its events come: its first acquire, its first release and its
     last one, by time and seq. Events of a later batch are merged into these, so a late one counts where it belongs in
@@ -88,33 +93,38 @@ def topic_states(events: DataFrame, late: str = "1 day", keep_ms: int = 30 * 86_
 
 
 class FirstOfWindow(StatefulProcessor):
-    """The first record of a key in a window of time; records that come when their window has been closed are flagged late."""
+    """The first record of each key in a window of time; records that come when their window has been closed are flagged late.
+    A call works on the batch's records of a window and a group of keys."""
 
     def __init__(self, time: str, span: int):
         self.time, self.span = time, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "seen boolean")
+        self.seen = handle.getMapState("seen", "key string", "seen boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         close = int(key[-1]) + self.span
         if timerValues.getCurrentWatermarkInMs() >= close:
             for frame in rows:
-                yield frame.drop(columns=SPAN, errors='ignore').assign(late=True)
-            return
-        if self.seen.exists():
-            for _ in rows:
-                pass
+                yield self._flagged(frame, True)
             return
+        held = {k for (k,) in self.seen.keys()} if self.seen.exists() else set()
         first = None
         for frame in rows:
-            own = frame.sort_values(self.time, kind="stable").iloc[:1]
-            if first is None or own[self.time].iloc[0] < first[self.time].iloc[0]:
-                first = own
-        self.seen.update((True,))
-        self.handle.registerTimer(close)
-        yield first.drop(columns=SPAN, errors='ignore').assign(late=False)
+            fresh = frame[~frame[KEY].isin(held)]
+            fresh = fresh if first is None else pd.concat([first, fresh])
+            first = fresh.sort_values(self.time, kind="stable").drop_duplicates(KEY)
+        if first is None or first.empty:
+            return
+        for k in first[KEY].tolist():
+            self.seen.updateValue((k,), (True,))
+        if not held:
+            self.handle.registerTimer(close)
+        yield self._flagged(first, False)
+
+    def _flagged(self, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
+        return rows.drop(columns=[SPAN, KEY, DEAL], errors="ignore").assign(late=late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.seen.clear()
@@ -128,13 +138,14 @@ def first_of_window(stream: DataFrame, keys: list[str], time: str, window_ms: in
     """The first record of each key in each window of `window_ms` (from 1970 on), with `late` false; and, with `late` true,
     every record that came after the watermark (`late` behind the newest record) had passed its window, so that none is lost.
 
-    State is a flag for each key and open window. Which record of a window counts is the earliest of the batch that brings
+    State is a flag for each key (by its JSON text) and open window. Which record of a window counts is the earliest of the batch that brings
     the first one. Records without a time have no window and go."""
     marked = stream.where(F.col(time).isNotNull()).withWatermark(time, late)
     # The time as a column of its own: were it the marked one, Spark would drop the late records itself.
     own = marked.withColumn(time, F.timestamp_micros(F.unix_micros(time))).withColumn(SPAN, F.unix_millis(time) - F.pmod(F.unix_millis(time), F.lit(window_ms)))
     out = T.StructType([*[f for f in own.schema.fields if f.name != SPAN], T.StructField("late", T.BooleanType())])
-    return own.groupBy(*keys, SPAN).transformWithStateInPandas(FirstOfWindow(time, window_ms), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    own = own.withColumn(KEY, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})).withColumn(DEAL, _deal(KEY))
+    return own.groupBy(DEAL, SPAN).transformWithStateInPandas(FirstOfWindow(time, window_ms), outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
 def kept_and_late(kept: str, late: str):

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from jobloom.operators import queue
@@ -91,6 +92,48 @@ def test_windows_leave_the_state_and_late_records_are_kept_apart(spark):
     assert spark.read.parquet(kept).count() == 60 + 1 + 1 + 1 and sizes[-1] <= 6 < 60 < max(sizes)
 
 
+class Handle:
+    """What a processor asks of its handle, for one group, in memory."""
+
+    def __init__(self):
+        self.held, self.timers, self.asked = {}, [], 0
+
+    def getMapState(self, name, key, value):
+        return self
+
+    exists = lambda self: bool(self.held)
+    keys = lambda self: iter(self.held)
+    iterator = lambda self: iter(list(self.held.items()))
+    clear = lambda self: self.held.clear()
+    removeKey = lambda self, key: self.held.pop(key)
+    updateValue = lambda self, key, value: self.held.update({key: value})
+    listTimers = lambda self: iter(self.timers)
+    registerTimer = lambda self, at: self.timers.append(at)
+    deleteTimer = lambda self, at: self.timers.remove(at)
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.held
+
+    def getValue(self, key):
+        return self.held[key]
+
+
+def at(watermark):
+    return type("Times", (), {"getCurrentWatermarkInMs": lambda self: watermark})()
+
+
+def test_a_call_takes_all_keys_of_a_window():
+    """With a call for each key, 1 GB of events took longer than its time."""
+    first, handle = topics.FirstOfWindow("ts", 3_600_000), Handle()
+    first.init(handle)
+    frame = lambda *rows: pd.DataFrame([(k, pd.Timestamp(minute(m)), k) for k, m in rows], columns=["k", "ts", topics.KEY])
+    call = lambda mark, *frames: [tuple(r) for f in first.handleInputRows((0, 0), iter(frames), at(mark)) for r in f[["k", "ts", "late"]].itertuples(index=False)]
+    assert sorted(call(0, frame(("a", 3), ("b", 2), ("a", 1)), frame(("c", 5), ("b", 1)))) == [("a", minute(1), False), ("b", minute(1), False), ("c", minute(5), False)]
+    assert call(0, frame(("a", 0), ("d", 4))) == [("d", minute(4), False)] and handle.timers == [3_600_000]
+    assert call(3_600_000, frame(("a", 0), ("e", 4))) == [("a", minute(0), True), ("e", minute(4), True)]
+
+
 def test_built_in_windows_have_bounded_state(spark):
     path, mark, out, schema = shared_dir(spark, "in"), shared_dir(spark, "mark"), shared_dir(spark, "out"), "k string, ts timestamp"
     sizes = []
