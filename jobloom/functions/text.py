@@ -43,6 +43,23 @@ def clean_ends(text: ColumnOrName) -> Column:
     return F.regexp_replace(column(text), f"^{WHITE}|{WHITE}$", "")
 
 
+# The entities that pages are written with, in the order in which they are replaced.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#x27;": "'", "&amp;": "&"}
+
+
+def unescaped(text: ColumnOrName) -> Column:
+    """ENTITIES as the characters they stand for; anything else that begins with & stays."""
+    c = column(text)
+    for entity, char in ENTITIES.items():
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
+def only_whole_entities(html: ColumnOrName) -> Column:
+    """HTML in which a parser finds no references but ENTITIES: any other & stands for itself, as `&amp` without its end does."""
+    return F.regexp_replace(column(html), f"&(?!(?:{'|'.join(e[1:] for e in ENTITIES)}))", "&amp;")
+
+
 def max_page(text: ColumnOrName) -> Column:
     """The page count in `n / m trang`; 1 if there is none, also for null."""
     return F.coalesce(F.nullif(F.regexp_extract(column(text), r"/\s*(\d+)\s*trang", 1), F.lit("")).try_cast("int"), F.lit(1))

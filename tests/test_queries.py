@@ -32,6 +32,19 @@ def test_query(spark, duck, sf_dir, name):
     assert cells(df.select(*order).collect()) == cells(want.select(", ".join(order)).fetchall())
 
 
+def test_titles_and_links_with_odd_entities(spark, tmp_path):
+    heads = ["<title>A&amp;&amp;&amp</title>", "<title>A &lt b &eacute; &#39;x&#x27; &amp;lt; | topcv y</title>", "<title> </title><h1>H</h1>", "<h1>H</h1>", "<title>a\n b", "<title>\u00a0B&amp;amp;\n|  TOPCV</title><title>2</title>", None]
+    nav = '<nav><ul><li><a href="/a?x&amp;y&ampz">T &amp</a></li><li><a href="/b">&copy; &quot;u&quot;</a></li></ul></nav>'
+    rows = [(k, "u", None if h is None else f"<!DOCTYPE html><html><head>{h}</head><body>{nav if '</title>' in h else ''}<article>x</article></body></html>") for k, h in enumerate(heads)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_title", "nav_links"):
+        got, want = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE[name])
+        order = sorted(got.columns)
+        assert cells(got.select(*order).collect()) == cells(want.select(", ".join(order)).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
