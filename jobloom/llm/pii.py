@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .words import raw_bytes, text_slices
 
@@ -328,11 +328,12 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{z}" for k, a, z in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_email long, base_ip long, base_card long, base_phone long, base_sha256 string, spans string"
 
 
 def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """Counts and spans of every text: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """Counts and spans of every text: doc_id; n_email to n_phone, of all spans; base_email to base_phone, of those of the
+    exact patterns; base_sha256, spans."""
     sent = docs.sparkSession.sparkContext.broadcast(field or trained())
     none = hashlib.sha256(b"").hexdigest()
 
@@ -348,11 +349,13 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
             texts = text.take(pa.array(rows)).to_pylist()
             base = [base_spans(t) for t in texts]
             more = added_spans(texts, base, field, features)
-            counts = np.zeros((4, batch.num_rows), np.int64)
+            counts = np.zeros((8, batch.num_rows), np.int64)  # all spans by kind, then the base ones
             shas, spans = [none] * batch.num_rows, [""] * batch.num_rows
             for k, b, a in zip(rows.tolist(), base, more):
                 for kind, _, _ in b + a:
                     counts[KINDS.index(kind), k] += 1
+                for kind, _, _ in b:
+                    counts[4 + KINDS.index(kind), k] += 1
                 shas[k], spans[k] = hashlib.sha256(listed(b).encode()).hexdigest(), listed(b + a)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, counts), pa.array(shas, pa.string()), pa.array(spans, pa.string())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -360,4 +363,7 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The counts n_email to n_phone are those of the exact patterns; all_email to all_phone count what the field adds, too."""
+    found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    counts = [F.col(f"{own}_{kind}").alias(f"{name}_{kind}") for own, name in (("base", "n"), ("n", "all")) for kind in KINDS]
+    return found.select("doc_id", *counts[:4], "base_sha256", "spans", *counts[4:])

@@ -3,7 +3,7 @@ import re
 
 from data import frame
 
-from jobloom.llm.pii import TAGS, Features, Field, added_spans, base_spans, labelled, listed, luhn, personal_data, trained, word_features
+from jobloom.llm.pii import TAGS, Features, Field, added_spans, base_spans, labelled, listed, luhn, op4, personal_data, trained, word_features
 
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -54,6 +54,21 @@ def test_query(spark):
     assert personal_data(docs.limit(0)).count() == 0
 
 
+def test_query_counts_base_spans(spark, tmp_path):
+    """The counts of the query are exact, whatever the field adds; its spans hold both."""
+    texts = ["call me (555) 123-4567 or a@b.co", "joe.doe at gmail dot com", "4111.1111.1111.1111 it is, or 4111 1111 1111 1111", "10.0.0.7 and 10.0.0.8:80", None, ""]
+    frame(spark, texts, False).write.parquet(f"{tmp_path}/documents.parquet")
+    rows, added = {r.doc_id: r for r in op4(spark, str(tmp_path)).collect()}, 0
+    for k, text in enumerate(texts):
+        base, row = plain(text or ""), rows[k]
+        assert [row[f"n_{kind}"] for kind, _ in PATTERNS] == [sum(b[0] == kind for b in base) for kind, _ in PATTERNS]
+        assert row.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
+        every = [s.split(":")[0] for s in row.spans.split(",") if s]
+        assert [row[f"all_{kind}"] for kind, _ in PATTERNS] == [every.count(kind) for kind, _ in PATTERNS]
+        added += len(every) - len(base)
+    assert len(rows) == len(texts) and added >= 3
+
+
 def test_long_runs_have_no_seams():
     field, features = trained(), Features()
     for shift in range(4):
