@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MILLI = 1000
+NAT = -(1 << 63)  # numpy's value for no time
 TOPIC_STATE = "topic_id long, status string, acquired_at timestamp, seen_at timestamp, n_events long"
 SPAN, KEY, DEAL = "span__", "key__", "deal__"  # Spark renames columns that begin with _ on their way to a processor
 DEALS = 64  # groups of keys: a call for each, not for each key
@@ -34,7 +36,10 @@ def _deal(key: str) -> Column:
 class Topic(StatefulProcessor):
     """What decides about a topic, whatever the order in which its events come: its first acquire, its first release and its
     last one, by time and seq. Events of a later batch are merged into these, so a late one counts where it belongs in
-    time. A finished topic is forgotten `keep` milliseconds of event time after its last event."""
+    time. A finished topic is forgotten `keep` milliseconds of event time after its last event, or an eighth of that later.
+
+    Topics are dealt into groups by a hash: a call works on the batch's events of all topics of a group and touches the state
+    of these topics only."""
 
     FIELDS = ("acquire", "acquire_seq", "release", "release_seq", "last", "last_seq")
 
@@ -44,37 +49,59 @@ class Topic(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         fields = [T.StructField(f, T.LongType()) for f in (*self.FIELDS, "seen", "n")]
-        self.state = handle.getValueState("topic", T.StructType([*fields, T.StructField("ok", T.BooleanType())]))
+        self.state = handle.getMapState("topics", "topic string", T.StructType([*fields, T.StructField("ok", T.BooleanType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        acquire, release, last = ((held[0], held[1]), (held[2], held[3]), (held[4], held[5])) if held else ((None, None),) * 3
-        seen, n, ok = (held[6], held[7], held[8]) if held else (None, 0, None)
+        states, known, now = {}, self.state.exists(), timerValues.getCurrentWatermarkInMs()
         for frame in rows:
-            at = pd.DataFrame({"ts": _micros(frame["ts"]), "seq": frame["seq"], "success": frame["success"]})
-            for kind, own in at.groupby(frame["action"]):
-                own = own.sort_values(["ts", "seq"])
-                low, high = tuple(map(int, own.iloc[0][["ts", "seq"]])), tuple(map(int, own.iloc[-1][["ts", "seq"]]))
-                if kind == "acquire":
-                    acquire = low if acquire[0] is None else min(acquire, low)
-                elif kind == "release":
-                    release = low if release[0] is None else min(release, low)
-                    if last[0] is None or high >= last:
-                        last, ok = high, bool(own.iloc[-1]["success"])
-            n += len(at)
-            seen = max(int(at["ts"].max()), seen or 0)
-        self.state.update((*acquire, *release, *last, seen, n, ok))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if last[0] is not None:
-            self.handle.registerTimer(max(seen // MILLI + self.keep, timerValues.getCurrentWatermarkInMs() + 1))
-        granted = acquire[0] is not None and (release[0] is None or acquire < release)
-        status = ("done" if ok else "failed") if last[0] is not None else "in_progress" if acquire[0] is not None else "pending"
-        stamp = lambda us: pd.Series([None if us is None else pd.Timestamp(us, unit="us")], dtype="datetime64[us]")
-        yield pd.DataFrame({"topic_id": [key[0]], "status": [status], "acquired_at": stamp(acquire[0] if granted else None), "seen_at": stamp(seen), "n_events": [n]})
+            at = pd.DataFrame({"topic": frame[KEY], "ts": _micros(frame["ts"]), "seq": frame["seq"], "action": frame["action"], "success": frame["success"]}).sort_values(["ts", "seq"], kind="stable")
+            sizes = at.groupby("topic", sort=False)["ts"].agg(["size", "max"])
+            for topic, n, seen in zip(sizes.index.tolist(), sizes["size"].tolist(), sizes["max"].tolist()):
+                if topic not in states:
+                    states[topic] = list(self.state.getValue((topic,))) if known and self.state.containsKey((topic,)) else [None] * 7 + [0, None]
+                state = states[topic]
+                state[6], state[7] = max(seen, state[6] or 0), state[7] + n
+            for action, place in (("acquire", 0), ("release", 2)):
+                own = at[at["action"] == action]
+                low = own.drop_duplicates("topic")
+                for topic, *first in zip(low["topic"].tolist(), low["ts"].tolist(), low["seq"].tolist()):
+                    state = states[topic]
+                    if state[place] is None or first < state[place : place + 2]:
+                        state[place : place + 2] = first
+                if action == "release":
+                    high = own.drop_duplicates("topic", keep="last")
+                    for topic, ok, *last in zip(high["topic"].tolist(), high["success"].tolist(), high["ts"].tolist(), high["seq"].tolist()):
+                        state = states[topic]
+                        if state[4] is None or last >= state[4:6]:
+                            state[4:6], state[8] = last, bool(ok)
+        done = None  # when the first finished topic of the batch may go
+        for topic, state in states.items():
+            self.state.updateValue((topic,), tuple(state))
+            if state[4] is not None and (done is None or self._due(state) < done):
+                done = self._due(state)
+        if done is not None:
+            done, timers = max(done, now + 1), list(self.handle.listTimers())
+            if not timers or done < min(timers) - self.keep // 8:
+                for timer in timers:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(done)
+        status = [("done" if s[8] else "failed") if s[4] is not None else "in_progress" if s[0] is not None else "pending" for s in states.values()]
+        granted = [s[0] if s[0] is not None and (s[2] is None or s[:2] < s[2:4]) else None for s in states.values()]
+        stamp = lambda us: pd.Series(np.array([NAT if u is None else u for u in us], np.int64).view("datetime64[us]"))
+        ids = pd.array([int(t) if t else None for t in states], "Int64")
+        yield pd.DataFrame({"topic_id": ids, "status": status, "acquired_at": stamp(granted), "seen_at": stamp([s[6] for s in states.values()]), "n_events": [s[7] for s in states.values()]})
+
+    def _due(self, state) -> int:
+        return state[6] // MILLI + self.keep
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        due = [(self._due(s), k) for k, s in self.state.iterator() if s[4] is not None]
+        for at, k in due:
+            if at <= now:
+                self.state.removeKey(k)
+        if later := [at for at, _ in due if at > now]:
+            self.handle.registerTimer(max(min(later), now + self.keep // 8 + 1))  # a group is swept eight times in `keep` at most
         yield pd.DataFrame()
 
     def close(self) -> None:
@@ -88,8 +115,8 @@ def topic_states(events: DataFrame, late: str = "1 day", keep_ms: int = 30 * 86_
     Newer rows of a topic have a greater (seen_at, n_events). Events older than the watermark (`late` behind the newest) are
     dropped by Spark, so `late` must cover what may come late; they are counted in the query's progress. Topics without a
     time, or with other actions only, stay pending."""
-    rows = events.where("ts is not null").withWatermark("ts", late).groupBy("topic_id")
-    return rows.transformWithStateInPandas(Topic(keep_ms), outputStructType=TOPIC_STATE, outputMode="Update", timeMode="EventTime")
+    rows = events.where("ts is not null").withWatermark("ts", late).withColumn(KEY, F.coalesce(F.col("topic_id").cast("string"), F.lit("")))
+    return rows.withColumn(DEAL, _deal(KEY)).groupBy(DEAL).transformWithStateInPandas(Topic(keep_ms), outputStructType=TOPIC_STATE, outputMode="Update", timeMode="EventTime")
 
 
 class FirstOfWindow(StatefulProcessor):

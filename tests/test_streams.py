@@ -66,6 +66,25 @@ def test_topic_events_in_any_order(spark):
     assert tuples(got) == tuples(queue.topic_states(spark.createDataFrame(events, SCHEMA)))
 
 
+def test_a_call_takes_all_topics_of_a_group():
+    """With a call for each topic, 6 GB of events were projected to take longer than their time."""
+    topic, handle = topics.Topic(8000), Handle()
+    topic.init(handle)
+    time = lambda s: pd.Timestamp(s, unit="s")
+    frame = lambda *rows: pd.DataFrame([(str(k), time(s), n, a, ok) for n, (k, s, a, ok) in enumerate(rows)], columns=[topics.KEY, "ts", "seq", "action", "success"])
+    call = lambda mark, *frames: {r[0]: tuple(None if pd.isna(x) else x for x in r[1:]) for f in topic.handleInputRows((0,), iter(frames), at(mark)) for r in f.itertuples(index=False)}
+    first = call(0, frame((1, 5, "acquire", None), (2, 9, "release", False), (1, 4, "acquire", None)), frame((3, 2, "release", True), (2, 1, "acquire", None), (2, 9, "release", True)))
+    assert first == {1: ("in_progress", time(4), time(5), 2), 2: ("done", time(1), time(9), 3), 3: ("done", None, time(2), 1)}
+    assert handle.timers == [10_000] and handle.asked == 0
+    assert call(0, frame((1, 20, "release", False), (3, 1, "acquire", None))) == {1: ("failed", time(4), time(20), 3), 3: ("done", time(1), time(2), 2)}
+    assert handle.asked == 2  # of the topics of the batch, not of all
+    handle.timers.clear()
+    list(topic.handleExpiredTimer((0,), at(10_000), None))
+    assert set(handle.held) == {("1",), ("2",)} and handle.timers == [17_000]
+    list(topic.handleExpiredTimer((0,), at(28_000), None))
+    assert not handle.held
+
+
 def test_finished_topics_leave_the_state(spark):
     done = [(k, minute(0), k, "release", True) for k in range(20)] + [(99, minute(0), 99, "acquire", None)]
     got, seen = topic_run(spark, [done, [(50, minute(600), 100, "acquire", None)], [(51, minute(601), 101, "acquire", None)]], "10 minutes", 3_600_000)
