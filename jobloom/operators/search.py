@@ -38,9 +38,8 @@ def first_seen(found: DataFrame, by: str = "keyword_id", order: tuple[str, ...]
 def search_links(parsed: DataFrame, by: str = "keyword_id", use_max_page: bool = True) -> DataFrame:
     """Link records of parsed search pages (by, page_no, max_page, cards): stop rules, first seen, key and hash.
 
-    The stop rules run on narrow rows before any card is exploded.
+    The stop rules run before any card is exploded, beside the cards: a join with the pages that stay would parse each page twice.
     """
-    narrow = parsed.select(by, "page_no", F.size("cards").alias("n_cards"), "max_page")
-    kept = kept_pages(narrow, by, use_max_page).select(by, "page_no")
-    found = first_seen(cards(parsed.join(kept, [by, "page_no"])), by)
+    kept = kept_pages(parsed.withColumn("n_cards", F.size("cards")), by, use_max_page).drop("n_cards")
+    found = first_seen(cards(kept), by)
     return found.select(by, "page_no", "pos", *LINK_COLUMNS).withColumn("url_hash", url_hash("job_url"))

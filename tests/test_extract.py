@@ -66,3 +66,13 @@ def test_company_last_match_and_names(spark):
     html = "<title>N | TopCV x</title><h1 class=company-name> </h1><meta property='og:title' content=' raw '><ul><li>Website: a</li><li><b>WEBSITE</b> b - website</li><li>Address：Số 1</li></ul><div class=description></div><div id=readmore-content>D</div>"
     row = extract.companies(spark.createDataFrame([("u", html)], "company_url_eff string, html string")).first()
     assert (row.company_name_full, row.company_website, row.company_address, row.company_description, row.company_size) == (" raw ", "b", "Số 1", "D", None)
+
+
+def test_a_crawl_parses_each_page_once(spark):
+    from jobloom.operators import extract, search
+
+    html = '<div class="job-item-search-result"><h3 class="title"><a href="/viec-lam/{}.html">t</a></h3></div>'
+    pages = spark.createDataFrame([(1, n, html.format(n) if n < 3 else "<p>none</p>") for n in range(1, 5)] + [(2, 1, None)], "keyword_id long, page_no long, html string")
+    found = search.search_links(extract.search_pages(pages), use_max_page=False)
+    assert sorted((r.keyword_id, r.page_no, r.pos, r.job_url) for r in found.collect()) == [(1, n, 0, f"https://www.topcv.vn/viec-lam/{n}.html") for n in (1, 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
