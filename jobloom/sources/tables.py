@@ -46,9 +46,10 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LINK_SCHEMA + ", keyword_slug string, crawl_ts string").json(path)
 
 
-def write_wide_csv(wide: DataFrame, path: str) -> None:
-    """CSV with a header line; quotes inside are doubled, so line breaks and quotes survive."""
-    wide.write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("nullValue", None).csv(path)
+def write_wide_csv(wide: DataFrame, path: str, compression: str = "gzip") -> None:
+    """CSV with a header line; quotes inside are doubled, so line breaks and quotes survive. Files are compressed (they can't be
+    split in any case, since texts hold line breaks); "none" leaves them plain."""
+    wide.write.option("compression", compression).option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("nullValue", None).csv(path)
 
 
 def read_wide_csv(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:

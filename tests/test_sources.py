@@ -83,3 +83,17 @@ def test_log_in_stretches_equals_the_log_at_once(spark):
     df = spark.createDataFrame(log, "url string, ts timestamp_ntz, error string, retry_after string, n int")
     parts = [queue.attempt_counts(df.where(F.col("n") % 3 == k), "url", "ts", "n") for k in (2, 0, 1)]
     assert tuples(queue.scheduled(queue.merged_counts(queue.merged_counts(*parts[:2]), parts[2]))) == tuples(queue.retries(df, "url", "ts", "n"))
+
+
+def test_wide_csv_is_written_small(spark):
+    from jobloom.operators.wide import WIDE_COLUMNS
+    from jobloom.sources import tables
+    from jobloom.sources.folders import listed, shared_dir
+
+    path = shared_dir(spark, "csv")
+    rows = spark.range(2000).selectExpr(*[f"'line \"one\",\n two' as {c}" if k else f"cast(id as string) as {c}" for k, c in enumerate(WIDE_COLUMNS)]).coalesce(1)
+    tables.write_wide_csv(rows, path)
+    names = [n for n in listed(spark, path) if n.startswith("part-")]
+    size = spark.read.format("binaryFile").load(path).selectExpr("sum(length)").first()[0]
+    assert all(n.endswith(".csv.gz") for n in names) and size < 100_000
+    assert sorted(map(tuple, tables.read_wide_csv(spark, path).collect())) == sorted(map(tuple, rows.collect()))
