@@ -29,6 +29,7 @@ TRIM = b".,;:!?\"'()[]{}<>|*#$&%-_/"
 EPOCHS, BLOCK, POSITIVE = 6, 32, 4.0
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.5
 SIEVE_BITS = 22
+PART_BITS = 4
 BIAS = np.uint64(0)  # its place among the hashes
 
 
@@ -84,17 +85,26 @@ class Ftrl:
         self.n[at] += g * g
 
 
+def frequent(blocks: list[np.ndarray]) -> np.ndarray:
+    """The hashes that occur at least MIN_DOCS times, sorted, without that of the bias: a part of their range at a time, so
+    that they never lie in memory twice."""
+    found, bits = [], np.uint64(64 - PART_BITS)
+    for part in range(1 << PART_BITS):
+        every = np.concatenate([np.zeros(0, np.uint64), *[h[(h >> bits) == part] for h in blocks]])
+        every.sort()
+        if len(every) >= MIN_DOCS:
+            found.append(np.unique(every[MIN_DOCS - 1 :][every[MIN_DOCS - 1 :] == every[: len(every) - MIN_DOCS + 1]]))
+    often = np.concatenate([np.zeros(0, np.uint64), *found])
+    return often[often > BIAS]
+
+
 def train(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, sorted; weights) of the features with a weight; the bias always comes first."""
     blocks = []
     for start in range(0, len(y), BLOCK):
         rows, h = once(*features(texts.slice(start, BLOCK)))
         blocks.append((rows.astype(np.uint8), h))
-    every = np.concatenate([np.zeros(0, np.uint64), *[h for _, h in blocks]])
-    every.sort()
-    often = every[MIN_DOCS - 1 :][every[MIN_DOCS - 1 :] == every[: len(every) - MIN_DOCS + 1]] if len(every) >= MIN_DOCS else every[:0]
-    known = np.concatenate([[BIAS], np.unique(often[often > BIAS])])
-    del every, often
+    known = np.concatenate([[BIAS], frequent([h for _, h in blocks])])
     parts = []
     blocks.reverse()
     for start in range(0, len(y), BLOCK):
@@ -150,9 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     def one(group: pa.Table) -> pa.Table:
         order = np.argsort(np.fromiter((xxhash.xxh3_64_intdigest(str(i)) for i in group["doc_id"].to_pylist()), np.uint64, group.num_rows), kind="stable")
         group = group.take(order)
-        text = group["text"].combine_chunks().fill_null("")
+        text, y = group["text"].combine_chunks().fill_null(""), group["__y"].to_numpy()
+        del group  # one copy of the texts is enough
         text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-        h, w = train(text, group["__y"].to_numpy())
+        h, w = train(text, y)
         return pa.table({"hashes": pa.array([h.view(np.int64)], pa.list_(pa.int64())), "weights": pa.array([w], pa.list_(pa.float64()))})
 
     found = rows.groupBy("__one").applyInArrow(one, "hashes array<bigint>, weights array<double>").collect()

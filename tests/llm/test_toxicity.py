@@ -118,3 +118,12 @@ def test_repeated_ids_teach_once(spark):
     assert len(want[0]) > 1 and all(np.array_equal(a, b) for a, b in zip(want, got))
     others = once_each.unionAll(spark.createDataFrame([(rows[1][0], f"odd mark {k}") for k in range(500)], "doc_id long, text string"))
     assert not {*features(pa.array(["odd mark"]))[1].tolist()} & {*fit(others, lab)[0].tolist()}
+
+
+def test_frequent_hashes_against_counts():
+    from jobloom.llm import toxicity as t
+
+    rng = np.random.default_rng(3)
+    blocks = [rng.integers(0, 40, 200).astype(np.uint64) << np.uint64(58) | rng.integers(0, 9, 200).astype(np.uint64) for _ in range(3)] + [np.zeros(5, np.uint64)]
+    values, counts = np.unique(np.concatenate(blocks), return_counts=True)
+    assert t.frequent(blocks).tolist() == values[(counts >= t.MIN_DOCS) & (values > 0)].tolist() and not len(t.frequent([]))
