@@ -76,3 +76,14 @@ def test_a_crawl_parses_each_page_once(spark):
     found = search.search_links(extract.search_pages(pages), use_max_page=False)
     assert sorted((r.keyword_id, r.page_no, r.pos, r.job_url) for r in found.collect()) == [(1, n, 0, f"https://www.topcv.vn/viec-lam/{n}.html") for n in (1, 2)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_tags_read_before_are_read_alike():
+    from jobloom.functions import html as h
+
+    page = '<!DOCTYPE html><p a="1">x<div class="a &amp; b">1</div><DIV class="a &amp; b">2</DIV ><br/><br/><script>"<p a=1>"</script><title>a<b</title><p a="1">y</p><script>z</script><a b c="1" c="2">t</a>' * 2
+    tree = lambda: [(n.tag, n.attrs, n.place, n.last, [x if isinstance(x, str) else x.place for x in n.parts]) for n in h.parse(page)]
+    h.TAGS.clear()
+    first, known = tree(), dict(h.TAGS)
+    assert tree() == first and '<p a="1">' in known and not any(t.startswith("<script") for t in known)
+    assert [n[4] for n in first if n[0] == "script"] == [['"<p a=1>"'], ["z"]] * 2 and sum(n[0] == "p" for n in first) == 4
