@@ -7,10 +7,11 @@ among the texts of one portion of a task at once, so that of a context that many
 sent, and then among all. Of the others the bytes are fetched, once for each different context.
 
 Two contexts of an anchor that hold one string also agree in the SIDE bytes before the anchor or in those behind it; what
-agrees with no other context is done, and the others form families. The contexts of a family are ranked by document. For each bit of the rank, those without the bit are indexed
-(a run-compressed Burrows-Wheeler transform with sampled run ends) and those with it are streamed through the index:
+agrees with no other context is done, and the others form families. A hash of each string leaves out what can't repeat: only the stretch of a context from the first to the
+last string whose hash an earlier document has as well is looked up, and of that string's places the one in the least document is
+indexed (a run-compressed Burrows-Wheeler transform with sampled run ends). The stretches are streamed through the index once:
 matching statistics of LENGTH bytes, and the least document of the window class that the match ends in, decide which
-strings an earlier document has. Two contexts differ first in one bit, so each meets every earlier one once.
+strings an earlier document has.
 
 A family of more than HOT contexts (the edge of a passage that very many documents hold) is not sent to one task: its
 contexts are taken apart into their strings, which are dealt by their own hash, one row for each portion of texts, and
@@ -36,12 +37,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .run_index import RunIndex
-from .words import K1, K2, joined, mix, packed, raw_bytes, span_hashes, stored, text_slices
+from .words import K1, K2, joined, mix, packed, raw_bytes, span_hashes, stored, text_slices, unpacked
 
 LENGTH, GRAM = 50, 16
 SIDE = (LENGTH - GRAM + 1) // 2  # a string has as many bytes on one side of its anchor
 NULL_ID = -(1 << 63)
-SLICE, BUCKET_BYTES, GROUP_BYTES, PARTS, PIECES = 2 << 20, 32 << 20, 8 << 20, 4, 1
+SLICE, BUCKET_BYTES, GROUP_BYTES, PARTS = 1 << 18, 32 << 20, 16 << 20, 2
 MANY, HOT = 1 << 16, 2048
 SETTLED, ASKED, COPIES, CONTEXTS = range(4)  # kinds of messages
 PLACE = np.uint64((1 << 24) - 1)
@@ -100,6 +101,16 @@ def _long(data: np.ndarray, off: np.ndarray):
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def together(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by the low bits of the keys, equal ones by place; where a new one begins in it), by a plain sort of numbers,
+    which is the fastest there is. Keys that differ only in the bits for which a place leaves no room count as equal."""
+    bits = np.uint64(max(1, len(key).bit_length()))
+    both = np.sort(key << bits | np.arange(len(key), dtype=np.uint64))
+    new = np.ones(len(both), bool)
+    new[1:] = (both[1:] ^ both[:-1]) >> bits != 0
+    return (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), new
+
+
 def firsts(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order by the keys and doc, where a new combination of the keys begins in that order)."""
     order = np.lexsort((doc, *keys[::-1]))
@@ -116,16 +127,19 @@ def message(rows: list[tuple[int | None, int | None, int, bytes, bytes | None]])
 MESSAGE = "key long, group long, kind int, data binary, bytes binary"
 
 
+def crc_of(doc: np.ndarray) -> np.ndarray:
+    unique, back = np.unique(doc, return_inverse=True)
+    return np.array([zlib.crc32(b"%d" % d) for d in unique.tolist()], np.int64)[back]  # group_of() says the same to Spark
+
+
 def grouped(groups: int, kind: int, doc: np.ndarray, *columns: np.ndarray, keys: int = 0) -> list:
     """Messages of the packed doc and columns for each group of texts; a key from 0 to keys deals them over tasks."""
     if not len(doc):
         return []
-    unique, back = np.unique(doc, return_inverse=True)
-    crc = np.array([zlib.crc32(b"%d" % d) for d in unique.tolist()], np.int64)[back]  # group_of() says the same to Spark
+    crc = crc_of(doc)
     group = crc % groups
-    order = np.argsort(group, kind="stable")
-    cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
-    return [(int((group[o[0]] * 7919 + crc[o[0]] // groups) % keys) if keys else None, int(group[o[0]]), kind, packed(doc[o], *[c[o] for c in columns]), None) for o in np.split(order, cuts[1:])]
+    order, new = together(group.astype(np.uint64))
+    return [(int((group[o[0]] * 7919 + crc[o[0]] // groups) % keys) if keys else None, int(group[o[0]]), kind, packed(doc[o], *[c[o] for c in columns]), None) for o in np.split(order, np.flatnonzero(new)[1:])]
 
 
 def group_of(groups: int) -> Column:
@@ -137,9 +151,8 @@ def by_key(key: np.ndarray, kind: int, *columns: np.ndarray) -> list:
     """Messages of the packed columns for each key."""
     if not len(key):
         return []
-    order = np.argsort(key, kind="stable")
-    cuts = np.flatnonzero(np.diff(key[order], prepend=-1))
-    return [(int(key[o[0]]), None, kind, packed(*[c[o] for c in columns]), None) for o in np.split(order, cuts[1:])]
+    order, new = together(key.astype(np.uint64))
+    return [(int(key[o[0]]), None, kind, packed(*[c[o] for c in columns]), None) for o in np.split(order, np.flatnonzero(new)[1:])]
 
 
 def sketch(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
@@ -152,10 +165,11 @@ def sketch(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             start, count, anchor, whole, left, right, doc = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order, new = firsts(anchor, whole, doc=doc)
-            start, count, anchor, whole, left, right, doc = (x[order] for x in (start, count, anchor, whole, left, right, doc))
-            done = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            rows = grouped(groups, SETTLED, doc[done], start[done].astype(np.uint32), count[done].astype(np.uint32), keys=buckets)
+            order, new = together(mix(anchor * K1 + whole))
+            new[1:] |= (anchor[order[1:]] != anchor[order[:-1]]) | (whole[order[1:]] != whole[order[:-1]])
+            done = np.zeros(len(doc), bool)
+            done[order] = doc[order] > np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+            rows = by_key(crc_of(doc[done]) % groups % buckets, SETTLED, doc[done], start[done].astype(np.uint32), count[done].astype(np.uint32))
             rest = ~done
             rows += by_key((anchor[rest] % np.uint64(buckets)).astype(np.int64), CONTEXTS, anchor[rest], whole[rest], doc[rest], start[rest].astype(np.uint32), count[rest].astype(np.uint8), left[rest], right[rest])
             return message(rows).combine_chunks().to_batches()[0]
@@ -178,9 +192,9 @@ def sketch(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
 
 CONTEXT = ("<u8", "<u8", "<i8", "<u4", "u1", "<u2", "<u2")  # anchor, whole, doc, start, count, left, right
 SPAN = ("<i8", "<u4", "<u4")  # doc, start, count
-ASK = ("<i8", "<u4", "u1", "<u4", "<u8", "<u4", "<u4")  # doc, start, count, part, key of the context, rank, size of the family (0: hot)
+ASK = ("<i8", "<u4", "u1", "<u4", "<u8", "u1")  # doc, start, count, part, key of the context, whether its family is hot
 COPY = ("<u8", "<i8", "<u4")  # key, doc, start
-STRING = ("<i8", "<u4", "u1", "u1", "<u8", "<u4", "<u4")  # doc, start, count, piece, key, rank, size of the family (0: hot)
+STRING = ("<i8", "<u4", "u1", "<u8")  # doc, start, count, key
 
 
 def kind_of(table: pa.Table, kind: int) -> pa.Table:
@@ -208,35 +222,40 @@ def families(anchor: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndar
 def settle(groups: int, parts: int, hot: int):
     """For one bucket: spans that are settled, contexts whose bytes are asked for, other places of those.
 
-    Its anchors are dealt over `parts` index tasks, and in a task over PIECES indexes, small enough for a cache.
+    Its families are dealt over `parts` index tasks.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        anchor, whole, doc, start, count, left, right = joined(kind_of(table, CONTEXTS)["data"].to_pylist(), *CONTEXT)
-        passed = kind_of(table, SETTLED)
-        if not len(anchor):
-            return passed
+        rows = grouped(groups, SETTLED, *joined(kind_of(table, SETTLED)["data"].to_pylist(), *SPAN))  # those of a few groups, from all rounds
+        blobs = kind_of(table, CONTEXTS)["data"].to_pylist()
+        anchors = [unpacked(b, CONTEXT[0])[0] for b in blobs]
+        if not anchors:
+            return message(rows)
+        order, new = together(np.concatenate(anchors))
+        number = np.diff(np.flatnonzero(new), append=len(new))
+        often = np.zeros(len(order), bool)
+        often[order] = np.repeat(number > 1, number)  # an anchor that stands alone shares nothing
+        if not often.any():
+            return message(rows)
+        kept = np.split(often, np.cumsum([len(x) for x in anchors])[:-1])
+        anchor, whole, doc, start, count, left, right = (np.concatenate(x) for x in zip(*([c[k] for c in unpacked(b, *CONTEXT)] for b, k in zip(blobs, kept))))
         order = np.lexsort((start, doc, whole, anchor))
         anchor, whole, doc, start, count, left, right = (x[order] for x in (anchor, whole, doc, start, count, left, right))
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new_whole = new_anchor | np.concatenate([[True], whole[1:] != whole[:-1]])
         w0, w = np.flatnonzero(new_whole), np.cumsum(new_whole) - 1
         done = doc > doc[w0][w]  # sorted by doc within a context
-        rows = grouped(groups, SETTLED, doc[done], start[done], count[done].astype(np.uint32))
+        rows += grouped(groups, SETTLED, doc[done], start[done], count[done].astype(np.uint32))
         label = families((np.cumsum(new_anchor) - 1)[w0], left[w0], right[w0])
         many = np.bincount(label, minlength=len(w0))  # different contexts of each family
-        by_rank = np.lexsort((doc[w0], label))
-        rank = np.empty(len(w0), np.uint32)
-        rank[by_rank] = np.arange(len(w0)) - (np.cumsum(many) - many)[label[by_rank]]
         ask = ~done & (many[label] > 1)[w]
-        pieces = parts * PIECES
-        part = (int(table["key"][0].as_py()) * pieces + (mix(label.astype(np.uint64)) % np.uint64(pieces)).astype(np.int64)).astype(np.uint32)[w]
-        key, family = mix(anchor * K1 + whole), np.where(many > hot, 0, many)[label].astype(np.uint32)[w]
-        own = ask & (new_whole | (family == 0))  # of a hot family all places are taken apart
-        rows += grouped(groups, ASKED, doc[own], start[own], count[own], part[own], key[own], rank[w][own], family[own])
+        part = (int(table["key"][0].as_py()) * parts + (mix(label.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)).astype(np.uint32)[w]
+        key, apart = mix(anchor * K1 + whole), (many > hot)[label][w]
+        own = ask & (new_whole | apart)  # of a hot family all places are taken apart
+        rows += grouped(groups, ASKED, doc[own], start[own], count[own], part[own], key[own], apart[own].astype(np.uint8))
         copy = ask & ~own
-        rows += by_key((part[copy] // PIECES).astype(np.int64), COPIES, key[copy], doc[copy], start[copy])
-        return pa.concat_tables([message(rows), passed])
+        rows += by_key(part[copy].astype(np.int64), COPIES, key[copy], doc[copy], start[copy])
+        return message(rows)
 
     return run
 
@@ -255,89 +274,113 @@ def one_text(table: pa.Table) -> pa.Array:
     return text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
 
 
+def string_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the LENGTH bytes at each place."""
+    words, h = np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,)), np.zeros(len(at), np.uint64)
+    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        h = mix(h * K1 + words[at + k])
+    return h
+
+
+def counted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, step): every k as often as n[k] says, with steps from 0."""
+    each = np.repeat(np.arange(len(n)), n)
+    return each, np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def fetch(groups: int, all_parts: int):
     """The bytes of the contexts that are asked of a group of texts; those of hot families as single strings."""
 
     def run(texts: pa.Table, asks: pa.Table) -> pa.Table:
         rows: list = []
         if asks.num_rows and texts.num_rows:
-            doc, start, count, part, key, rank, family = joined(asks["data"].to_pylist(), *ASK)
+            doc, start, count, part, key, apart = joined(asks["data"].to_pylist(), *ASK)
             data, off = raw_bytes(one_text(texts))
             entry, row = rows_of(texts["doc_id"].to_numpy(), doc)
             a = off[row] + start[entry]
             ok = a + count[entry] + LENGTH - 1 <= off[row + 1]
             entry, a = entry[ok], a[ok]
-            cool = family[entry] > 0
+            cool = apart[entry] == 0
             e = entry[cool]
-            rows += strings(data, a[cool], doc[e], start[e], count[e], part[e], key[e], rank[e], family[e])
+            rows += strings(data, a[cool], doc[e], start[e], count[e], part[e], key[e])
             if not cool.all():
-                e, n = entry[~cool], count[entry[~cool]].astype(np.int64)
-                each = np.repeat(np.arange(len(e)), n)
-                step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                e = entry[~cool]
+                each, step = counted(count[e].astype(np.int64))
                 at, owner, place = a[~cool][each] + step, doc[e][each], (start[e][each] + step).astype(np.uint32)
-                words, h = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)), np.zeros(len(at), np.uint64)
-                for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-                    h = mix(h * K1 + words[at + k])
+                h = string_hashes(data, at)
                 order, new = firsts(h, doc=owner)
                 at, owner, place, h = at[order], owner[order], place[order], h[order]
                 later = owner > owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-                rows += grouped(groups, SETTLED, owner[later], place[later], np.ones(later.sum(), np.uint32), keys=max(1, all_parts // PIECES))
+                rows += grouped(groups, SETTLED, owner[later], place[later], np.ones(later.sum(), np.uint32), keys=all_parts)
                 to = (h % np.uint64(all_parts)).astype(np.uint32)
-                none = np.zeros(new.sum(), np.uint32)
-                rows += strings(data, at[new], owner[new], place[new], np.ones(new.sum(), np.uint8), to[new], h[new], none, none)
+                rows += strings(data, at[new], owner[new], place[new], np.ones(new.sum(), np.uint8), to[new], h[new])
                 copy = ~new & ~later
-                rows += by_key((to[copy] // PIECES).astype(np.int64), COPIES, h[copy], owner[copy], place[copy])
+                rows += by_key(to[copy].astype(np.int64), COPIES, h[copy], owner[copy], place[copy])
         return message(rows)
 
     return run
 
 
-def strings(data: np.ndarray, at: np.ndarray, doc, start, count, part, key, rank, family) -> list:
+def strings(data: np.ndarray, at: np.ndarray, doc, start, count, part, key) -> list:
     """Messages to index tasks with the bytes of some contexts."""
     if not len(at):
         return []
     rows, order = [], np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order].astype(np.int64) // PIECES, prepend=-1))
+    cuts = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
     for o in np.split(order, cuts[1:]):
         n = count[o].astype(np.int64) + LENGTH - 1
         bytes_ = data[np.repeat(at[o] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        rows.append((int(part[o[0]]) // PIECES, None, ASKED, packed(doc[o], start[o], count[o], (part[o] % PIECES).astype(np.uint8), key[o], rank[o], family[o]), packed(bytes_)))
+        rows.append((int(part[o[0]]), None, ASKED, packed(doc[o], start[o], count[o], key[o]), packed(bytes_)))
     return rows
 
 
+def repeating(text: np.ndarray, base: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of contexts that may matter, (context, first string, strings) to index and the same to look up: by hashes
+    of the strings, what an earlier document may have as well, and its first place in the least document. Equal strings
+    have equal hashes, so nothing is missed; whether strings are equal isn't decided here."""
+    by_doc = np.argsort(doc, kind="stable")
+    each, step = counted(count[by_doc].astype(np.int64))
+    each = by_doc[each]
+    order, new = together(string_hashes(text, base[each] + step))
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # the least document of a hash
+    later = doc[each[order]] > doc[each[head]]
+    out = []
+    for place in (head[later], order[later]):
+        is_in = np.zeros(len(each), bool)
+        is_in[place] = True
+        at = np.flatnonzero(is_in)  # in order, so the places of a context stand together
+        begin = np.flatnonzero(np.diff(each[at], prepend=-1))
+        first = step[at[begin]]
+        out += [each[at[begin]], first, step[at[np.append(begin[1:], len(at)) - 1]] - first + 1] if len(at) else [at, at, at]
+    return tuple(out)
+
+
 def marked(groups: int):
     """Index and stream the contexts of one part, and return the spans that an earlier document has."""
 
     def run(table: pa.Table) -> pa.Table:
         own, rows = kind_of(table, ASKED), []
-        doc, start, count, piece, key, rank, family = joined(own["data"].to_pylist(), *STRING)
+        doc, start, count, key = joined(own["data"].to_pylist(), *STRING)
         text = joined(own["bytes"].to_pylist(), "u1")[0]
         size = count.astype(np.int64) + LENGTH - 1
         base = np.cumsum(size) - size
-        hot = np.flatnonzero(family == 0)
-        if len(hot):  # equal strings: all later ones against the first
-            order, new = firsts(key[hot], doc=doc[hot])
-            rank[hot[order]], family[hot] = np.where(new, 0, 1), 2
-        copied = joined(kind_of(table, COPIES)["data"].to_pylist(), *COPY)
-        order = np.argsort(copied[0], kind="stable")
-        copy_key, copy_doc, copy_start = (c[order] for c in copied)
-        for p in range(PIECES):
-            mine = np.flatnonzero(piece == p)
-            for bit in range(int(family[mine].max(initial=1) - 1).bit_length()):
-                r = rank[mine].astype(np.int64)
-                facing = ((r >> bit | 1) << bit) < family[mine]  # the other half of its stretch of ranks isn't empty
-                early, late = mine[(r >> bit & 1 == 0) & facing], mine[r >> bit & 1 == 1]
-                if not len(late):
-                    continue
-                which, a, z = earlier(text, base, size, doc, early, late)
-                o = late[which]
-                rows += grouped(groups, SETTLED, doc[o], (start[o] + a).astype(np.uint32), (z - a).astype(np.uint32))
-                lo, hi = np.searchsorted(copy_key, key[o], "left"), np.searchsorted(copy_key, key[o], "right")
-                each = np.repeat(np.arange(len(o)), hi - lo)
-                c = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(each))
-                same = copy_doc[c] == doc[o][each]
-                c, each = c[same], each[same]
-                rows += grouped(groups, SETTLED, copy_doc[c], (copy_start[c] + a[each]).astype(np.uint32), (z - a)[each].astype(np.uint32))
+        early, e0, en, late, l0, ln = repeating(text, base, count, doc)
+        if len(late):
+            both, n = np.concatenate([early, late]), np.concatenate([en, ln])
+            which, a, z = earlier(text, base[both] + np.concatenate([e0, l0]), n + LENGTH - 1, doc[both], np.arange(len(early)), len(early) + np.arange(len(late)))
+            o, a, z = late[which], a + l0[which], z + l0[which]
+            spans = [(doc[o], start[o] + a, z - a)]
+            copied = joined(kind_of(table, COPIES)["data"].to_pylist(), *COPY)
+            order = np.argsort(copied[0], kind="stable")
+            copy_key, copy_doc, copy_start = (c[order] for c in copied)
+            lo, hi = np.searchsorted(copy_key, key[o], "left"), np.searchsorted(copy_key, key[o], "right")
+            each, step = counted(hi - lo)
+            c = lo[each] + step
+            same = copy_doc[c] == doc[o][each]
+            c, each = c[same], each[same]
+            spans.append((copy_doc[c], copy_start[c] + a[each], (z - a)[each]))
+            doc, start, count = (np.concatenate(x) for x in zip(*spans))
+            rows = grouped(groups, SETTLED, doc, start.astype(np.uint32), count.astype(np.uint32))
         return pa.concat_tables([message(rows), kind_of(table, SETTLED)])
 
     return run
@@ -371,23 +414,25 @@ def finish(with_text: bool):
         entry, row = rows_of(ids, doc)
         a = np.minimum(off[row] + start[entry], off[row + 1])
         z = np.minimum(a + count[entry] + LENGTH - 1, off[row + 1])
-        change = np.zeros(len(data) + 1, np.int32)
-        np.add.at(change, a, 1)
-        np.add.at(change, z, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        n = len(ids)
-        total = np.concatenate([[0], np.cumsum(gone)])
-        first = gone.copy()
-        first[1:] &= ~gone[:-1]
-        heads = off[:-1][off[:-1] < len(gone)]
-        first[heads] = gone[heads]
-        spans_ = np.concatenate([[0], np.cumsum(first)])
-        kept = data[~gone].tobytes()
-        ends = off - total[off]
+        a, z, row = (x[z > a] for x in (a, z, row))
+        order = np.argsort(a, kind="stable")
+        a, z, row, n = a[order], z[order], row[order], len(ids)
+        far = np.maximum.accumulate(z)
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] > far[:-1]) | (row[1:] != row[:-1])  # spans that touch are one, within a text
+        head = np.flatnonzero(new)
+        a, z, row = a[head], far[np.append(head[1:], len(far)) - 1] if len(head) else z, row[head]
+        removed, n_spans = np.zeros(n, np.int64), np.bincount(row, minlength=n)
+        np.add.at(removed, row, z - a)
+        change = np.zeros(len(data) + 1, np.int8)
+        change[a] += 1
+        change[z] -= 1
+        kept = data[np.cumsum(change[:-1], dtype=np.int8) == 0].tobytes()
+        ends = off - np.concatenate([[0], np.cumsum(removed)])
         parts = [kept[ends[k] : ends[k + 1]] for k in range(n)]
         return pa.table({
-            "doc_id": pa.array([None if i == NULL_ID else i for i in ids.tolist()], pa.int64()), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(total[off[1:]] - total[off[:-1]]),
-            "n_spans": pa.array(spans_[off[1:]] - spans_[off[:-1]]), "kept_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()),
+            "doc_id": pa.array([None if i == NULL_ID else i for i in ids.tolist()], pa.int64()), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(removed),
+            "n_spans": pa.array(n_spans), "kept_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()),
             "kept": pa.array(parts if with_text else [None] * n, pa.binary())})
 
     return run
@@ -398,11 +443,11 @@ def without_repeats(docs: DataFrame, with_text: bool = True, hot: int = HOT, buc
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, groups = max(1, min(MANY, -(-size // bucket_bytes))), max(1, -(-size // GROUP_BYTES)) | 1
-    hints = stored(sketch(docs, buckets, groups).groupBy("key").applyInArrow(settle(groups, PARTS, hot), MESSAGE), "repeat-hints")
+    hints = stored(sketch(docs, buckets, groups).repartition(buckets * PARTS, "key").groupBy("key").applyInArrow(settle(groups, PARTS, hot), MESSAGE), "repeat-hints")
     dealt = docs.withColumn("group", group_of(groups))
     asked = hints.where(F.col("kind") == ASKED).select("group", "data")
-    texts = dealt.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(fetch(groups, buckets * PARTS * PIECES), MESSAGE)
-    found = texts.unionByName(hints.where(F.col("kind") == COPIES)).groupBy("key").applyInArrow(marked(groups), MESSAGE)
+    texts = dealt.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(fetch(groups, buckets * PARTS), MESSAGE)
+    found = texts.unionByName(hints.where(F.col("kind") == COPIES)).repartition(buckets * PARTS, "key").groupBy("key").applyInArrow(marked(groups), MESSAGE)
     spans = found.unionByName(hints.where(F.col("kind") == SETTLED)).select("group", "data")
     return dealt.groupBy("group").cogroup(spans.groupBy("group")).applyInArrow(finish(with_text), RESULT)
 

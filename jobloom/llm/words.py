@@ -198,7 +198,7 @@ def codec() -> pa.Codec:
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of numbers as bytes: byte planes of each, compressed."""
     n = len(columns[0])
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T).tobytes() for c in columns]
     raw = b"".join(planes)
     return n.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + codec().compress(raw, asbytes=True)
 

@@ -1,11 +1,13 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from data import TEXTS, frame
 
-from jobloom.llm.repeats import earlier, without_repeats
+from jobloom.llm.repeats import ASKED, CONTEXTS, HOT, by_key, contexts, earlier, fetch, kind_of, marked, message, settle, without_repeats
 from jobloom.llm.run_index import RunIndex
+from jobloom.llm.words import raw_bytes, unpacked
 
 
 @pytest.mark.parametrize("own", [False, True])
@@ -111,3 +113,27 @@ def test_ids_with_a_common_step_are_spread(spark):
     for i in ids:
         assert grouped(73, 0, np.array([i]), np.zeros(1, np.uint32))[0][1] == by_spark[i]
     assert len(set(by_spark.values())) > 60
+
+
+def test_places_are_indexed_and_streamed_once(monkeypatch):
+    """However many contexts a family has: no byte that is asked for goes into an index or through one twice, contexts whose
+    strings all stand alone don't at all, and a group of texts gets one message."""
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    around = lambda k, part: letters(40) + chr(65 + k // 26) + chr(97 + k % 26) + part + chr(65 + k // 26) + chr(97 + k % 26) + letters(40)
+    built, streamed, init, statistics = [], [], RunIndex.__init__, RunIndex.statistics
+    monkeypatch.setattr(RunIndex, "__init__", lambda self, strings, *rest: (built.append(len(strings)), init(self, strings, *rest))[1])
+    monkeypatch.setattr(RunIndex, "statistics", lambda self, patterns, *rest: (streamed.append(len(patterns)), statistics(self, patterns, *rest))[1])
+    for part in (letters(47), letters(60)):  # under 50 bytes one family, but nothing that repeats
+        texts = [around(k, part) for k in range(300)]
+        data, off = raw_bytes(pa.array(texts))
+        start, count, anchor, whole, left, right = contexts(data, off)
+        doc = np.searchsorted(off, start, "right") - 1
+        hints = settle(1, 1, HOT)(message(by_key(np.zeros(len(start), np.int64), CONTEXTS, anchor, whole, doc, (start - off[doc]).astype(np.uint32), count.astype(np.uint8), left, right)))
+        found = fetch(1, 1)(pa.table({"doc_id": pa.array(range(300), pa.int64()), "text": texts}), kind_of(hints, ASKED))
+        asked = len(b"".join(unpacked(b, "u1")[0].tobytes() for b in kind_of(found, ASKED)["bytes"].to_pylist()))
+        out = marked(1)(found)
+        if len(part) < 50:
+            assert asked > 300 * 50 and not built and not streamed and not out.num_rows
+        else:
+            assert 50 <= sum(built) <= asked and 299 * 50 <= sum(streamed) <= asked and out.num_rows == 1
